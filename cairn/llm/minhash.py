@@ -8,8 +8,8 @@ are the same as one element after the other would give.
 
 Every decision is exact: bands only propose. Texts with the same set are one class. In each bucket of
 a band all members are checked against its least member first; then components are formed, and every
-pair of a bucket whose components still differ is checked as well. So no link that a band proposes is
-lost, and a hot bucket costs a line of checks, not a square, unless its members truly differ.
+pair of a bucket whose components still differ is checked as well, unless half of its registers tell
+it apart. So no link that a band proposes is lost, and a hot bucket costs a line of checks, not a square, unless its members truly differ.
 
 Edge cases: null or wordless text has no shingles, stays alone and is kept; fewer words than a
 shingle give one shingle; a row with a null id is returned alone, with a null component, kept.
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from . import _kernel as K
 from ._shared import components, cut, drop, text_id
 
-BANDS, ROWS = 22, 4  # a pair at similarity 0.8 misses every band with probability 9e-6
+BANDS, ROWS = 28, 5  # a pair at similarity 0.8 misses every band with probability 1.5e-5
+SKETCH = 64  # registers kept, a byte each: such a pair agrees in under half of them with probability 1e-9
 U = np.uint64
 _STEP = U(0x9E3779B97F4A7C15)
 
@@ -95,8 +96,9 @@ def _sign(batches, k: int, bands: int, rows: int, fold: bool):
             rb.column(0), pa.array(n),
             pa.array(K.segment_sums(K.mix(values), bounds).view(np.int64)),
             pa.array(K.segment_sums(K.mix(values + _STEP), bounds).view(np.int64)),
-            K.int64_lists(keys, np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))])) if (n > 0).all() else K.int64_lists(keys.reshape(-1, bands)[n > 0].ravel(), np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))])),
-        ], ["doc_id", "n", "d1", "d2", "bands"])
+            K.int64_lists(keys.reshape(-1, bands)[n > 0].ravel(), np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))])),
+            pa.FixedSizeListArray.from_arrays(pa.array((reg[:, :SKETCH] & U(0xFF)).astype(np.uint8).view(np.int8).ravel()), min(SKETCH, bands * rows)).cast(pa.list_(pa.int8())),
+        ], ["doc_id", "n", "d1", "d2", "bands", "sketch"])
 
 
 def _full_sets(batches, k: int, fold: bool):
@@ -126,10 +128,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Documents are linked if percent * union <= 100 * intersection of their shingle sets; a component
     is what links reach, named by its least id, and only that document is kept."""
     docs = text_id(df, id_col, text_col)
-    signed = cut(docs.mapInArrow(partial(_sign, k=shingle, bands=bands, rows=rows, fold=fold_case), "doc_id long, n long, d1 long, d2 long, bands array<long>"), "signed")
+    signed = cut(docs.mapInArrow(partial(_sign, k=shingle, bands=bands, rows=rows, fold=fold_case), "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<tinyint>"), "signed")
     classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = signed.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n > 0")
     rows_ = reps.select("doc_id", "n", F.explode("bands").alias("key"))
+    sketches = reps.select("doc_id", "sketch")
     buckets = rows_.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
     # only what shares a bucket goes on
     members = cut(rows_.join(buckets, "key").distinct(), "members")
@@ -141,9 +144,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # pairs of a bucket that are not in one component yet
     of = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "a", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
     split = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = of.join(split, "key", "left_semi")
+    left = of.join(split, "key", "left_semi").join(sketches, "doc_id")
+    alike = F.size(F.filter(F.zip_with("x.sketch", "y.sketch", lambda p, q: p == q), lambda p: p))
     x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.col("x.doc_id") != F.col("x.a")) & (F.col("y.doc_id") != F.col("y.a")) & (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n")))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.col("x.doc_id") != F.col("x.a")) & (F.col("y.doc_id") != F.col("y.a")) & (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n")) & (160 * alike >= percent * F.size("x.sketch")))
     rest = cut(rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "rest")
     if not rest.isEmpty():
         more, sets = _verified(rest, docs, shingle, fold_case, percent)
