@@ -71,12 +71,12 @@ def slices(batches, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.R
             lo = hi
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, offsets: np.ndarray, delimiters: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and for each text the index of its first word (one more at the end)."""
     if not len(buf):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    ws = _WS[buf]
+    ws = delimiters[buf]
     before, after = np.empty_like(ws), np.empty_like(ws)
     before[0] = after[-1] = True
     before[1:], after[:-1] = ws[:-1], ws[1:]
