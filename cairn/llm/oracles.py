@@ -29,8 +29,8 @@ pairs as (
   where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by all
 ), links as (
   select a, b from pairs where 100 * c >= 80 * (na + nb - c)
-), both as (select a, b from links union select b, a from links),
-reach(id, r) as (select id, id from sets union select both.b, reach.r from reach join both on both.a = reach.id and reach.r < both.b)
+), sides as (select a, b from links union select b, a from links),
+reach(id, r) as (select id, id from sets union select sides.b, reach.r from reach join sides on sides.a = reach.id and reach.r < sides.b)
 select id as doc_id, (select len(s) from sets where sets.id = reach.id)::bigint as n_shingles, min(r) as component_id, min(r) = id as kept from reach group by id
 """
 
