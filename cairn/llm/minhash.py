@@ -112,7 +112,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, fold: bool, percent: in
 
     The hub a of a star may have any number of partners: its set is copied to salts of 500 partners."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(partial(_full_sets, k=k, fold=fold), "doc_id long, items array<long>")
+    # merged at every size: few ids would be broadcast, many not, and small runs then tell nothing of large ones
+    sets = docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(partial(_full_sets, k=k, fold=fold), "doc_id long, items array<long>")
     sets = cut(sets, "sets")
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("salts"))
     salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
