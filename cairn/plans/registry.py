@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import retrieval_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**retrieval_queries.QUERIES}
+ORACLES: dict[str, str] = {**retrieval_queries.ORACLES}
