@@ -56,7 +56,7 @@ def view(spark: SparkSession, sf_dir: str, name: str, views: dict[str, str] | No
         return table(spark, sf_dir, name)
     sql = views[name]
     needed = {t for t in [*_TABLES, *views] if t != name and re.search(rf"\b(from|join) {t}\b", sql)}
-    return spark.sql(re.sub(r"\b(from|join) (" + "|".join(sorted(needed, key=len, reverse=True)) + r")\b", r"\1 {\2}", sql), **{t: view(spark, sf_dir, t, views, uses) for t in needed})
+    return spark.sql(re.sub(r"\b(from|join) (" + "|".join(sorted(needed, key=len, reverse=True)) + r")\b", r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}")), **{t: view(spark, sf_dir, t, views, uses) for t in needed})
 
 
 def with_views(sql: str, *names: str, views: dict[str, str] | None = None) -> str:
