@@ -30,7 +30,7 @@ from . import _kernel as K
 from ._shared import text_id
 
 U = np.uint64
-SAMPLE, FEATURES, THRESHOLD = 8000, 4000, 0.3
+SAMPLE, FEATURES, THRESHOLD = 4000, 4000, 0.3
 PREFIXES = (4, 5, 6, 7, 8)
 _DELIM = np.zeros(256, bool)
 _DELIM[:48] = _DELIM[58:65] = _DELIM[91:97] = _DELIM[123:128] = True
