@@ -107,67 +107,89 @@ def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
 
 
-def train(texts: list[str], toxic: list[int], features: int = FEATURES, rounds: int = 1500) -> Model:
+def train(texts: list[str], toxic: list[int], features: int = FEATURES, rounds: int = 600) -> Model:
     """Fits the noisy-or of sentence logistics to document labels (Adam, with a penalty on weights)."""
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
-    data = [t.encode() for t in texts]
     y = np.array(toxic, float)
     if not y.any():
         return none
-    buf, offsets = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
-    # a text that shares a least shingle with an earlier one is a copy of it
-    start, end, bounds = K.words(K.lower(buf), offsets)
-    g = K.grams(K.word_hashes(K.lower(buf), start, end), 5)
-    seen: set[int] = set()
     keep = np.ones(len(y), bool)
-    for d, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-        if b - a >= 5:
-            own = {int(np.min(g[a : b - 4] ^ m)) ^ int(m) for m in K._MIX[:4]}
-            keep[d] = not own & seen
-            seen |= own
-    x = instances(buf, offsets)
+    seen: set[int] = set()
     n = len(y)
-    kept_y = y * keep
-    base = kept_y.sum() / max(1, keep.sum())
-    chosen = []
-    for kind, (word, key) in enumerate(x.features()):
-        good = keep[x.doc[x.sentence[word]]]
-        word, key = word[good], key[good]
-        names, which = np.unique(key, return_inverse=True)
-        pairs = np.unique(which.astype(np.int64) * n + x.doc[x.sentence[word]])
-        df = np.bincount(pairs // n, minlength=len(names))
-        pos = np.bincount(pairs // n, kept_y[pairs % n], len(names))
-        z = (pos - df * base) / np.sqrt(np.maximum(df * base * (1 - base), 1e-9))
-        ok = np.flatnonzero((df >= 5) & (z >= 5) & (pos >= 0.6 * df))
-        chosen += [(float(z[i]), int(names[i]), float(np.log((pos[i] + 0.5) / (df[i] - pos[i] + 0.5)))) for i in ok]
-    chosen = sorted(chosen, reverse=True)[:features]
-    if not chosen:
+
+    def parts():
+        """Slices of the sample: the working arrays of one at a time are in memory."""
+        batches = [pa.RecordBatch.from_arrays([pa.array(range(i, min(i + 500, n))), pa.array(texts[i : i + 500], pa.large_string())], ["row", "text"]) for i in range(0, n, 500)]
+        for rb, buf, offsets in K.slices(batches, "text", 1 << 20):
+            yield int(rb.column(0)[0].as_py()), buf, offsets
+
+    # a text that shares a least shingle with an earlier one is a copy of it
+    for at, buf, offsets in parts():
+        low = K.lower(buf)
+        start, end, bounds = K.words(low, offsets)
+        g = K.grams(K.word_hashes(low, start, end), 5)
+        for d, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+            if b - a >= 5:
+                own = {int(np.min(g[a : b - 4] ^ m)) ^ int(m) for m in K._MIX[:4]}
+                keep[at + d] = not own & seen
+                seen |= own
+    base = (y * keep).sum() / max(1, keep.sum())
+    names, df, pos = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def merged(names, df, pos):
+        order = np.argsort(names, kind="stable")
+        names, df, pos = names[order], df[order], pos[order]
+        first = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, np.int64)
+        return (names[first], np.add.reduceat(df, first), np.add.reduceat(pos, first)) if len(first) else (names, df, pos)
+
+    for at, buf, offsets in parts():
+        x = instances(buf, offsets)
+        for word, key in x.features():
+            doc = x.doc[x.sentence[word]] + at
+            good = keep[doc]
+            own, which = np.unique(key[good], return_inverse=True)
+            pairs = np.unique(which.astype(np.int64) * n + doc[good])
+            names = np.append(names, own)
+            df = np.append(df, np.bincount(pairs // n, minlength=len(own)).astype(np.int32))
+            pos = np.append(pos, np.bincount(pairs // n, y[pairs % n], len(own)).astype(np.int32))
+        names, df, pos = merged(names, df, pos)
+    z = (pos - df * base) / np.sqrt(np.maximum(df * base * (1 - base), 1e-9))
+    ok = np.flatnonzero((df >= 5) & (z >= 5) & (pos >= 0.6 * df))
+    ok = ok[np.argsort(-z[ok], kind="stable")[:features]]
+    if not len(ok):
         return none
-    odds = {c[1]: c[2] for c in chosen}
-    keys = np.array(sorted(odds), np.uint64)
-    inst, feat = [], []
-    for word, key in x.features():
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        good = (keys[at] == key) & keep[x.doc[x.sentence[word]]]
-        inst.append(x.sentence[word[good]])
-        feat.append(at[good])
-    inst, feat = np.concatenate(inst), np.concatenate(feat)
-    live = keep[x.doc]
+    ok = np.sort(ok)
+    keys, odds = names[ok], np.log((pos[ok] + 0.5) / (df[ok] - pos[ok] + 0.5))
+    del names, df, pos, z
+    inst, feat, docs, count = [], [], [], 0
+    for at, buf, offsets in parts():
+        x = instances(buf, offsets)
+        for word, key in x.features():
+            hit = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            good = keys[hit] == key
+            inst.append(x.sentence[word[good]] + count)
+            feat.append(hit[good])
+        docs.append(x.doc + at)
+        count += len(x.doc)
+    inst, feat, doc = np.concatenate(inst), np.concatenate(feat), np.concatenate(docs)
+    live = keep[doc]
     # Starting from each feature's own odds, and held there weakly: among features that go together the
     # noisy-or would else raise the one that explains a document first and never learn the others.
-    bias = -8.0
-    prior = np.array([max(0.0, odds[int(k)] - 0.5 * bias) for k in keys])
+    # The bias is fixed, low enough for thousands of plain sentences: where documents are separable it
+    # would drift down and take words with it that only ever come with others.
+    bias = -10.0
+    prior = np.maximum(0.0, odds - 0.7 * bias)
     w = prior.copy()
-    m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
+    m, v = np.zeros(len(keys)), np.zeros(len(keys))
     for t in range(1, rounds + 1):
-        z = bias + np.bincount(inst, w[feat], len(x.doc))
+        z = bias + np.bincount(inst, w[feat], len(doc))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        doc_p = np.clip(noisy_or(np.where(live, p, 0), x.doc, n), 1e-9, 1)
-        grad = np.where(live, p * (1 - y[x.doc] / doc_p[x.doc]), 0)
-        g_all = np.append(np.bincount(feat, grad[inst], len(keys)) + 0.05 * (w - prior), grad.sum()) / max(1, keep.sum())
+        doc_p = np.clip(noisy_or(np.where(live, p, 0), doc, n), 1e-9, 1)
+        grad = np.where(live, p * (1 - y[doc] / doc_p[doc]), 0)
+        g_all = (np.bincount(feat, grad[inst], len(keys)) + 0.05 * (w - prior)) / max(1, keep.sum())
         m, v = 0.9 * m + 0.1 * g_all, 0.99 * v + 0.01 * g_all**2
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, bias = w - step[:-1], min(bias - step[-1], -6.0)
+        w = w - step
     return Model(keys, w, float(bias))
 
 
