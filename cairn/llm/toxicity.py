@@ -94,17 +94,18 @@ class Model:
     def sentences(self, x: Instances) -> np.ndarray:
         """Each sentence's probability."""
         z = np.full(len(x.first), self.bias)
-        if len(self.keys):
-            for word, key in x.features():
-                hit = np.flatnonzero(self.seen[(key >> U(44)).astype(np.int64)])
-                at = np.minimum(np.searchsorted(self.keys, key[hit]), len(self.keys) - 1)
-                good = self.keys[at] == key[hit]
-                np.add.at(z, x.sentence[word[hit[good]]], self.weights[at[good]])
+        if not len(self.keys):
+            return np.zeros(len(z))
+        for word, key in x.features():
+            hit = np.flatnonzero(self.seen[(key >> U(44)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.keys, key[hit]), len(self.keys) - 1)
+            good = self.keys[at] == key[hit]
+            np.add.at(z, x.sentence[word[hit[good]]], self.weights[at[good]])
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n))
+    return np.abs(np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n)))
 
 
 def train(texts: list[str], toxic: list[int], features: int = FEATURES, rounds: int = 600) -> Model:
