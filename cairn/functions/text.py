@@ -1,13 +1,12 @@
 """Text functions as Column expressions: identifier terms, signatures, overlaps, grams, hashed vectors.
 
-Everything stays inside the JVM. A ``_let`` binds a costly value once for an expression that names it often.
+All but ``hashed_cosines`` stays inside the JVM. A ``let`` binds a costly value once for an expression that names it often.
 """
 
-from __future__ import annotations
-
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,7 +37,9 @@ def acronym(p: Column) -> Column:
 
 def terms(text: Column, min_len: int = 2) -> Column:
     """Distinct sorted terms: each word in lower case, its identifier parts and their acronym."""
-    one = lambda t: let(parts(t), lambda p: F.concat(F.array(F.lower(t)), p, F.array_compact(F.array(acronym(p)))))
+    whole = lambda t: let(parts(t), lambda p: F.concat(F.array(F.lower(t)), p, F.array_compact(F.array(acronym(p)))))
+    # a plain word is its only term; most words are
+    one = lambda t: F.when(t.rlike("_|[0-9]|.[A-Z]"), whole(t)).otherwise(F.array(F.lower(t)))
     every = F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), one))
     return F.array_sort(F.array_distinct(F.filter(every, lambda t: F.length(t) >= min_len)))
 
@@ -82,17 +83,36 @@ def semantic_overlap(query: list[str], doc: Column) -> Column:
 
 
 def overlap_score(query: str, content: Column, labels: Column, path: Column) -> Column:
-    """How many of the query's words stand in the text; if none, how many of its terms match a document term."""
-    hay = F.lower(F.concat_ws(" ", content, F.array_join(labels, " "), F.coalesce(path, F.lit(""))))
+    """How many of the query's words stand in the text; if none, how many of its terms match a document term.
+
+    A term matches a document term that equals it or, from three characters on, holds it or is held by it.
+    Document terms of plain words are the words, so holding is looked up in the text itself and being held
+    in the query term's substrings; only identifier-like words are taken apart."""
+    raw = F.concat_ws(" ", content, F.array_join(labels, " "), F.coalesce(path, F.lit("")))
     words = query.lower().split()
-    direct = let(hay, lambda h: sum((F.when(h.contains(w), 1).otherwise(0) for w in words), F.lit(0)))
     q = driver_terms(query)
 
-    def near(d: Column) -> Column:
-        hit = lambda t: F.array_contains(d, t) | F.exists(d, lambda x: (F.length(x) >= 3) & (F.lit(len(t)) >= 3) & (x.contains(t) | F.contains(F.lit(t), x)))
-        return sum((F.when(hit(t), 1).otherwise(0) for t in q), F.lit(0))
+    def near(h: Column) -> Column:
+        tokens = F.regexp_extract_all(raw, F.lit(WORD), F.lit(0))
+        odd = F.flatten(F.transform(F.filter(tokens, lambda t: t.rlike("_|[0-9]|.[A-Z]")), lambda t: let(parts(t), lambda p: F.concat(p, F.array_compact(F.array(acronym(p)))))))
+
+        def count(d: Column, x: Column) -> Column:
+            total = F.lit(0)
+            for t in q:
+                hit = F.array_contains(d, t) | F.array_contains(x, t)
+                if len(t) >= 3:
+                    subs = lit_array(sorted({t[i:j] for i in range(len(t)) for j in range(i + 3, len(t) + 1)}))
+                    hit = h.contains(t) | F.arrays_overlap(d, subs) | F.arrays_overlap(x, subs) | F.exists(x, lambda e: e.contains(t))  # noqa: B023
+                total = total + F.when(hit, 1).otherwise(0)
+            return total
+
+        return let(F.struct(F.transform(tokens, F.lower).alias("d"), odd.alias("x")), lambda s: count(s["d"], s["x"]))
 
-    return F.when(direct > 0, direct).otherwise(let(token_signature(content, labels, path), near)).cast("double")
+    def score(h: Column) -> Column:
+        direct = sum((F.when(h.contains(w), 1).otherwise(0) for w in words), F.lit(0))
+        return let(direct, lambda n: F.when(n > 0, n).otherwise(near(h)))
+
+    return let(F.lower(raw), score).cast("double")
 
 
 def term_coverage(query: list[str], doc: Column) -> Column:
@@ -119,6 +139,39 @@ def hashed_vector(signature: Column, dimension: int = 16) -> Column:
     return let(let(slots, raw), lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))))
 
 
+def hashed_vectors(signatures: pd.Series):
+    """``hashed_vector`` of dimension 16 for a batch: all terms step through their bytes together."""
+    import numpy as np
+
+    sizes = np.array([0 if s is None else len(s) for s in signatures])
+    terms = [t.encode() for s in signatures if s is not None for t in s]
+    n = np.array([len(t) for t in terms], np.int64)
+    data = np.frombuffer(b"".join(terms) or b"\0", np.uint8)
+    start = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
+    h = np.full(len(terms), 5, np.uint8)
+    for i in range(int(n.max()) if len(n) else 0):
+        own = np.flatnonzero(n > i)
+        h[own] = ((h[own] ^ data[start[own] + i]) & 15) * 3 & 15
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    v = np.bincount(row * 16 + h, minlength=16 * len(sizes)).reshape(-1, 16).astype(float)
+    v[:, 1::2] *= -1
+    norm = np.sqrt((v * v).sum(1, keepdims=True))
+    return np.where(norm > 0, v / np.where(norm > 0, norm, 1), v)
+
+
+def hashed_cosines(query: list[str]):
+    """For ``mapInPandas`` over (id, o, sig): (id, o, cosine of the signature's hashed vector and the query's, not under 0)."""
+    import numpy as np
+
+    own = np.array(driver_vector(query))
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"evidence_id": b["evidence_id"], "o": b["o"], "c": np.maximum(hashed_vectors(b["sig"]) @ own, 0.0)})
+
+    return run
+
+
 def driver_hash(term: str) -> int:
     h = 5
     for b in term.encode():

@@ -80,8 +80,8 @@ def vector(ev: DataFrame, query: str) -> DataFrame:
     q = T.driver_terms(query)
     over = T.overlap_score(query, F.col("content"), F.col("labels"), F.col("source_path"))
     base = ev.select("evidence_id", over.alias("o"), T.token_signature(F.col("content"), F.col("labels"), F.col("source_path")).alias("sig")).where("o > 0")
-    cos = T.cosine(T.hashed_vector(F.col("sig")), F.array(*map(F.lit, T.driver_vector(q))))
-    return base.select("evidence_id", cos.alias("c"), "o").where("c > 0").select("evidence_id", (F.col("c") + 0.05 * F.least(F.lit(1.0), F.col("o") / len(q))).alias("score"))
+    cos = base.mapInPandas(T.hashed_cosines(q), "evidence_id string, o double, c double").where("c > 0")
+    return cos.select("evidence_id", (F.col("c") + 0.05 * F.least(F.lit(1.0), F.col("o") / len(q))).alias("score"))
 
 
 def wants_time(query: str) -> bool:
