@@ -197,14 +197,18 @@ def cosine(a: Column, b: Column) -> Column:
 def score_query(query: str, fields: list[Column]) -> Column:
     """For each token its best field: 4 equal, 2 an identifier term, 0.5 contained; summed."""
     tokens = list(dict.fromkeys(x for w in query.lower().split() for x in [w, *([] if "/" in w else [p for p in re.findall(r"[a-z0-9_]+", w) if len(p) >= 2])]))
-    total = F.lit(0.0)
-    for t in tokens:
-        best = F.lit(0.0)
-        for f in fields:
-            low = F.lower(F.coalesce(f, F.lit("")))
-            best = F.greatest(best, F.when(low == t, 4.0).when(F.array_contains(terms(f, 1), t), 2.0).when(low.contains(t), 0.5).otherwise(0.0))
-        total = total + best
-    return total
+    def of_field(f: Column) -> Column:
+        """Each token's points in one field; its terms are computed once."""
+        point = lambda v, t: F.when(v["low"] == t, 4.0).when(F.array_contains(v["terms"], t), 2.0).when(v["low"].contains(t), 0.5).otherwise(0.0)
+        return let(F.struct(F.lower(F.coalesce(f, F.lit(""))).alias("low"), terms(f, 1).alias("terms")), lambda v: F.array(*[point(v, t) for t in tokens]))
+
+    def summed(v: Column) -> Column:
+        best = v[0]
+        for i in range(1, len(fields)):
+            best = F.zip_with(best, v[i], lambda x, y: F.greatest(x, y))
+        return F.aggregate(best, F.lit(0.0), lambda a, x: a + x)
+
+    return let(F.array(*map(of_field, fields)), summed) if tokens else F.lit(0.0)
 
 
 def exact_path(query: str, path: Column) -> Column:

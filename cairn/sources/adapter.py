@@ -39,8 +39,18 @@ _USES = {"facts": ["relations", "claims", "graph_events"], "fact_evidence": ["fa
 _TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the session has cores, dealt out to all of them; any larger one as it is.
+
+    A small table is often one file with one row group, and would leave all work on its rows to one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name not in ("region", "nation"):
+        df = spread(df)
     for c, kind in df.dtypes:  # zone-less times become instants of the session's zone (UTC)
         if kind == "timestamp_ntz":
             df = df.withColumn(c, df[c].cast("timestamp"))

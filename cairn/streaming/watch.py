@@ -22,7 +22,9 @@ def should_process(path, languages: list[str] | None = None):
 def debounced(changes: DataFrame, ts: str = "ts", path: str = "path", quiet: str = "3 seconds", late: str = "10 seconds") -> DataFrame:
     """Sets of changed paths: an event-time session closes after ``quiet``; events later than ``late`` are dropped by the watermark."""
     kept = changes.where(should_process(F.col(path))).withWatermark(ts, late)
-    return kept.groupBy(F.session_window(ts, quiet).alias("w")).agg(F.collect_set(path).alias("paths")).select(F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "paths")
+    # one session over all paths; a streamed session needs a key, and one that isn't a literal
+    kept = kept.withColumn("_all", F.substring(path, 1, 0))
+    return kept.groupBy("_all", F.session_window(ts, quiet).alias("w")).agg(F.collect_set(path).alias("paths")).select(F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "paths")
 
 
 def new_contents(changes: DataFrame, key: str = "path", value: str = "hash", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
