@@ -5,7 +5,8 @@ however many documents there are: it is solved on the driver, in bulk, and only
 For each length, largest first, the gap it leaves is looked up among the available single lengths,
 sums of two and sums of three (a table of availability counts by length; a pair or triple is found
 from its complement). A combination that fills the gap exactly is consumed as often as counts allow.
-What is left is packed best-fit decreasing, in bulk as well. The result is a list of slots: so many
+What is left is packed best-fit, in bulk as well: each remaining length,
+longest first, takes the combination that leaves the least of its gap. The result is a list of slots: so many
 pieces of this length, ranks r0 to r1 of their kind, go to sequences from s on, at this offset.
 
 Pieces learn their rank without a shuffle by length: each task numbers its own pieces of each length,
@@ -17,7 +18,6 @@ interchangeable and ranked in the order they lie; a null id is packed like any o
 
 from __future__ import annotations
 
-import base64
 import zlib
 from functools import partial
 
@@ -97,7 +97,47 @@ def _pieces(batches, path: str, capacity: int, end: int):
 
 
 def solve(counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Slots (length, r0, r1, first sequence, offset) for counts[length] pieces of each length."""
+    """Slots (length, r0, r1, first sequence, offset) for counts[length] pieces of each length.
+
+    Complements are consumed in three ways (pairs as uneven or as even as can be, or residual filling
+    from the start); the fewest sequences count."""
+    ways = [_patterns(counts, capacity, parts, even) for parts, even in ((3, False), (3, True), (0, False))]
+    patterns = min(ways, key=lambda w: sum(k for _, k in w))
+    slots, ranks, sequence = [], np.zeros(capacity + 1, np.int64), 0
+    for lengths, k in patterns:
+        at = 0
+        for x in lengths:
+            slots.append((x, ranks[x], ranks[x] + k, sequence, at))
+            ranks[x] += k
+            at += x
+        sequence += k
+    return np.array(sorted(slots), np.int64).reshape(-1, 5)
+
+
+def _fill(left: np.ndarray, gap: int) -> list[int]:
+    """Available lengths that fill the most of a gap, the longer first (subset sums under counts)."""
+    last, reach = np.zeros(gap + 1, np.int64), np.zeros(gap + 1, bool)
+    reach[0] = True
+    for a in np.flatnonzero(left[: gap + 1])[::-1]:
+        for _ in range(min(int(left[a]), gap // a)):
+            new = np.zeros_like(reach)
+            new[a:] = reach[:-a]
+            new &= ~reach
+            if not new.any():
+                break
+            last[new] = a
+            reach |= new
+        if reach[gap]:
+            break
+    s, out = int(np.flatnonzero(reach)[-1]), []
+    while s:
+        out.append(int(last[s]))
+        s -= out[-1]
+    return out
+
+
+def _patterns(counts: np.ndarray, capacity: int, parts: int, even: bool) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of a sequence, how many such sequences); parts: how many pieces a looked-up complement may have."""
     left = counts.astype(np.int64).copy()
     patterns: list[tuple[tuple[int, ...], int]] = []
 
@@ -114,66 +154,44 @@ def solve(counts: np.ndarray, capacity: int) -> np.ndarray:
         return True
 
     def pair(gap: int, spare: np.ndarray) -> tuple[int, int] | None:
-        """Two available lengths that sum to gap, the larger one as large as can be."""
+        """Two available lengths that sum to gap."""
         a = np.arange(gap - 1, (gap - 1) // 2, -1)
         ok = (spare[a] > 0) & (spare[gap - a] > 0) & ((a * 2 != gap) | (spare[a] > 1))
         i = np.flatnonzero(ok)
-        return (int(a[i[0]]), gap - int(a[i[0]])) if len(i) else None
+        return (int(a[i[-even]]), gap - int(a[i[-even]])) if len(i) else None
+
+    def triple(gap: int, spare: np.ndarray) -> tuple[int, int, int] | None:
+        for a in range(gap - 2, (gap + 2) // 3 - 1, -1):
+            if spare[a] > 0:
+                spare[a] -= 1
+                p = pair(gap - a, spare)
+                spare[a] += 1
+                if p:
+                    return (a, *p)
+        return None
 
     take((capacity,))
-    for length in range(capacity - 1, 0, -1):
+    for length in range(capacity - 1, 0, -1) if parts else ():
         gap = capacity - length
         while left[length]:
             spare = left.copy()
             spare[length] -= 1
-            if spare[gap] > 0 and take((length, gap)):
-                continue
-            if gap > 1 and (p := pair(gap, spare)) and take((length, *p)):
-                continue
-            done = False
-            for a in range(gap - 2, (gap + 2) // 3 - 1, -1):
-                if spare[a] <= 0:
-                    continue
-                spare[a] -= 1
-                p = pair(gap - a, spare)
-                spare[a] += 1
-                if p and take((length, a, *p)):
-                    done = True
-                    break
-            if not done:
+            if spare[gap] > 0:
+                take((length, gap))
+            elif parts > 1 and gap > 1 and (p := pair(gap, spare)):
+                take((length, *p))
+            elif parts > 2 and gap > 2 and (t := triple(gap, spare)):
+                take((length, *t))
+            else:
                 break
-    # residuals: best-fit decreasing over groups of equal bins
-    bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-    for length in range(capacity, 0, -1):
-        n = int(left[length])
-        while n:
-            gap = next((g for g in range(length, capacity) if bins.get(g)), None)
-            if gap is None:
-                each = capacity // length
-                if n >= each:
-                    add, k = (length,) * each, n // each
-                else:
-                    add, k = (length,) * n, 1
-                n -= len(add) * k
-                bins.setdefault(capacity - sum(add), []).append((add, k))
-                continue
-            own, k = bins[gap].pop()
-            fit = min(gap // length, n)
-            used = min(k, n // fit)
-            if used < k:
-                bins[gap].append((own, k - used))
-            n -= used * fit
-            bins.setdefault(gap - fit * length, []).append(((*own, *(length,) * fit), used))
-    patterns += [x for group in bins.values() for x in group]
-    slots, ranks, sequence = [], np.zeros(capacity + 1, np.int64), 0
-    for lengths, k in patterns:
-        at = 0
-        for x in lengths:
-            slots.append((x, ranks[x], ranks[x] + k, sequence, at))
-            ranks[x] += k
-            at += x
-        sequence += k
-    return np.array(sorted(slots), np.int64).reshape(-1, 5)
+    # residuals, longest first: each gap takes what fills the most of it
+    for length in range(capacity - 1, 0, -1):
+        while left[length]:
+            left[length] -= 1
+            own = _fill(left, capacity - length)
+            left[length] += 1
+            take((length, *own))
+    return patterns
 
 
 def _place(batches, slots):
