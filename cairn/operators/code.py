@@ -132,3 +132,44 @@ def impact(changed: DataFrame, deleted: DataFrame, chunks: DataFrame, calls: Dat
 def running_bytes(rows: DataFrame, size: Column, order: list[Column], budget: int) -> DataFrame:
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("bytes", size.cast("long")).withColumn("running", F.sum("bytes").over(w)).where(F.col("running") <= budget)
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(import_id, to_file, state, confidence): a module that is one file's key in its scope is that file; several are ambiguous."""
+    keys = files.select("scope", F.col("file_id").alias("to_file"), F.explode(P.module_keys(F.col("path"))).alias("module"))
+    found = imports.select("scope", "import_id", "module").join(keys, ["scope", "module"]).groupBy("import_id").agg(F.count_distinct("to_file").alias("c"), F.min("to_file").alias("f"))
+    x = imports.select("import_id").join(found, "import_id", "left")
+    state = F.when(F.col("c") == 1, "resolved").when(F.col("c") > 1, "ambiguous").otherwise("unresolved")
+    points = F.when(F.col("c") == 1, 10000).when(F.col("c") > 1, 5000).otherwise(0)
+    return x.select("import_id", F.when(F.col("c") == 1, F.col("f")).alias("to_file"), state.alias("state"), points.alias("confidence"))
+
+
+def resolve_through_imports(refs: DataFrame, imports: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(ref_id, target): references to a name that one file imported by the reference's own file defines once."""
+    to = resolve_imports(imports, files).where("state = 'resolved'").join(imports.select("import_id", "file_id"), "import_id").select("file_id", "to_file").distinct()
+    once = symbols.groupBy(F.col("file_id").alias("to_file"), "name").agg(F.count("*").alias("c"), F.min("symbol_id").alias("target")).where("c = 1").drop("c")
+    hits = refs.select("ref_id", "file_id", "name").join(to, "file_id").join(once, ["to_file", "name"])
+    return hits.groupBy("ref_id").agg(F.count_distinct("target").alias("c"), F.min("target").alias("target")).where("c = 1").drop("c")
+
+
+def workspace_imports(imports: DataFrame, members: DataFrame) -> DataFrame:
+    """(import_id, member): the workspace member whose package name is the longest prefix of the module, at separators."""
+    seg = F.split(F.regexp_replace("module", "::|/", "."), r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(seg)), lambda i: F.array_join(F.slice(seg, 1, i), "."))
+    x = imports.select("import_id", F.explode(prefixes).alias("package")).join(members.select("package", "member"), "package")
+    return x.groupBy("import_id").agg(F.max_by("member", F.struct(F.length("package"), "member")).alias("member"))
+
+
+def overlay_evidence(hits: DataFrame, edges: DataFrame, cap: int = 3) -> DataFrame:
+    """(hit, import_id, via): cross edges of a hit, by its own import first, then by its file, at most ``cap`` each."""
+    own = hits.select(F.col("id").alias("hit"), "file_id").join(edges, F.col("hit") == F.col("import_id")).select("hit", "import_id", F.lit(0).alias("via"), "confidence")
+    file = hits.select(F.col("id").alias("hit"), "file_id").join(edges.withColumnRenamed("from_file", "file_id"), "file_id").where("import_id <> hit").select("hit", "import_id", F.lit(1), "confidence")
+    w = Window.partitionBy("hit").orderBy("via", F.desc("confidence"), "import_id")
+    return own.union(file).withColumn("r", F.row_number().over(w)).where(F.col("r") <= cap).select("hit", "import_id", "via")
+
+
+def pick_scope(scopes: DataFrame, filters: DataFrame) -> DataFrame:
+    """(repository, scope): the newest indexed scope whose path filters hold all that a request names; none means everything."""
+    x = scopes.join(filters, "repository")
+    covers = (F.size("path_filters") == 0) | (F.size(F.array_except("wanted", "path_filters")) == 0)
+    return x.where(covers).groupBy("repository").agg(F.max_by("scope", F.struct("version", "scope")).alias("scope"))

@@ -374,3 +374,43 @@ def incremental_overlay(spark, d):
 def deleted_symbols(spark, d):
     s = view(spark, d, "code_symbols")
     return s.where("kind <> 'class'").select("path", "name").join(s.where("kind = 'method'").select("path", "name").distinct(), ["path", "name"], "left_anti")
+
+
+@query(f"""with {_KEYS}, f as (select import_id, count(distinct keys.file_id) as c, min(keys.file_id) as to_file from code_imports i join keys on i.scope = keys.scope and i.module = keys.module group by 1)
+  select i.import_id, case when c = 1 then to_file end as to_file, case when c = 1 then 'resolved' when c > 1 then 'ambiguous' else 'unresolved' end as state, case when c = 1 then 10000 when c > 1 then 5000 else 0 end as confidence from code_imports i left join f using (import_id)""", "code_files", "code_imports")
+def import_resolution(spark, d):
+    return C.resolve_imports(view(spark, d, "code_imports"), view(spark, d, "code_files"))
+
+
+@query(f"""with {_KEYS}, f as (select import_id, count(distinct keys.file_id) as c, min(keys.file_id) as to_file from code_imports i join keys on i.scope = keys.scope and i.module = keys.module group by 1),
+  t as (select distinct i.file_id, f.to_file from code_imports i join f using (import_id) where c = 1), o as (select file_id as to_file, name, min(symbol_id) as target from code_symbols group by all having count(*) = 1)
+  select ref_id, min(target) as target from code_refs r join t using (file_id) join o using (to_file, name) group by ref_id having count(distinct target) = 1""", "code_files", "code_imports", "code_symbols", "code_refs")
+def imported_reference_resolution(spark, d):
+    return C.resolve_through_imports(*[view(spark, d, f"code_{t}") for t in ("refs", "imports", "files", "symbols")])
+
+
+@query("""with m as (select 'brand7' as package, 'w0' as member union all select 'brand7.mod_4', 'w1' union all select 'brand9', 'w2'), s as (select import_id, string_split(regexp_replace(module, '::|/', '.', 'g'), '.') as seg from code_imports),
+  p as (select import_id, array_to_string(seg[1:i::int], '.') as package from s, unnest(range(1, len(seg) + 1)) as u(i)) select import_id, arg_max(member, length(package)) as member from p join m using (package) group by 1""", "code_imports")
+def workspace_import_mapping(spark, d):
+    m = spark.createDataFrame([("brand7", "w0"), ("brand7.mod_4", "w1"), ("brand9", "w2")], "package string, member string")
+    return C.workspace_imports(view(spark, d, "code_imports"), F.broadcast(m))  # three rows
+
+
+@query(f"""with {_CROSS}, h as (select import_id as hit, file_id from code_imports where contains(module, 'mod_49')), e as (select edges.import_id, i.file_id as from_file, confidence from edges join code_imports i using (import_id) where confidence > 0),
+  u as (select hit, import_id, 0 as via, confidence from h join e on h.hit = e.import_id union all select hit, import_id, 1, confidence from h join e on h.file_id = e.from_file where import_id <> hit)
+  select hit, import_id, via from (select *, row_number() over (partition by hit order by via, confidence desc, import_id) as r from u) z where r <= 3""", "code_files", "code_imports")
+def overlay_evidence(spark, d):
+    i = view(spark, d, "code_imports")
+    hits = i.where(F.col("module").contains("mod_49")).select(F.col("import_id").alias("id"), "file_id")
+    e = cross_repo_edges(spark, d).where("confidence > 0").join(i.select("import_id", F.col("file_id").alias("from_file")), "import_id").select("import_id", "from_file", "confidence")
+    return C.overlay_evidence(hits, e)
+
+
+@query("select repository, arg_max(scope, version) as scope from (select scope as repository, concat(scope, ':', c_custkey) as scope, c_custkey as version, c_custkey % 3 as k from (select concat('repo', c_nationkey) as scope, c_custkey from customer) a) s where k = 0 or k = 1 group by repository")
+def scope_resolution(spark, d):
+    """Requests for src/a: scopes of everything, or of src/a, cover it; those of src/b don't."""
+    c = view(spark, d, "customer").select(F.concat(F.lit("repo"), "c_nationkey").alias("repository"), F.col("c_custkey").alias("version"))
+    c = c.withColumn("scope", F.concat("repository", F.lit(":"), F.col("version").cast("string")))
+    none = F.array().cast("array<string>")
+    c = c.withColumn("path_filters", F.when(F.col("version") % 3 == 0, none).when(F.col("version") % 3 == 1, F.array(F.lit("src/a"))).otherwise(F.array(F.lit("src/b"))))
+    return C.pick_scope(c, c.select("repository").distinct().withColumn("wanted", F.array(F.lit("src/a"))))
