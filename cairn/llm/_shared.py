@@ -33,8 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new place under the shared folder; removed when this Python process ends."""
     path = f"{shared_dir(spark)}/cairn-{name}-{uuid.uuid4().hex[:12]}"
-    if path.startswith("file:"):
-        _made.append(path.replace("file://", "", 1).replace("file:", "", 1))
+    if path.startswith(("file:", "/")):
+        _made.append(local_path(path))
     return path
 
 
