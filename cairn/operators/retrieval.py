@@ -37,22 +37,29 @@ def fts_tokens(query: str) -> list[str]:
     return sorted(set(re.findall(r"[a-z0-9_]+", query.lower())))
 
 
-def bm25(docs: DataFrame, query: str, id_col: str = "evidence_id", text_col: str = "content") -> DataFrame:
-    """(id, score) of documents with any token of the query, Okapi with k1 1.2 and b 0.75.
-
-    Texts are scanned once and only counts leave the scan: no postings are shuffled."""
-    tokens = fts_tokens(query)
+def bm25_counts(docs: DataFrame, query: str, id_col: str = "evidence_id", text_col: str = "content", keep: list[Column] | None = None) -> DataFrame:
+    """(id, dl, tf): a document's length and how often it has each token of the query, with any further columns to keep."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0))
-    count = lambda t: F.size(F.filter("w", lambda x: x == t)).cast("double")
-    tf = [count(t) for t in tokens]
-    counted = docs.select(F.col(id_col), words.alias("w")).select(id_col, F.size("w").cast("double").alias("dl"), F.array(*tf).alias("tf"))
-    stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), F.array(*[F.sum(F.when(F.col("tf")[i] > 0, 1.0).otherwise(0.0)) for i in range(len(tokens))]).alias("df"))
+    count = lambda t: F.size(F.filter("_w", lambda x: x == t)).cast("double")
+    x = docs.select(F.col(id_col), words.alias("_w"), *(keep or []))
+    return x.select(id_col, F.size("_w").cast("double").alias("dl"), F.array(*map(count, fts_tokens(query))).alias("tf"), *[c for c in x.columns if c not in (id_col, "_w")])
+
+
+def bm25_scores(counted: DataFrame, query: str, id_col: str = "evidence_id") -> DataFrame:
+    """(id, score), Okapi with k1 1.2 and b 0.75, of counts: corpus statistics are one row."""
+    n = len(fts_tokens(query))
+    stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), F.array(*[F.sum(F.when(F.col("tf")[i] > 0, 1.0).otherwise(0.0)) for i in range(n)]).alias("df"))
     idf = lambda d: F.log((F.col("n") - d + 0.5) / (d + 0.5) + 1)
     part = F.zip_with("tf", "df", lambda t, d: idf(d) * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
     hits = counted.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row
     return hits.select(id_col, F.aggregate(part, F.lit(0.0), lambda a, b: a + b).alias("score"))
 
 
+def bm25(docs: DataFrame, query: str, id_col: str = "evidence_id", text_col: str = "content") -> DataFrame:
+    """(id, score) of documents with any token of the query. Only counts leave the scan: no postings are shuffled."""
+    return bm25_scores(bm25_counts(docs, query, id_col, text_col), query, id_col)
+
+
 def top(hits: DataFrame, n: int, id_col: str = "evidence_id") -> DataFrame:
     return hits.orderBy(F.desc("score"), F.asc(id_col)).limit(n)
 

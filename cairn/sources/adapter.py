@@ -47,7 +47,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
 
 
+_tables: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table. Its plan (schema and file listing, no rows) is made once a session, as the tables never change."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}")
+    if key not in _tables:
+        _tables[key] = _open(spark, sf_dir, name)
+    return _tables[key]
+
+
+def _open(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name not in ("region", "nation"):
         df = spread(df)
