@@ -85,3 +85,12 @@ def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.component for r in components(e).collect()}
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+
+
+def test_a_hot_group_of_near_copies_is_one_component(spark):
+    """More partners than one salt of a hub takes, all different texts."""
+    words = [f"h{i}" for i in range(200)]
+    rows = [(i, " ".join(words[:k] + [f"new{i}"] + words[k + 1 :])) for i in range(1200) for k in [i % 200]]
+    df = spark.createDataFrame([*rows, (5000, "nothing like the others " * 20)], "doc_id long, text string")
+    got = result(df)
+    assert {c for i, (_, c, _) in got.items() if i < 5000} == {0} and got[5000][1] == 5000
