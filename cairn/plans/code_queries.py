@@ -414,3 +414,53 @@ def scope_resolution(spark, d):
     none = F.array().cast("array<string>")
     c = c.withColumn("path_filters", F.when(F.col("version") % 3 == 0, none).when(F.col("version") % 3 == 1, F.array(F.lit("src/a"))).otherwise(F.array(F.lit("src/b"))))
     return C.pick_scope(c, c.select("repository").distinct().withColumn("wanted", F.array(F.lit("src/a"))))
+
+
+@query("select hit, (select count(*) from code_calls where callee = 'fn_131') > 20 as saturated from (select call_id as hit from code_calls where callee = 'fn_131' order by path, line, call_id limit 20) x", "code_calls")
+def saturation_probe(spark, d):
+    """One row more than asked for tells whether the limit cut anything."""
+    rows = view(spark, d, "code_calls").where("callee = 'fn_131'").orderBy("path", "line", "call_id").limit(21)
+    x = rows.withColumn("n", F.row_number().over(Window.orderBy("path", "line", "call_id"))).withColumn("saturated", F.max("n").over(Window.partitionBy()) > 20)
+    return x.where("n <= 20").select(F.col("call_id").alias("hit"), "saturated")
+
+
+@query(f"""with {_CROSS}, h as (select i.scope, i.import_id as hit, path, line, {score_sql('mod_49', ['module'])} as base from code_imports i), m as (
+  select alias, hit, path, line, base + priority * 0.01 + coalesce(confidence, 0) / 10000.0 - case when stale then 0.5 else 0 end as score from h join repo_members using (scope) left join edges on edges.import_id = h.hit where base > 0),
+  r as (select *, row_number() over (partition by alias order by round(score, 9) desc, path, line, hit) as r, max(score) over (partition by alias) as best from m)
+  select alias, hit, round(score, 6)::double as score from r where r <= 3 and score >= greatest(best * 0.45, best - 10)""", "code_files", "code_imports", "repo_members")
+def set_diversification(spark, d):
+    """At most three of each member, none far under its best."""
+    x = repo_set_ranking(spark, d)
+    w = Window.partitionBy("alias").orderBy(F.desc(F.round("score", 6)), "path", "line", "hit")
+    x = x.withColumn("r", F.row_number().over(w)).withColumn("best", F.max("score").over(Window.partitionBy("alias")))
+    return x.where((F.col("r") <= 3) & (F.col("score") >= F.greatest(F.col("best") * 0.45, F.col("best") - 10))).select("alias", "hit", "score")
+
+
+@query("select evidence_id, f.path from (select concat('doc:', doc_id::varchar) as evidence_id, concat('scope', (doc_id % 3)::varchar) as scope, (doc_id % 200)::varchar as file_id from documents) e join code_files f using (scope, file_id)", "code_files")
+def evidence_file_links(spark, d):
+    """Knowledge evidence and the code file it names, by scope and file."""
+    e = view(spark, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("evidence_id"), F.concat(F.lit("scope"), (F.col("doc_id") % 3).cast("string")).alias("scope"), (F.col("doc_id") % 200).cast("string").alias("file_id"))
+    return e.join(view(spark, d, "code_files").select("scope", "file_id", "path"), ["scope", "file_id"]).select("evidence_id", "path")
+
+
+@query("select alias, priority, count(*)::bigint as files, count(*) filter (parse_status = 'degraded')::bigint as degraded, bool_or(stale) as stale from repo_members join code_files using (scope) group by alias, priority", "repo_members", "code_files")
+def member_status(spark, d):
+    x = view(spark, d, "code_files").join(F.broadcast(view(spark, d, "repo_members")), "scope")  # three members
+    return x.groupBy("alias", "priority").agg(F.count("*").alias("files"), F.count_if(F.col("parse_status") == "degraded").alias("degraded"), F.bool_or("stale").alias("stale"))
+
+
+@query(f"select route_id, url, http_method, round(score, 6) as score from (select *, {score_sql('handler_7 post', ['url', 'http_method', 'handler'])} as score from code_routes) x where http_method = 'POST' and x.score > 0 order by round(x.score, 9) desc, route_id limit 100", "code_routes")
+def route_search(spark, d):
+    """A method token in the query is a filter as well as a term."""
+    from pyspark.sql.functions import lit
+
+    q = "handler_7 post"
+    method = [w for w in q.split() if w.upper() in P.METHODS]
+    r = view(spark, d, "code_routes").where(F.col("http_method") == P.http_method(lit(method[0])))
+    s = T.score_query(q, [F.col(c) for c in ("url", "http_method", "handler")])
+    return r.withColumn("score", s).where("score > 0").orderBy(F.desc(F.round("score", 9)), "route_id").limit(100).select("route_id", "url", "http_method", r6("score").alias("score"))
+
+
+@query("select scope, coalesce(sum(case when parse_status = 'parsed' then n end), 0)::bigint as parsed, coalesce(sum(case when parse_status = 'degraded' then n end), 0)::bigint as degraded from (select scope, parse_status, count(*) as n from code_files group by all) x group by scope", "code_files")
+def parse_status_counts(spark, d):
+    return view(spark, d, "code_files").groupBy("scope").pivot("parse_status", ["parsed", "degraded"]).count().na.fill(0)

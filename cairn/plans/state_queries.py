@@ -165,3 +165,26 @@ def sequence_quality(spark, d):
     c = view(spark, d, "labels").select((F.col("doc_id") % 20).alias("case_id"), "doc_id").withColumn("rank", F.row_number().over(w)).where("rank <= 20")
     c = c.withColumn("ordered", F.lead("doc_id").over(Window.partitionBy("case_id").orderBy("rank")) > F.col("doc_id"))
     return c.groupBy("case_id").agg(F.count_if("ordered").alias("ordered_pairs"), F.count("ordered").alias("pairs"))
+
+
+@query("select date_trunc('hour', ts) as hour, count(*)::bigint as received, greatest(0, count(*) - 12)::bigint as dropped from events group by 1")
+def channel_overflow(spark, d):
+    """A bounded channel counts what it can't take, it doesn't block: capacity 12 an hour."""
+    x = view(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("received"))
+    return x.withColumn("dropped", F.greatest(F.lit(0), F.col("received") - 12))
+
+
+@query("select kind, state, count(*)::bigint as depth, min(created_ms)::bigint as oldest from (select event_type as kind, state, created_ms from tasks join events on event_id = task_id) x where state in ('queued', 'running', 'retrying') group by all", "tasks")
+def worker_queue_depth(spark, d):
+    k = view(spark, d, "events").select(F.col("event_id").alias("task_id"), F.col("event_type").alias("kind"))
+    t = view(spark, d, "tasks").join(k, "task_id").where(F.col("state").isin("queued", "running", "retrying"))
+    return t.groupBy("kind", "state").agg(F.count("*").alias("depth"), F.min("created_ms").alias("oldest"))
+
+
+@query("select kind, task_id from (select user_id % 4 as kind, task_id, row_number() over (partition by user_id % 4 order by created_ms, task_id) as r from tasks join events on event_id = task_id where attempts < 3 and (state in ('queued', 'retrying') or (state = 'running' and lease_until_ms < 4000))) x where r <= 2", "tasks")
+def worker_claims(spark, d):
+    """The two oldest claimable tasks of each kind of worker; expired leases can be claimed."""
+    k = view(spark, d, "events").select(F.col("event_id").alias("task_id"), (F.col("user_id") % 4).alias("kind"))
+    ok = (F.col("attempts") < 3) & (F.col("state").isin("queued", "retrying") | ((F.col("state") == "running") & (F.col("lease_until_ms") < 4000)))
+    w = Window.partitionBy("kind").orderBy("created_ms", "task_id")
+    return view(spark, d, "tasks").where(ok).join(k, "task_id").withColumn("r", F.row_number().over(w)).where("r <= 2").select("kind", "task_id")
