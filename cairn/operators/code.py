@@ -173,3 +173,17 @@ def pick_scope(scopes: DataFrame, filters: DataFrame) -> DataFrame:
     x = scopes.join(filters, "repository")
     covers = (F.size("path_filters") == 0) | (F.size(F.array_except("wanted", "path_filters")) == 0)
     return x.where(covers).groupBy("repository").agg(F.max_by("scope", F.struct("version", "scope")).alias("scope"))
+
+
+def bridge_bonus(hits: DataFrame, edges: DataFrame, each: float = 0.35, cap: float = 0.70) -> DataFrame:
+    """(hit, bonus): resolved edges from a hit's file to a file that the result holds too, by confidence, capped."""
+    files = hits.select("file_id").distinct()
+    inside = edges.where("state = 'resolved'").join(files.withColumnRenamed("file_id", "to_file"), "to_file", "left_semi")
+    x = hits.select("hit", "file_id").join(inside.select(F.col("from_file").alias("file_id"), "import_id", "confidence"), "file_id")
+    return x.groupBy("hit").agg(F.least(F.lit(cap), F.sum(F.col("confidence") / 10000 * each)).alias("bonus"))
+
+
+def focused_excerpt(content: Column, name: Column) -> Column:
+    """The first line that holds a name, trimmed; the first line if none does."""
+    lines = F.split(content, "\n")
+    return F.trim(F.coalesce(F.get(F.filter(lines, lambda x: x.contains(name)), F.lit(0)), F.get(lines, F.lit(0))))

@@ -464,3 +464,18 @@ def route_search(spark, d):
 @query("select scope, coalesce(sum(case when parse_status = 'parsed' then n end), 0)::bigint as parsed, coalesce(sum(case when parse_status = 'degraded' then n end), 0)::bigint as degraded from (select scope, parse_status, count(*) as n from code_files group by all) x group by scope", "code_files")
 def parse_status_counts(spark, d):
     return view(spark, d, "code_files").groupBy("scope").pivot("parse_status", ["parsed", "degraded"]).count().na.fill(0)
+
+
+@query(f"""with {_CROSS}, h as (select import_id as hit, file_id from code_imports where file_id::bigint < 120), e as (select edges.*, i.file_id as from_file from edges join code_imports i using (import_id) where state = 'resolved' and to_file in (select file_id from h))
+  select hit, round(least(0.70, sum(confidence / 10000.0 * 0.35)), 6)::double as bonus from h join e on h.file_id = e.from_file group by hit""", "code_files", "code_imports")
+def bridge_bonus(spark, d):
+    i = view(spark, d, "code_imports")
+    hits = i.where("cast(file_id as bigint) < 120").select(F.col("import_id").alias("hit"), "file_id")
+    e = cross_repo_edges(spark, d).join(i.select("import_id", F.col("file_id").alias("from_file")), "import_id")
+    return C.bridge_bonus(hits, e).withColumn("bonus", r6("bonus"))
+
+
+@query("select call_id, trim(coalesce(list_filter(string_split(k.content, chr(10)), lambda x: contains(x, callee))[1], string_split(k.content, chr(10))[1])) as excerpt from code_calls c join (select symbol_id, replace(content, ' in ', chr(10)) as content from code_chunks) k on k.symbol_id = c.caller_id", "code_calls", "code_chunks")
+def call_excerpts(spark, d):
+    k = view(spark, d, "code_chunks").select(F.col("symbol_id").alias("caller_id"), F.replace("content", F.lit(" in "), F.lit("\n")).alias("content"))
+    return view(spark, d, "code_calls").join(k, "caller_id").select("call_id", C.focused_excerpt(F.col("content"), F.col("callee")).alias("excerpt"))
