@@ -76,9 +76,17 @@ def graph_evidence(ev: DataFrame, query: str) -> DataFrame:
 
 
 def semantic(ev: DataFrame, query: str) -> DataFrame:
-    """Token-set overlap of documents whose signature has any candidate term."""
+    """Token-set overlap of documents whose signature has any candidate term.
+
+    Signatures are made only of what can have one: a term of a plain word stands in the text itself, so a
+    text without any of them, and without identifier-like words, is passed over by a look at the text."""
     q = T.driver_terms(query)
-    some = ev.withColumn("sig", T.token_signature(F.col("content"), F.col("labels"), F.col("source_path"))).where(F.arrays_overlap("sig", T.lit_array(T.candidate_terms(q))))
+    terms = T.candidate_terms(q)
+    low = F.lower(F.coalesce("content", F.lit("")))
+    may = F.arrays_overlap(T.terms(F.concat_ws(" ", F.array_join("labels", " "), "source_path")), T.lit_array(terms)) | F.coalesce(F.col("content").rlike(r"_|[0-9]|\S[A-Z]"), F.lit(False))
+    for t in terms:
+        may = may | low.contains(t)
+    some = ev.where(may).withColumn("sig", T.token_signature(F.col("content"), F.col("labels"), F.col("source_path"))).where(F.arrays_overlap("sig", T.lit_array(terms)))
     return some.select("evidence_id", T.semantic_overlap(q, F.col("sig")).alias("score"))
 
 
