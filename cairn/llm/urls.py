@@ -15,6 +15,7 @@ than A-Z are not folded; an empty rule table gives every url the default verdict
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
@@ -107,7 +108,8 @@ def build(rules: DataFrame, bits: int = 0) -> Index:
     os.makedirs(folder, exist_ok=True)
     rules = rules.select("rule", "verdict").where("rule is not null and instr(rule, '/') > 0")
     digest = F.pandas_udf(lambda s: s.map(lambda x: xxhash.xxh64_intdigest(x.encode()) >> (64 - bits) if bits else 0), "long")
-    made = rules.withColumn("shard", digest("rule")).groupBy("shard").applyInPandas(partial(_write, folder=folder), "shard long, n long, lengths array<long>")
+    write: Callable[[pd.DataFrame], pd.DataFrame] = lambda rows: _write(rows, folder)
+    made = rules.withColumn("shard", digest("rule")).groupBy("shard").applyInPandas(write, "shard long, n long, lengths array<long>")
     rows = made.collect()  # a row for each shard
     return Index(folder, {r.shard: r.n for r in rows}, sorted({x for r in rows for x in r.lengths}), bits)
 
