@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning: sentences are instances, documents carry the labels.
 
 A sentence's probability is a logistic of its features (words and word prefixes, folded to lower
-case); a document's is the noisy-or of its sentences, 1 - prod(1 - p). Only document labels are known;
+case); a document's is the noisy-or of its sentences, 1 - prod(1 - p). A sentence whose features don't
+raise it above the bias, as one without any, counts as 0 in it: a document of such sentences alone scores
+less than one sentence at the bias (4.5e-5), the longer the more, however long it is. Only document labels are known;
 the gradient of the noisy-or puts the blame on the sentences that explain them, and the same sentence
 probabilities then locate what offends.
 
@@ -92,7 +94,7 @@ class Model:
         self.seen[(self.keys >> U(44)).astype(np.int64)] = True
 
     def sentences(self, x: Instances) -> np.ndarray:
-        """Each sentence's probability."""
+        """Each sentence's probability: exactly 0 where nothing in it speaks for toxicity."""
         z = np.full(len(x.first), self.bias)
         if not len(self.keys):
             return np.zeros(len(z))
@@ -101,7 +103,14 @@ class Model:
             at = np.minimum(np.searchsorted(self.keys, key[hit]), len(self.keys) - 1)
             good = self.keys[at] == key[hit]
             np.add.at(z, x.sentence[word[hit[good]]], self.weights[at[good]])
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return np.where(z > self.bias, 1 / (1 + np.exp(-np.clip(z, -40, 40))), 0.0)
+
+    def documents(self, p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        """Each document's score from its sentences' probabilities; those without evidence rank by their length, under a fixed bound."""
+        if not len(self.keys):
+            return np.zeros(n)
+        many = np.bincount(doc, minlength=n)
+        return np.maximum(noisy_or(p, doc, n), many / (many + 1) / (1 + np.exp(-self.bias)))
 
 
 def noisy_or(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -173,11 +182,11 @@ def train(texts: list[str], toxic: list[int], features: int = FEATURES, rounds:
         docs.append(x.doc + at)
         count += len(x.doc)
     inst, feat, doc = np.concatenate(inst), np.concatenate(feat), np.concatenate(docs)
-    live = keep[doc]
+    live = keep[doc] & (np.bincount(inst, minlength=len(doc)) > 0)  # plain sentences count as 0 here too
     # Starting from each feature's own odds, and held there weakly: among features that go together the
     # noisy-or would else raise the one that explains a document first and never learn the others.
-    # The bias is fixed, low enough for thousands of plain sentences: where documents are separable it
-    # would drift down and take words with it that only ever come with others.
+    # The bias is fixed: where documents are separable it would drift down and take words with it that
+    # only ever come with others.
     bias = -10.0
     prior = np.maximum(0.0, odds - 0.7 * bias)
     w = prior.copy()
@@ -221,7 +230,7 @@ def _score(batches, model):
             begin = len(text[: a - offsets[d]].decode("utf-8", "ignore"))
             spans[d].append({"begin": begin, "end": len(text.decode("utf-8", "ignore")), "score": float(p[s])})
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-        yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(noisy_or(p, x.doc, n)), pa.array(np.bincount(x.doc, minlength=n)), pa.array(spans, kind)], ["doc_id", "score", "n_sentences", "offending"])
+        yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(model.value.documents(p, x.doc, n)), pa.array(np.bincount(x.doc, minlength=n)), pa.array(spans, kind)], ["doc_id", "score", "n_sentences", "offending"])
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = SAMPLE) -> Model:
@@ -241,7 +250,7 @@ def _clean(batches, model, at: int, threshold: float):
         keep = np.ones(batch.num_rows, bool)
         for rb, buf, offsets in K.slices([rows], "text"):
             x = instances(buf, offsets)
-            keep[np.asarray(rb.column(1))] = noisy_or(model.value.sentences(x), x.doc, len(offsets) - 1) < threshold
+            keep[np.asarray(rb.column(1))] = model.value.documents(model.value.sentences(x), x.doc, len(offsets) - 1) < threshold
         yield batch.filter(pa.array(keep))
 
 

@@ -52,6 +52,19 @@ def test_offending_sentences_are_located(spark, model):
     assert {r.doc_id for r in T.drop_toxic(df, model).collect()} == {2, 3, 4}
 
 
+def test_the_number_of_plain_sentences_never_makes_a_document_toxic(spark, model):
+    """Also of sentences whose only feature has lost its weight."""
+    plain = "plain1 plain2. " * 100_000
+    df = spark.createDataFrame([(1, plain), (2, plain + "you knave."), (3, "\n".join(["plain3"] * 100_000))], "doc_id long, text string")
+    got = {r.doc_id: r for r in T.score(df, model).collect()}
+    assert [got[i].n_sentences for i in (1, 2, 3)] == [100_000, 100_001, 100_000]
+    assert max(got[1].score, got[3].score) < 5e-5 and got[1].predicted == got[3].predicted == 0
+    assert got[2].predicted == 1 and len(got[2].offending) == 1
+    assert {r.doc_id for r in T.drop_toxic(df, model).collect()} == {1, 3}
+    dull = T.Model(model.keys, np.zeros(len(model.keys)), model.bias)
+    assert max(r.score for r in T.score(df, dull).collect()) < 5e-5
+
+
 def test_noisy_or_is_one_minus_the_product():
     p, doc = np.array([0.5, 0.5, 0.2]), np.array([0, 0, 2])
     assert np.allclose(T.noisy_or(p, doc, 3), [0.75, 0, 0.2])
