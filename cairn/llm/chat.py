@@ -5,7 +5,7 @@ Messages may carry blocks, ``<tool_call>{"id", "name", "arguments", "after"}</to
 identifier); only messages that have blocks take part in any join. Order is topological: a result
 comes after its call and a call after the calls that ``after`` names, wherever they stood; what has
 no such constraint keeps its turn. Depths come from repeated joins over the constraints alone, until
-nothing changes. Arguments are validated against the schemas of the known tools (required keys, types
+none is open: chains halve each round, elsewhere a round settles a layer. Arguments are validated against the schemas of the known tools (required keys, types
 of properties, unknown keys). Every item is serialised as canonical JSON: sorted keys, no spaces.
 
 A conversation is never collected: each message, call and result is a row with its sort key
@@ -14,8 +14,8 @@ identifier in a conversation the first (least turn, then text) counts, the other
 same holds for results.
 
 Edge cases: null text is an empty message; a block whose JSON doesn't parse, or has no identifier, is
-malformed; a call without a result, or a result without a call, is an orphan; a cycle of ``after``
-keeps its turns and is marked cyclic; a null role is written as null; null conversations or turns link with nothing.
+malformed; a call without a result, or a result without a call, is an orphan; the members of a cycle of
+``after`` keep their turns and are marked cyclic, calls that name them come after them; a null role is written as null; null conversations or turns link with nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import cut, drop
 
 TOOLS: dict[str, dict] = {
     "search": {"properties": {"query": "string", "limit": "integer"}, "required": ["query"]},
@@ -72,34 +72,96 @@ def _firsts(blocks: DataFrame) -> DataFrame:
     return good.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "at", "body")).alias("f")).select("conv_id", "id", "f.*")
 
 
+def _unfold(state: DataFrame, edges: DataFrame, step: int) -> tuple[DataFrame, DataFrame]:
+    """One round towards s = greatest(s, s of each need, its depth raised by k): (state, edges) after it.
+
+    What is settled (no open edge) is folded into those that need it; an edge to a node with a single
+    edge skips that node, so that chains halve (pointer jumping); the solution stays the same."""
+    key = ["conv_id", "id"]
+    info = state.join(edges.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct("needs", "k")).alias("one")), key, "left")
+    far = edges.join(info.select("conv_id", F.col("id").alias("needs"), F.col("s").alias("far"), "n", "one"), ["conv_id", "needs"])
+    far = cut(far, "after")
+    # the bound only stops the sums of cycles, which are discarded: no depth is above the number of calls
+    up = far.groupBy(key).agg(F.max(F.struct(F.col("far.turn").alias("turn"), (F.col("far.depth") + F.col("k")).alias("depth"))).alias("up"))
+    new = state.join(up, key, "left").select(*key, F.greatest("s", "up").alias("s"))
+    single = F.col("n") == 1
+    left = far.where("n is not null").select(*key, F.when(single, F.col("one.needs")).otherwise(F.col("needs")).alias("needs"), F.when(single, F.least(F.col("k") + F.col("one.k"), F.lit(1 << 40))).otherwise(F.col("k")).alias("k"))
+    left = left.groupBy(*key, "needs").agg(F.max("k").alias("k"))
+    out = cut(new, "depths"), cut(left.where("id <> needs") if step == 0 else left, "after")
+    drop(far)
+    return out
+
+
+def _settle(state: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(state, open): s is right for all calls but the open ones, which are in cycles or after one."""
+    left, before = edges.withColumn("k", F.lit(1).cast("long")), None
+    while True:
+        waiting = left.select("conv_id", "id").distinct()
+        # a round settles at least one call that no cycle is before
+        if (now := waiting.count()) in (0, before):
+            return state, waiting
+        before = now
+        state, left = _unfold(state, left, 1)
+
+
+def _greatest(nodes: DataFrame, edges: DataFrame, seed: int) -> DataFrame:
+    """(conv_id, id, s): s is the greatest label (a hash, then the id) of what a node reaches."""
+    label = F.struct(F.xxhash64(F.lit(seed), "conv_id", "id").alias("hash"), "id")
+    state = nodes.select("conv_id", "id", F.struct(label.alias("turn"), F.lit(0).cast("long").alias("depth")).alias("s"))
+    left = edges.where("id <> needs").withColumn("k", F.lit(0).cast("long"))
+    state, sum_before = cut(state, "depths"), None
+    while True:
+        state, left = _unfold(state, left, 0)
+        now = state.agg(F.sum(F.xxhash64("conv_id", "id", "s").cast("decimal(38,0)"))).first()
+        if now == sum_before:
+            return state
+        sum_before = now
+
+
+def _in_cycles(edges: DataFrame) -> DataFrame:
+    """The edges that lie on cycles (within strongly connected components).
+
+    Ends of an edge that reach, or are reached by, different greatest labels are in different
+    components: such edges go, under other labels each time, until both directions leave all."""
+    turned = lambda e: e.select("conv_id", F.col("needs").alias("id"), F.col("id").alias("needs"))
+    count, seed = edges.count(), 0
+    while count:
+        for way in (lambda e: e, turned):
+            e = way(edges)
+            nodes = e.select("conv_id", "id").union(turned(e).select("conv_id", "id")).distinct()
+            seen = _greatest(nodes, e, seed)
+            own, other = seen.select("conv_id", "id", F.col("s").alias("a")), seen.select("conv_id", F.col("id").alias("needs"), F.col("s").alias("b"))
+            edges = cut(way(e.join(own, ["conv_id", "id"]).join(other, ["conv_id", "needs"]).where("a = b").select("conv_id", "id", "needs")), "after")
+        if (now := edges.count()) == count:
+            break
+        count, seed = now, seed + 1
+    return edges
+
+
 def _depths(calls: DataFrame) -> DataFrame:
     """(conv_id, id, turn, depth, cyclic) of calls: after every call that they name."""
     v = F.try_parse_json("body")
     after = F.from_json(F.to_json(F.try_variant_get(v, "$.after", "variant")), "array<string>")
     named = calls.select("conv_id", "id", F.explode(F.array_distinct(after)).alias("needs"))
     known = calls.select("conv_id", F.col("id").alias("needs"))
-    edges = cut(named.join(known, ["conv_id", "needs"]).distinct(), "after")
-    state = calls.select("conv_id", "id", "turn", F.lit(0).alias("depth"))
+    edges = cut(named.join(known, ["conv_id", "needs"]).distinct().select("conv_id", "id", "needs"), "after")
+    state = calls.select("conv_id", "id", F.struct("turn", F.lit(0).cast("long").alias("depth")).alias("s"))
+    shown = lambda x, cyclic: x.select("conv_id", "id", "s.turn", "s.depth", cyclic.alias("cyclic"))
     if edges.isEmpty():
-        return state.withColumn("cyclic", F.lit(False))
+        return shown(state, F.lit(False))
     own = edges.select("conv_id", "id").union(edges.select("conv_id", F.col("needs").alias("id"))).distinct()
     few = cut(state.join(own, ["conv_id", "id"], "left_semi"), "depths")
-    longest = edges.groupBy("conv_id", "id").count().agg(F.count("*")).first()[0]
-    moved = False
-    for _ in range(min(longest, 1000) + 1):
-        needs = few.select("conv_id", F.col("id").alias("needs"), F.col("turn").alias("t"), F.col("depth").alias("d"))
-        least = edges.join(needs, ["conv_id", "needs"]).groupBy("conv_id", "id").agg(F.max(F.struct("t", F.col("d") + 1)).alias("least"))
-        new = few.join(least, ["conv_id", "id"], "left").select("conv_id", "id", F.greatest(F.struct("turn", "depth"), F.coalesce(F.struct(F.col("least.t").alias("turn"), F.col("least.col2").alias("depth")), F.struct("turn", "depth"))).alias("s"), F.col("turn").alias("t0"), F.col("depth").alias("d0"))
-        new = cut(new.select("conv_id", "id", "s.*", "t0", "d0"), "depths")
-        moved = not new.where("turn <> t0 or depth <> d0").isEmpty()
-        few = new.drop("t0", "d0")
-        if not moved:
-            break
-    done = few.withColumn("cyclic", F.lit(moved) & (F.col("depth") > longest))
-    rest = state.join(own, ["conv_id", "id"], "left_anti").withColumn("cyclic", F.lit(False))
-    back = calls.select("conv_id", "id", F.col("turn").alias("first_turn"))
-    done = done.join(back, ["conv_id", "id"]).select("conv_id", "id", F.when(F.col("cyclic"), F.col("first_turn")).otherwise(F.col("turn")).alias("turn"), F.when(F.col("cyclic"), 0).otherwise(F.col("depth")).alias("depth"), "cyclic")
-    return done.union(rest)
+    done, waiting = _settle(few, edges)
+    rest = shown(state.join(own, ["conv_id", "id"], "left_anti"), F.lit(False))
+    if waiting.isEmpty():
+        return shown(done, F.lit(False)).union(rest)
+    waiting = cut(waiting, "depths")
+    among = edges.join(waiting, ["conv_id", "id"], "left_semi").join(waiting.select("conv_id", F.col("id").alias("needs")), ["conv_id", "needs"], "left_semi")
+    cycles = cut(_in_cycles(cut(among.select("conv_id", "id", "needs"), "after")).select("conv_id", "id").distinct(), "depths")
+    # members of cycles keep their turns; what comes after a cycle is ordered after its members
+    done, _ = _settle(few, edges.join(cycles, ["conv_id", "id"], "left_anti"))
+    done = done.join(cycles.withColumn("in", F.lit(True)), ["conv_id", "id"], "left")
+    return shown(done, F.col("in").isNotNull()).union(rest)
 
 
 def format_chats(df: DataFrame, tools: dict[str, dict] | None = None) -> DataFrame:

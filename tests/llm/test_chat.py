@@ -53,3 +53,50 @@ def test_native_plan_and_whole_tables(spark, sf):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def brute(calls):
+    """{(conv, id): (turn, depth, cyclic)} of (conv, id, turn, after), one conversation after the other."""
+    import sys
+
+    sys.setrecursionlimit(20_000)
+    out = {}
+    for conv in {c[0] for c in calls}:
+        turn = {i: t for c, i, t, _ in calls if c == conv}
+        needs = {i: [x for x in after if x in turn] for c, i, _, after in calls if c == conv}
+        cyclic = set()
+        for i in needs:
+            seen, todo = set(), list(needs[i])
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += needs[x]
+            if i in seen:
+                cyclic.add(i)
+        memo = {i: (turn[i], 0) for i in cyclic}
+
+        def at(i):
+            if i not in memo:
+                memo[i] = max([(turn[i], 0), *((t, d + 1) for t, d in map(at, needs[i]))])
+            return memo[i]
+
+        for i in needs:
+            out[conv, i] = (*at(i), i in cyclic)
+    return out
+
+
+def placed(spark, calls):
+    rows = [(c, t, "assistant", CALL.format(json.dumps({"id": i, "name": "fetch", "arguments": {"url": "u"}, "after": after}))) for c, i, t, after in calls]
+    return {(r.conv_id, json.loads(r.line)["id"]): (r.turn, r.depth, r.status == "cyclic") for r in formatted(spark, rows) if r.kind == "call"}
+
+
+def test_cycles_and_long_chains_beside_more_than_a_thousand_dependencies(spark):
+    """A chain of 1,500 in one turn, a cycle of 37 and what comes after it, and a cycle of two in other conversations."""
+    calls = [(1, f"c{i}", 5, [f"c{i - 1}"] if i else []) for i in range(1500)]
+    calls += [(2, f"r{i}", i % 3, [f"r{(i + 1) % 37}"]) for i in range(37)] + [(2, "then", 2, ["r0", "r5"]), (2, "before", 0, [])]
+    calls += [(3, "x", 0, ["y"]), (3, "y", 0, ["x"]), (4, "self", 0, ["self"])]
+    got = placed(spark, calls)
+    assert got == brute(calls)
+    assert got[1, "c1499"] == (5, 1499, False) and got[3, "x"] == got[3, "y"] == got[4, "self"] == (0, 0, True)
+    assert got[2, "then"] == (2, 1, False) and sum(c for *_, c in got.values()) == 40
