@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 SCHEMA = "scope string, file_id string, path string, fact string, name string, kind string, detail string, line_start long, line_end long, content string"
 CHUNK_BYTES, CHUNK_LINES = 8000, 200
+WHOLE_LANGUAGES = set("cmake dockerfile gomod gotemplate ini jinja2 json make markdown ninja properties starlark toml xml yaml".split())
+WHOLE_MANIFESTS = {"go.mod", "go.work", "package.json", "pnpm-workspace.yaml", "pnpm-workspace.yml"}
+_SOURCE = re.compile(r"[\w#@]")
 
 _SYMBOLS = {
     "rust": [(r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)", "function"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)", "struct"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)", "enum"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)", "trait"), (r"^\s*macro_rules!\s+(\w+)", "macro")],
@@ -192,12 +195,25 @@ def workspaces(path: str, content: str) -> Iterator[tuple]:
             yield x, "npm"
 
 
-def chunks(lines: list[str], symbols: list[tuple]) -> Iterator[tuple]:
-    """One chunk for each symbol and one for what precedes the first; at most 200 lines and 8000 bytes each."""
-    spans = [(s[1], s[4], s[5]) for s in symbols] or [("", 1, len(lines))]
-    for name, a, b in spans:
-        b = min(b, a + CHUNK_LINES - 1)
-        yield name, a, b, "\n".join(lines[a - 1 : b]).encode()[:CHUNK_BYTES].decode("utf-8", "ignore")
+def _trimmed(text: str) -> str:
+    return text.encode("utf-8", "replace")[:CHUNK_BYTES].decode("utf-8", "ignore").strip()
+
+
+def chunks(path: str, lang: str | None, content: str, lines: list[str], symbols: list[tuple]) -> Iterator[tuple]:
+    """(name, first line, last line, text): one chunk for each symbol, of at most 8000 bytes, and one of the file.
+
+    The file's chunk is there without symbols, for languages that are kept whole, and where a file of at
+    most 8000 bytes and 200 lines has source outside its symbols. It has at most 8000 bytes too, but
+    for manifests, which are complete."""
+    covered = [False] * len(lines)
+    for s in symbols:
+        yield s[1], s[4], s[5], _trimmed("\n".join(lines[s[4] - 1 : s[5]]).strip())
+        covered[s[4] - 1 : s[5]] = [True] * len(covered[s[4] - 1 : s[5]])
+    count = content.count("\n") + 1  # as the reference counts them: a last line break starts a line
+    small = len(content.encode("utf-8", "replace")) <= CHUNK_BYTES and count <= CHUNK_LINES
+    if not symbols or lang in WHOLE_LANGUAGES or small and any(not c and _SOURCE.search(x) for c, x in zip(covered, lines)):
+        whole = path.replace("\\", "/").rsplit("/", 1)[-1] in WHOLE_MANIFESTS
+        yield "", 1, count, content.strip() if whole else _trimmed(content)
 
 
 def facts_of(path: str, lang: str | None, content: str) -> Iterator[tuple]:
@@ -210,7 +226,7 @@ def facts_of(path: str, lang: str | None, content: str) -> Iterator[tuple]:
         yield "diagnostic", "parse", "degraded", str(e)[:200], 1, len(lines), ""
     for f in found:
         yield (*f, "")
-    for name, a, b, text in chunks(lines, [f for f in found if f[0] == "symbol"]) if content else ():
+    for name, a, b, text in chunks(path, lang, content, lines, [f for f in found if f[0] == "symbol"]) if content else ():
         yield "chunk", name, lang or "text", "", a, b, text
     for n, line in enumerate(lines, 1):
         for pattern, source, edge in _FLAGS:

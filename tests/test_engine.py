@@ -133,6 +133,28 @@ def test_files_and_facts(files, facts):
     assert {r.name for r in facts.where("fact = 'chunk' and path = 'src/broken.py'").collect()} == {""}
 
 
+def test_chunks_keep_long_symbols_uncovered_source_and_manifests(spark):
+    long = "def f():\n" + "".join(f"    x{i} = {i}\n" for i in range(300)) + "    return last_of_f\n"
+    texts = {
+        "long.py": "TOP = 1\n" + long,
+        "top.py": "# about\nLIMIT = 3\n\ndef g():\n    return LIMIT\n",
+        "covered.py": "def g():\n    return 1\n\n\ndef h():\n    return 2\n",
+        "a/package.json": '{"padding": "' + "x" * 9000 + '", "main": "tail.ts"}',
+        "conf.json": '{"padding": "' + "x" * 9000 + '", "main": "tail.ts"}',
+        "b/go.mod": "// " + "x" * 9000 + "\nmodule tail\n",
+        "guide.md": "intro\n# One\n" + "text\n" * 300,
+        "wide.py": "def w():\n    return '" + "é" * 5000 + "'\n",
+    }
+    files = spark.createDataFrame([("s", p, p, t) for p, t in texts.items()], "scope string, file_id string, path string, content string")
+    got = {(r.path, r.name): r for r in X.extract(files).where("fact = 'chunk'").collect()}
+    assert set(got) == {("long.py", "f"), ("top.py", "g"), ("top.py", ""), ("covered.py", "g"), ("covered.py", "h"), ("a/package.json", ""), ("conf.json", ""), ("b/go.mod", ""), ("guide.md", "One"), ("guide.md", ""), ("wide.py", "w")}
+    assert got["long.py", "f"].content == long.strip() and got["long.py", "f"].line_end == 303
+    assert got["top.py", ""].content == texts["top.py"].strip() and (got["top.py", ""].line_start, got["top.py", ""].line_end) == (1, 6)
+    assert got["a/package.json", ""].content == texts["a/package.json"] and got["b/go.mod", ""].content == texts["b/go.mod"].strip()
+    assert len(got["conf.json", ""].content) == 8000 and got["guide.md", ""].content.startswith("intro")
+    assert 7990 <= len(got["wide.py", "w"].content.encode()) <= 8000
+
+
 def test_software_views(files):
     assert [(r.topic, r.level) for r in Sw.topics(files).orderBy("line").collect()] == [("Guide", 1), ("Set up", 2)]
     assert {(r.kind, r.name) for r in Sw.build_targets(files).collect()} >= {("make", "build"), ("go", "m")}
