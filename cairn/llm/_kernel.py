@@ -7,13 +7,15 @@ text larger than that is a slice of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 4 << 20
-_SEG = 1 << 20  # bytes hashed at a time
+_LANES = 64  # bytes of a word that are hashed here, eight at a time
 
 U = np.uint64
 _WS = np.zeros(256, bool)
@@ -21,10 +23,9 @@ _WS[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _rng = np.random.default_rng(0x5EED)
-_BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _MIX = _rng.integers(1, 2**64 - 1, 64, dtype=np.uint64) | U(1)
 _BASE = U(0x9E3779B97F4A7C15)
-_pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,22 +38,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse modulo 2**64."""
-    size = _SEG if n <= _SEG else n
-    if size not in _pow:
-        inverse = pow(int(_BASE), -1, 2**64)
-        both = []
-        for base in (int(_BASE), inverse):
-            a = np.full(size + 1, base, np.uint64)
-            a[0] = 1
-            both.append(np.multiply.accumulate(a))
-        if size > _SEG:
-            return both[0], both[1]
-        _pow[size] = (both[0], both[1])
-    return _pow[size]
-
-
 def slices(batches, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, buffer, offsets) for slices of about ``most`` bytes of text; a null text is empty."""
     for batch in batches:
@@ -93,19 +78,68 @@ def lower(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
+def _lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one little-endian number (zeros follow the end)."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+
+
 def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same wherever the word stands."""
-    out = np.empty(len(start), np.uint64)
-    lo = 0
-    while lo < len(start):
-        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + _SEG, "right")))
-        a, b = int(start[lo]), int(end[hi - 1])
-        p, q = _powers(b - a)
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTE[buf[a:b]] * p[: b - a], out=sums[1:])
-        out[lo:hi] = (sums[end[lo:hi] - a] - sums[start[lo:hi] - a]) * q[start[lo:hi] - a]
-        lo = hi
-    return mix(out + (end - start).astype(np.uint64))
+    """A 64-bit hash of each word's bytes, the same wherever the word stands.
+
+    The state is mixed after each eight bytes, so no algebra of the text cancels out (a sum of powers
+    would collide on words built for that); words of more than ``_LANES`` bytes go to xxh3. Words of up
+    to eight bytes never collide with each other. Where a collision would change a result, the caller
+    confirms with ``word_ids`` or ``same_words``."""
+    n = end - start
+    out = n.astype(np.uint64) * _BASE
+    lanes = _lanes(buf)
+    todo = np.flatnonzero(n <= _LANES)
+    at, left = start[todo], n[todo]
+    while len(todo):
+        out[todo] = mix(out[todo] ^ (lanes[at] & _MASK[np.minimum(left, 8)]))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(n > _LANES)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(buf))
+        out[long] = [xxhash.xxh3_64_intdigest(view[a:b], 0x5EED) for a, b in zip(start[long].tolist(), end[long].tolist())]
+    return out
+
+
+def same_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether words i and j are the same bytes, pair by pair."""
+    n = end[i] - start[i]
+    same = n == end[j] - start[j]
+    lanes = _lanes(buf)
+    todo = np.flatnonzero(same & (n <= _LANES))
+    x, y, left = start[i[todo]], start[j[todo]], n[todo]
+    while len(todo):
+        ok = (lanes[x] ^ lanes[y]) & _MASK[np.minimum(left, 8)] == 0
+        same[todo[~ok]] = False
+        more = ok & (left > 8)
+        todo, x, y, left = todo[more], x[more] + 8, y[more] + 8, left[more] - 8
+    for t in np.flatnonzero(same & (n > _LANES)):
+        same[t] = np.array_equal(buf[start[i[t]] : end[i[t]]], buf[start[j[t]] : end[j[t]]])
+    return same
+
+
+def word_ids(buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray | None = None) -> np.ndarray:
+    """Numbers that are equal exactly where words are: grouped by hash, then confirmed on their bytes."""
+    h = word_hashes(buf, start, end) if h is None else h
+    first, ids = np.unique(h, return_index=True, return_inverse=True)[1:]
+    odd = np.flatnonzero(~same_words(buf, start, end, np.arange(len(h)), first[ids]))
+    names: dict[bytes, int] = {}
+    for i in odd:  # collisions: rare, and told apart by their bytes
+        ids[i] = len(first) + names.setdefault(buf[start[i] : end[i]].tobytes(), len(names))
+    return ids
+
+
+def digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """128 bits of SHA-256 of each text's words, joined by one space."""
+    view = memoryview(np.ascontiguousarray(buf))
+    return [hashlib.sha256(b" ".join(bytes(view[start[a] : end[b - 1]]).split())).digest()[:16] if b > a else b"" for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:

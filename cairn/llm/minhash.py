@@ -6,17 +6,25 @@ variance, and an element stops as soon as no register can still fall. Here all e
 take step j together and a text drops out once its highest register lies under j + 1; the signatures
 are the same as one element after the other would give.
 
-Every decision is exact: bands only propose. Texts with the same set are one class. In each bucket of
-a band all members are checked against its least member first; then components are formed, and every
-pair of a bucket whose components still differ is checked as well, unless half of its registers tell
-it apart. So no link that a band proposes is lost, and a hot bucket costs a line of checks, not a square, unless its members truly differ.
+Every decision is exact: bands only propose, and a link counts once the words of both texts confirm it.
+Texts of the same words are one class (by a cryptographic digest). In each bucket of a band all members
+are checked against its least member first; then components are formed, and pairs of a bucket whose
+components still differ are checked as well. In a bucket of up to ``most`` members those are all pairs
+that the register sketches don't tell apart (a pair at 0.8 is lost there with a chance of 1e-9). Larger
+buckets never make all pairs: their members go through an exact prefix join instead. Sets in which
+shingles stand in the order of their frequency can only reach the similarity if they share one of their
+first n - ceil(similarity * n) + 1 shingles, so what many texts have in common (a template, a notice)
+proposes nothing. The frequencies are a hashed table of bounded size; any table gives a valid order.
 
 Edge cases: null or wordless text has no shingles, stays alone and is kept; fewer words than a
-shingle give one shingle; a row with a null id is returned alone, with a null component, kept.
+shingle give one shingle; a row with a null id is returned alone, with a null component, kept; rows
+with equal ids are one node. Very long texts are worked on whole, an empty table gives no rows, and
+extra columns of any name are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -25,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._shared import components, cut, drop, text_id
+from ._shared import components, cut, text_id
 
 BANDS, ROWS = 28, 5  # a pair at similarity 0.8 misses every band with probability 1.5e-5
 SKETCH = 64  # registers kept, a byte each: such a pair agrees in under half of them with probability 1e-9
+MOST = 512  # members of a bucket up to which its pairs are looked at one by one
+TABLE = 20  # bits of the frequency table
 U = np.uint64
 _STEP = U(0x9E3779B97F4A7C15)
 
@@ -82,81 +92,218 @@ def superminhash(values: np.ndarray, bounds: np.ndarray, m: int) -> np.ndarray:
 
 
 def _sets(rb, buf, offsets, k, fold):
-    start, end, bounds = K.words(buf, offsets)
-    return K.shingles(K.word_hashes(K.lower(buf) if fold else buf, start, end), bounds, k)
+    low = K.lower(buf) if fold else buf
+    start, end, bounds = K.words(low, offsets)
+    return K.shingles(K.word_hashes(low, start, end), bounds, k), (low, start, end, bounds)
 
 
 def _sign(batches, k: int, bands: int, rows: int, fold: bool):
     for rb, buf, offsets in K.slices(batches, "text"):
-        values, bounds = _sets(rb, buf, offsets, k, fold)
+        (values, bounds), words = _sets(rb, buf, offsets, k, fold)
         reg = superminhash(values, bounds, bands * rows)
         keys = K.mix(K.segment_sums(K.mix(reg.ravel() + np.tile(np.arange(rows, dtype=np.uint64), len(reg) * bands) * _STEP), np.arange(0, reg.size + 1, rows)) + np.tile(np.arange(1, bands + 1, dtype=np.uint64), len(reg)))
         n = np.diff(bounds)
         yield pa.RecordBatch.from_arrays([
-            rb.column(0), pa.array(n),
-            pa.array(K.segment_sums(K.mix(values), bounds).view(np.int64)),
-            pa.array(K.segment_sums(K.mix(values + _STEP), bounds).view(np.int64)),
+            rb.column(0), pa.array(n), pa.array(K.digests(*words), pa.binary()),
             K.int64_lists(keys.reshape(-1, bands)[n > 0].ravel(), np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))])),
             pa.FixedSizeListArray.from_arrays(pa.array((reg[:, :SKETCH] & U(0xFF)).astype(np.uint8).view(np.int8).ravel()), min(SKETCH, bands * rows)).cast(pa.list_(pa.int8())),
-        ], ["doc_id", "n", "d1", "d2", "bands", "sketch"])
+        ], ["doc_id", "n", "digest", "bands", "sketch"])
 
 
-def _full_sets(batches, k: int, fold: bool):
+class Texts:
+    """Some texts, and whether pairs of them are similar: by shingle hashes, confirmed on the words."""
+
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, k: int, fold: bool):
+        self.k, self.buf = k, K.lower(buf) if fold else buf
+        self.start, self.end, self.bounds = K.words(self.buf, offsets)
+        g = K.grams(K.word_hashes(self.buf, self.start, self.end), k)
+        self.hashes, self.places = [], []
+        one, two = [], []
+        for a, b in zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist()):
+            own = g[a : max(a, b - k + 1)]
+            order = np.argsort(own, kind="stable")
+            h = own[order]
+            new = np.ones(len(h), bool)
+            np.not_equal(h[1:], h[:-1], out=new[1:])
+            at = order + a
+            first = np.flatnonzero(new)
+            again = np.flatnonzero(~new)
+            one.append(at[again])
+            two.append(at[again - 1])
+            self.hashes.append(h[first])
+            self.places.append(at[first])
+        self.sizes = [len(h) for h in self.hashes]
+        # texts with two shingles of one hash: rare, and compared as sets of words
+        x, y = np.concatenate(one or [self.bounds[:0]]), np.concatenate(two or [self.bounds[:0]])
+        bad = ~self._alike(x, y)
+        self.odd = set((np.searchsorted(self.bounds, x[bad], "right") - 1).tolist())
+
+    def _alike(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the shingles at words x and y are the same."""
+        same = np.ones(len(x), bool)
+        for j in range(self.k if len(x) else 0):
+            same &= K.same_words(self.buf, self.start, self.end, x + j, y + j)
+        return same
+
+    def _set(self, i: int) -> set[tuple[bytes, ...]]:
+        a, b = self.bounds[i], self.bounds[i + 1]
+        w = [self.buf[x:y].tobytes() for x, y in zip(self.start[a:b], self.end[a:b])]
+        return {tuple(w[j : j + self.k]) for j in range(max(1, len(w) - self.k + 1))} if w else set()
+
+    def _exact(self, i: int, j: int, percent: int) -> bool:
+        x, y = self._set(i), self._set(j)
+        return bool(x) and 100 * len(x & y) >= percent * len(x | y)
+
+    def similar(self, pairs: list[tuple[int, int]], percent: int) -> list[bool]:
+        """For each pair whether 100 * intersection >= percent * union."""
+        out, one, two, whose = [], [], [], []
+        for p, (i, j) in enumerate(pairs):
+            m, n = self.sizes[i], self.sizes[j]
+            if not m or not n or i in self.odd or j in self.odd:  # less than a shingle of words, or colliding ones
+                out.append(self._exact(i, j, percent))
+                continue
+            x, y = (i, j) if m >= n else (j, i)
+            at = np.searchsorted(self.hashes[x], self.hashes[y])
+            hit = np.flatnonzero(self.hashes[x][np.minimum(at, len(self.hashes[x]) - 1)] == self.hashes[y])
+            out.append(100 * len(hit) >= percent * (m + n - len(hit)))
+            if out[-1]:
+                one.append(self.places[x][at[hit]])
+                two.append(self.places[y][hit])
+                whose.append(np.full(len(hit), p))
+        if one:
+            for p in np.unique(np.concatenate(whose)[~self._alike(np.concatenate(one), np.concatenate(two))]).tolist():
+                out[p] = self._exact(*pairs[p], percent)
+        return out
+
+
+def _confirm(batches, k: int, fold: bool, percent: int):
+    """Similar pairs (a, b) of rows (a, salt, side, doc_id, text), sorted: each group's hub comes before its partners."""
+    group, hubs = None, []  # the texts of the hub whose group goes on in the next slice
     for rb, buf, offsets in K.slices(batches, "text"):
-        values, bounds = _sets(rb, buf, offsets, k, fold)
-        yield pa.RecordBatch.from_arrays([rb.column(0), K.int64_lists(values, bounds)], ["doc_id", "items"])
+        data = buf.tobytes()
+        texts = [t for _, t in hubs] + [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        own = [(group, i) for i in range(len(hubs))]  # hubs among texts
+        pairs, found = [], []
+        a, salt, side, ids = (rb.column(i).to_pylist() for i in range(4))
+        shift = len(hubs)
+        for r in range(rb.num_rows):
+            if (a[r], salt[r]) != group:
+                group, own = (a[r], salt[r]), []
+            if side[r] == 0:
+                own.append((group, r + shift))
+                continue
+            for _, h in own:
+                pairs.append((h, r + shift))
+                found.append((a[r], ids[r]))
+        if pairs:
+            whole = np.frombuffer(b"".join(texts), np.uint8)
+            good = Texts(whole, np.cumsum([0, *map(len, texts)]), k, fold).similar(pairs, percent)
+            links = sorted({f for f, ok in zip(found, good) if ok})
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
+        hubs = [(g, texts[h]) for g, h in own]
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, fold: bool, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    The hub a of a star may have any number of partners: its set is copied to salts of 500 partners."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    # merged at every size: few ids would be broadcast, many not, and small runs then tell nothing of large ones
-    sets = docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(partial(_full_sets, k=k, fold=fold), "doc_id long, items array<long>")
-    sets = cut(sets, "sets")
+    The hub a of a star may have any number of partners: its text goes to each salt of 500 of them. Texts
+    move twice: to the list of the groups they are in, and to those groups."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("salts"))
-    salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
-    left = sets.join(salts, sets.doc_id == salts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("items").alias("x"))
-    right = salted.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return right.join(left, ["a", "salt"]).where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"), sets
+    hubs = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), F.col("a").alias("doc_id"))
+    partners = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("side"), F.col("b").alias("doc_id"))
+    # merged at every size: few ids would be broadcast, many not, and small runs then tell nothing of large ones
+    rows = docs.join(hubs.union(partners).hint("merge"), "doc_id").select("a", "salt", "side", "doc_id", "text")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "side").mapInArrow(partial(_confirm, k=k, fold=fold, percent=percent), "a long, b long").distinct()
+
+
+def _counts(batches, k: int, fold: bool):
+    for rb, buf, offsets in K.slices(batches, "text"):
+        (values, _), _ = _sets(rb, buf, offsets, k, fold)
+        at, n = np.unique(values >> U(64 - TABLE), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n)], ["at", "n"])
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, fold_case: bool = True, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _prefixes(batches, k: int, fold: bool, percent: int, table):
+    """The shingles one of which a text shares with whatever is similar to it: the first in the order of frequency."""
+    often = table.value
+    for rb, buf, offsets in K.slices(batches, "text"):
+        (values, bounds), _ = _sets(rb, buf, offsets, k, fold)
+        ids, toks = [], []
+        for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            own = values[a:b]
+            n = b - a
+            first = own[np.lexsort((own, often[(own >> U(64 - TABLE)).astype(np.int64)]))][: n - -(-percent * n // 100) + 1]
+            toks.append(first)
+            ids += [rb.column(0)[d].as_py()] * len(first)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(ids, pa.int64())], ["key", "doc_id"])
+
+
+def _prefix_members(hot: DataFrame, docs: DataFrame, k: int, fold: bool, percent: int) -> DataFrame:
+    """(key, doc_id): the prefix shingles of the documents (doc_id) in hot buckets."""
+    texts = docs.join(hot.hint("merge"), "doc_id", "left_semi")
+    table = np.zeros(1 << TABLE, np.int64)
+    for r in texts.mapInArrow(partial(_counts, k=k, fold=fold), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():  # at most 2**TABLE rows
+        table[r.at] = r.n
+    return texts.mapInArrow(partial(_prefixes, k=k, fold=fold, percent=percent, table=docs.sparkSession.sparkContext.broadcast(table)), "key long, doc_id long")
+
+
+def _within(members: DataFrame, percent: int, most: int, split_hot: bool) -> DataFrame:
+    """(a, b): pairs of a key's members (key, doc_id, n, comp, sketch) in different components that sizes and sketches allow.
+
+    Keys with more than ``most`` members take part only with ``split_hot``, as a grid of blocks of ``most``."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    m = members.join(sizes.select("key", F.ceil(F.col("c") / most).cast("int").alias("blocks")), "key")
+    if not split_hot:
+        m = m.where("blocks = 1")
+    block, every = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x, y = m.select("*", block.alias("p"), every.alias("q")).alias("x"), m.select("*", every.alias("p"), block.alias("q")).alias("y")
+    alike = F.size(F.filter(F.zip_with("x.sketch", "y.sketch", lambda p, q: p == q), lambda p: p))
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "p", "q")]
+    fit = [F.col("x.comp") < F.col("y.comp"), 100 * F.col("x.n") >= percent * F.col("y.n"), 100 * F.col("y.n") >= percent * F.col("x.n"), 160 * alike >= percent * F.size("x.sketch")]
+    for c in on[1:] + fit:
+        on[0] = on[0] & c
+    return x.join(y, on[0]).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+
+
+def _left_apart(members: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFrame, k: int, fold: bool, percent: int, most: int) -> Iterator[DataFrame]:
+    """Candidate pairs of buckets whose members aren't all in one component: from small buckets, and from hot ones."""
+    named = comps.withColumnRenamed("node", "doc_id")
+    of = members.join(named, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    sizes = of.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c")
+    left = cut(of.join(sizes, "key"), "apart")
+    extra = reps.select("doc_id", "n", "sketch")
+    yield _within(left.where(F.col("c") <= most).select("key", "doc_id", "comp").join(extra, "doc_id"), percent, most, False)
+    hot = cut(left.where(F.col("c") > most).select("doc_id", "comp").distinct(), "hot")
+    if not hot.isEmpty():
+        yield _within(_prefix_members(hot.select("doc_id"), docs, k, fold, percent).join(hot.join(extra, "doc_id"), "doc_id"), percent, most, True)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, fold_case: bool = True, bands: int = BANDS, rows: int = ROWS, most: int = MOST) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of df.
 
     Documents are linked if percent * union <= 100 * intersection of their shingle sets; a component
     is what links reach, named by its least id, and only that document is kept."""
     docs = text_id(df, id_col, text_col)
-    signed = cut(docs.mapInArrow(partial(_sign, k=shingle, bands=bands, rows=rows, fold=fold_case), "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<tinyint>"), "signed")
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n > 0")
-    rows_ = reps.select("doc_id", "n", F.explode("bands").alias("key"))
-    sketches = reps.select("doc_id", "sketch")
-    buckets = rows_.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
+    signed = cut(docs.mapInArrow(partial(_sign, k=shingle, bands=bands, rows=rows, fold=fold_case), "doc_id long, n long, digest binary, bands array<long>, sketch array<tinyint>"), "signed")
+    classes = signed.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    reps = signed.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").where("n > 0")
+    rows_ = reps.select("doc_id", F.explode("bands").alias("key"))
+    buckets = rows_.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("key", "a")
     # only what shares a bucket goes on
     members = cut(rows_.join(buckets, "key").distinct(), "members")
     stars = members.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    edges, sets = _verified(stars, docs, shingle, fold_case, percent)
-    edges = cut(edges, "edges")
-    drop(sets)
+    edges = cut(_verified(cut(stars, "stars"), docs, shingle, fold_case, percent), "edges")
     comps = components(edges)
-    # pairs of a bucket that are not in one component yet
-    of = members.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "a", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
-    split = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = of.join(split, "key", "left_semi").join(sketches, "doc_id")
-    alike = F.size(F.filter(F.zip_with("x.sketch", "y.sketch", lambda p, q: p == q), lambda p: p))
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.col("x.doc_id") != F.col("x.a")) & (F.col("y.doc_id") != F.col("y.a")) & (100 * F.col("x.n") >= percent * F.col("y.n")) & (100 * F.col("y.n") >= percent * F.col("x.n")) & (160 * alike >= percent * F.size("x.sketch")))
-    rest = cut(rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "rest")
+    rest = None
+    for pairs in _left_apart(members.where("doc_id <> a"), comps, reps, docs, shingle, fold_case, percent, most):
+        rest = pairs if rest is None else rest.union(pairs)
+    rest = cut(rest.distinct(), "rest")
     if not rest.isEmpty():
-        more, sets = _verified(rest, docs, shingle, fold_case, percent)
-        more = cut(more, "edges")
-        drop(sets)
+        more = cut(_verified(rest, docs, shingle, fold_case, percent), "edges")
         if not more.isEmpty():
             comps = components(edges.union(more))
-    named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(named, ["n", "d1", "d2"], "left")
+    named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    out = signed.select("doc_id", "n", "digest").join(named, "digest", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))

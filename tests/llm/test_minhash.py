@@ -94,3 +94,33 @@ def test_a_hot_group_of_near_copies_is_one_component(spark):
     df = spark.createDataFrame([*rows, (5000, "nothing like the others " * 20)], "doc_id long, text string")
     got = result(df)
     assert {c for i, (_, c, _) in got.items() if i < 5000} == {0} and got[5000][1] == 5000
+
+
+def test_words_that_sums_of_powers_confuse_are_different(spark):
+    x = "a"
+    while len(x) < 4096:
+        x += x.translate({97: 98, 98: 97})
+    rows = [(i, w) for i, n in ((0, 1024), (10, 4096)) for i, w in ((i, x[:n]), (i + 1, x[:n].translate({97: 98, 98: 97})), (i + 2, x[:n]))]
+    rows += [(20, "a b c d e f g h " + x), (21, "a b c d e f g h " + x.translate({97: 98, 98: 97}))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df, shingle=2) == brute(rows, 2)
+    assert result(df, shingle=2)[1] == (1, 1, True)
+
+
+def test_links_are_confirmed_on_words(monkeypatch):
+    """With hashes that tell nothing apart, the words still do."""
+    monkeypatch.setattr(K, "grams", lambda h, k: np.zeros(max(0, len(h) - k + 1), np.uint64))
+    data = [b"a b c d e", b"a b c d e f", b"p q r s t", b"a b", b"a b", b"p q"]
+    x = minhash.Texts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), 4, True)
+    assert x.similar([(0, 1), (0, 2), (3, 4), (3, 5), (0, 3)], 60) == [True, False, True, False, False]
+
+
+def test_a_hot_bucket_of_a_template(spark):
+    """Texts that share half of their shingles, beyond what a bucket looks at pair by pair; some are near copies."""
+    template = " ".join(f"t{i}" for i in range(40))
+    rows = [(i, template + " " + " ".join(f"d{i // 2 if i % 7 == 1 else i}x{j}" for j in range(30))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 3)
+    assert len({c for _, c, _ in want.values()}) > 40
+    assert result(df, shingle=3, rows=1, most=8) == want
+    assert result(df, shingle=3, rows=1) == want
