@@ -18,22 +18,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: its least id. Documents with a null id all stay."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group stays: its least id, and of the rows with that id the least. Rows with a null id all stay."""
+    made = cut(minhash.near_duplicates(docs), "near")
+    gone = made.where("not kept").select("doc_id").distinct()
+    repeated = cut(made.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    once = docs.join(gone.union(repeated), "doc_id", "left_anti").select(docs.columns)
+    # inner names, so that no column can clash; a min is pre-aggregated, however often an id occurs
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key = names[docs.columns.index("doc_id")]
+    many = docs.toDF(*names).join(repeated.withColumnRenamed("doc_id", key), key, "left_semi")
+    least = many.groupBy(key).agg(F.min(F.struct(*names)).alias("row")).select("row.*").toDF(*docs.columns)
+    return once.union(least)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 50-word passages that an earlier document has; n_chars follows the text.
-
-    Ids that occur more than once are one document to this stage; their rows stay as they are."""
-    made = substring.remove_repeats(docs, with_text=True).where("n_removed > 0").groupBy("doc_id").agg(F.min("kept_text").alias("_kept_text"), F.count("*").alias("_rows"))
-    joined = docs.join(made, "doc_id", "left")
-    new = F.col("_rows").isNotNull() & (F.col("_rows") == 1)
-    out = joined.withColumn("text", F.when(new, F.col("_kept_text")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(new, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    """Texts without the 50-word passages that an earlier document has; n_chars, where there is one, follows the text."""
+    return substring.cut_repeats(docs, chars_col="n_chars")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
