@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -34,7 +36,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_cairn_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(prefix="cairn-zip-"), "cairn_pkg.zip")
+    folder = tempfile.mkdtemp(prefix="cairn-zip-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "cairn_pkg.zip")
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
