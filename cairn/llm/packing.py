@@ -6,14 +6,19 @@ For each length, largest first, the gap it leaves is looked up among the availab
 sums of two and sums of three (a table of availability counts by length; a pair or triple is found
 from its complement). A combination that fills the gap exactly is consumed as often as counts allow.
 What is left is packed best-fit, in bulk as well: each remaining length,
-longest first, takes the combination that leaves the least of its gap. The result is a list of slots: so many
+longest first, takes the combination that leaves the least of its gap. How many pieces a complement may
+have, and whether pairs are as uneven or as even as can be, decides which short pieces are left for
+the residuals; each choice is worked out (always complements first, then residuals) and the one of the
+fewest sequences counts. The result is a list of slots: so many
 pieces of this length, ranks r0 to r1 of their kind, go to sequences from s on, at this offset.
 
 Pieces learn their rank without a shuffle by length: each task numbers its own pieces of each length,
 and running totals over tasks give the base. No length, however frequent, meets in one task.
 
 Edge cases: null and empty texts are the end mark alone; documents of the same length are
-interchangeable and ranked in the order they lie; a null id is packed like any other.
+interchangeable and ranked in the order they lie; a null id is packed like any other, and so is each
+row of a repeated id. A very long text is encoded whole and cut into pieces of the capacity; an empty
+table gives no rows; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -97,11 +102,8 @@ def _pieces(batches, path: str, capacity: int, end: int):
 
 
 def solve(counts: np.ndarray, capacity: int) -> np.ndarray:
-    """Slots (length, r0, r1, first sequence, offset) for counts[length] pieces of each length.
-
-    Complements are consumed in three ways (pairs as uneven or as even as can be, or residual filling
-    from the start); the fewest sequences count."""
-    ways = [_patterns(counts, capacity, parts, even) for parts, even in ((3, False), (3, True), (0, False))]
+    """Slots (length, r0, r1, first sequence, offset) for counts[length] pieces of each length: the best of the ways."""
+    ways = [_patterns(counts, capacity, parts, even) for parts in (1, 2, 3) for even in (False, True)[: parts]]
     patterns = min(ways, key=lambda w: sum(k for _, k in w))
     slots, ranks, sequence = [], np.zeros(capacity + 1, np.int64), 0
     for lengths, k in patterns:
@@ -171,7 +173,7 @@ def _patterns(counts: np.ndarray, capacity: int, parts: int, even: bool) -> list
         return None
 
     take((capacity,))
-    for length in range(capacity - 1, 0, -1) if parts else ():
+    for length in range(capacity - 1, 0, -1):
         gap = capacity - length
         while left[length]:
             spare = left.copy()

@@ -86,3 +86,25 @@ def test_exact_complements_leave_no_gap():
     slots = packing.solve(c, 100)
     total = int((np.arange(101) * c).sum())
     assert len({s + k for _, a, b, s, _ in slots for k in range(b - a)}) == -(-total // 100)
+
+
+def test_every_way_begins_with_complements():
+    """Where an exact single complement exists, each way uses it before any residual."""
+    c = np.zeros(101, int)
+    c[[60, 40, 35, 25]] = [3, 3, 1, 1]
+    for parts, even in ((1, False), (2, False), (2, True), (3, False), (3, True)):
+        patterns = packing._patterns(c, 100, parts, even)
+        assert patterns[0] == ((60, 40), 3) and sum(k for _, k in patterns) == 4
+
+
+def test_real_lengths_come_within_a_percent_of_the_bound():
+    r = np.random.default_rng(5)
+    for n in (200, 2000):
+        lengths = np.clip(r.lognormal(5.3, 1.1, n).astype(int), 1, 20_000)
+        c = np.zeros(1025, np.int64)
+        for x in lengths:
+            c[1024] += x // 1024
+            c[x % 1024] += x % 1024 > 0
+        got = packing.solve(c, 1024)
+        bound = -(-int((np.arange(1025) * c).sum()) // 1024)
+        assert len({s + k for _, a, b, s, _ in got for k in range(b - a)}) <= bound * 1.01 + 1
