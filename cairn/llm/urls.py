@@ -9,11 +9,15 @@ the candidate strings' digests are looked up by one vectorised binary search a b
 only if the stored string is the candidate's, so colliding digests do no harm.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and no rule; letters other
-than A-Z are not folded; an empty rule table gives every url the default verdict.
+than A-Z are not folded, neither in hosts of urls nor of rules; of equal rules with different verdicts
+block wins; a null rule, or one without ``/``, fits nothing, and neither does one with a null verdict;
+an empty rule table gives every url the default verdict. Repeated rows and null ids are judged like any
+other, very long urls whole; an empty table gives no rows; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Callable
 from functools import partial
@@ -47,7 +51,6 @@ def split(url: str | None) -> tuple[str, str]:
 def _write(rows: pd.DataFrame, folder: str) -> pd.DataFrame:
     """One shard of the index; written under another name first, so that a repeated task does no harm."""
     shard = int(rows["shard"].iloc[0])
-    rows = rows.drop_duplicates("rule")
     data = [r.encode() for r in rows["rule"]]
     keys = np.array([xxhash.xxh64_intdigest(x) for x in data], np.uint64)
     order = np.argsort(keys, kind="stable")
@@ -100,13 +103,23 @@ class Index:
         return out
 
 
-def build(rules: DataFrame, bits: int = 0) -> Index:
-    """Writes the index of (rule, verdict) rows to the shared folder, in 2**bits shards."""
+SHARD_RULES = 250_000
+
+
+def build(rules: DataFrame, bits: int | None = None) -> Index:
+    """Writes the index of (rule, verdict) rows to the shared folder, in 2**bits shards.
+
+    Where ``bits`` isn't given it follows from a count, so that a shard has about ``SHARD_RULES`` rules."""
     spark = rules.sparkSession
     ship(spark)
     folder = local_path(scratch(spark, "urls"))
     os.makedirs(folder, exist_ok=True)
-    rules = rules.select("rule", "verdict").where("rule is not null and instr(rule, '/') > 0")
+    host = F.translate(F.substring_index("rule", "/", 1), "".join(map(chr, _UPPER)), "".join(_UPPER.values()))
+    rules = rules.where("rule is not null and verdict is not null and instr(rule, '/') > 0").select(F.concat(host, F.expr("substring(rule, instr(rule, '/'))")).alias("rule"), (F.col("verdict") == "block").alias("block"))
+    # equal rules are one before they meet in a shard
+    rules = rules.groupBy("rule").agg(F.when(F.max("block"), "block").otherwise("allow").alias("verdict"))
+    if bits is None:
+        bits = max(0, math.ceil(math.log2(max(1, rules.count()) / SHARD_RULES)))
     digest = F.pandas_udf(lambda s: s.map(lambda x: xxhash.xxh64_intdigest(x.encode()) >> (64 - bits) if bits else 0), "long")
     write: Callable[[pd.DataFrame], pd.DataFrame] = lambda rows: _write(rows, folder)
     made = rules.withColumn("shard", digest("rule")).groupBy("shard").applyInPandas(write, "shard long, n long, lengths array<long>")

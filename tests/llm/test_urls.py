@@ -39,6 +39,17 @@ def test_colliding_digests_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda x: 5)
     import pandas as pd
 
-    urls._write(pd.DataFrame({"rule": ["a/", "b/", "b/"], "verdict": ["allow", "block", "block"], "shard": [0, 0, 0]}), str(tmp_path))
+    urls._write(pd.DataFrame({"rule": ["a/", "b/"], "verdict": ["allow", "block"], "shard": [0, 0]}), str(tmp_path))
     index = urls.Index(str(tmp_path), {0: 2}, [1], 0)
     assert list(index.find([b"a/", b"b/", b"c/"])) == [1, 2, 0] and isinstance(index.shard(0)[0], np.memmap)
+
+
+def test_ties_case_and_shards_from_a_count(spark, monkeypatch):
+    rules = [("a.com/", "allow"), ("a.com/", "block"), ("A.com/", "allow"), ("B.Com/X", "block"), ("c.com", "block"), (None, "block"), ("d.com/", None)]
+    df = spark.createDataFrame([(1, "x://a.com/"), (2, "x://b.com/X"), (3, "x://b.com/x"), (4, "x://c.com/"), (5, "x://d.com/"), (6, "x://a.com/" + "y" * 100_000)], "page_id long, url string")
+    for size in (250_000, 1):
+        monkeypatch.setattr(urls, "SHARD_RULES", size)
+        index = urls.build(urls.rules_frame(spark, rules).repartition(4))
+        assert index.bits == (0 if size > 1 else 1) and sum(index.shards.values()) == 2
+        assert {r.page_id: r.rule for r in urls.judge(df, index).collect()} == {1: "a.com/", 2: "b.com/X", 3: None, 4: None, 5: None, 6: "a.com/"}
+        assert {r.page_id: r.verdict for r in urls.judge(df, index).collect()}[1] == "block"
