@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from cairn.llm import sharding
 
 
@@ -44,3 +46,20 @@ def test_repeated_ids_are_marked(spark):
     df = spark.createDataFrame([(1, "x" * 60), (1, "y" * 60), (2, "z")], "doc_id long, text string")
     got = sorted((r.doc_id, r.oversized) for r in sharding.shards(df, limit=100).collect())
     assert got == [(1, True), (1, True), (2, False)]
+
+
+def test_columns_may_have_any_name(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * 50, "mine", 7) for i in range(20)], "doc_id long, text string, shard string, of int")
+    with pytest.raises(ValueError):
+        sharding.write_shards(df, f"file://{tmp_path}/a", limit=200)
+    sharding.write_shards(df, f"file://{tmp_path}/b", limit=200, shard_col="part")
+    back = spark.read.parquet(f"file://{tmp_path}/b")
+    assert back.where("shard = 'mine' and of = 7").count() == 20 and back.select("part").distinct().count() >= 5
+
+
+def test_the_registered_limit_splits(spark):
+    """Also where one document is over the limit."""
+    rows = [(i, "x" * 60_000) for i in range(40)] + [(99, "y" * 600_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = result(df, sharding.LIMIT)
+    assert got == brute(rows, sharding.LIMIT) and got[99][3] and len({s for s, *_ in got.values()}) > 5
