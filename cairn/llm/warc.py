@@ -8,18 +8,27 @@ that no other attempt has; only the names that successful tasks returned are rea
 Reading: an archive is read in blocks. Each gzip member is decompressed incrementally, the record's
 header is parsed as soon as it is whole, Content-Length frames the block, and SHA-256 digests of block
 and payload are verified as the bytes pass. Memory holds one record at most. A damaged member, a wrong
-length or a wrong digest raises ``WarcError`` with the archive and the offset.
+length or a wrong digest raises ``WarcError`` with the archive and the offset. Afterwards ``verify``
+holds each revisit's digest and length against the response that it refers to.
+
+Records carry what WARC/1.1 asks for: a date, an identifier (a UUID of page id and payload digest, so
+that a revisit can name its response), a target, and revisits the profile of equal payload digests.
 
 Edge cases: null html is an empty payload; small payloads are all responses; a null id is written as
-an empty field and read back as null; repeated ids are records of their own (a page never revisits its own id).
+an empty field and read back as null; repeated ids are records of their own (a page never revisits its
+own id), and share an identifier only if their payloads are the same too; a null or empty url has the
+target ``urn:page:<id>``. Very long payloads are one record; an empty table has no archives; extra
+columns of any name are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from functools import partial
 
 import pyarrow as pa
@@ -32,27 +41,37 @@ from ._shared import cut, local_path, scratch
 
 LEAST, ROLL = 100, 1 << 30
 _END = b"\r\n\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 class WarcError(ValueError):
     pass
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def _identifier(page_id: int | None, digest: str) -> str:
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}').urn}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """One record as a gzip member. A revisit has no block; its header has the payload's digest and length."""
     digest = hashlib.sha256(payload).hexdigest()
     block = b"" if refers_to is not None else payload
+    page = "" if page_id is None else str(page_id)
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>",
-        "WARC-Target-URI": "".join(c for c in url or "" if c not in "\r\n"),
+        "WARC-Record-ID": _identifier(page_id, digest),
+        "WARC-Date": date,
+        "WARC-Target-URI": "".join(c for c in url or "" if c not in "\r\n") or f"urn:page:{page}",
         "Content-Type": "text/html; charset=utf-8",
         "WARC-Block-Digest": "sha256:" + hashlib.sha256(block).hexdigest(),
         "WARC-Payload-Digest": "sha256:" + digest,
-        "WARC-Payload-Length": str(len(payload)),
+        "Payload-Length": str(len(payload)),
+        "Page-ID": page,
     }
     if refers_to is not None:
-        head["WARC-Refers-To"] = f"<urn:page:{refers_to}>"
+        head["WARC-Profile"] = PROFILE
+        head["WARC-Refers-To"] = _identifier(refers_to, digest)
+        head["Refers-To-Page-ID"] = str(refers_to)
     head["Content-Length"] = str(len(block))
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n"
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -100,7 +119,7 @@ def read(path: str, block: int = 1 << 16) -> Iterator[tuple[dict[str, str], byte
             whole = b"".join(body)
             if head["WARC-Block-Digest"] != "sha256:" + sha.hexdigest():
                 raise WarcError(f"{path}@{start}: the block's digest differs")
-            if head["WARC-Type"] == "response" and (head["WARC-Payload-Digest"] != "sha256:" + sha.hexdigest() or int(head["WARC-Payload-Length"]) != len(whole)):
+            if head["WARC-Type"] == "response" and (head["WARC-Payload-Digest"] != "sha256:" + sha.hexdigest() or int(head["Payload-Length"]) != len(whole)):
                 raise WarcError(f"{path}@{start}: the payload's digest or length differs")
             yield head, whole
 
@@ -108,7 +127,8 @@ def read(path: str, block: int = 1 << 16) -> Iterator[tuple[dict[str, str], byte
 def _write(batches, folder: str, roll: int):
     """Archives of this task; yields their paths."""
     name = f"{folder}/part-{TaskContext.get().partitionId():06d}-{os.urandom(6).hex()}"
-    f, count, paths, n = None, 0, [], 0
+    f, count, paths = None, 0, []
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def close():
         f.flush()
@@ -120,9 +140,9 @@ def _write(batches, folder: str, roll: int):
             if f is None:
                 paths.append(f"{name}-{len(paths):04d}.warc.gz")
                 f, count = open(paths[-1], "wb"), 0
-            data = record(page, url, html or b"", refers)
+            data = record(page, url, html or b"", refers, date)
             f.write(data)
-            n, count = n + 1, count + len(data)
+            count += len(data)
             if count >= roll:
                 close()
                 f = None
@@ -159,8 +179,8 @@ def _read(batches, with_payload: bool):
                 return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols[:n], kinds)], names[:n])
 
             for head, body in read(path):
-                number = lambda k: int(head[k][10:-1]) if len(head.get(k, "")) > 11 else None  # noqa: B023, E731
-                rows.append((number("WARC-Record-ID"), head["WARC-Target-URI"], int(head["WARC-Payload-Length"]), head["WARC-Payload-Digest"][7:], head["WARC-Type"], number("WARC-Refers-To"), body))
+                number = lambda k: int(head[k]) if head.get(k) else None  # noqa: B023, E731
+                rows.append((number("Page-ID"), head["WARC-Target-URI"], int(head["Payload-Length"]), head["WARC-Payload-Digest"][7:], head["WARC-Type"], number("Refers-To-Page-ID"), body))
                 size += len(body) if with_payload else 200
                 if size > 4 << 20:
                     yield out(rows)
@@ -177,9 +197,20 @@ def read_archives(paths: DataFrame, with_payload: bool = False) -> DataFrame:
     return spread.mapInArrow(partial(_read, with_payload=with_payload), kind)
 
 
+def verify(records: DataFrame) -> None:
+    """Raises ``WarcError`` if a revisit's digest or length isn't that of a response with the id it refers to."""
+    same = ["payload_digest", "payload_bytes"]
+    wanted = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), *same).distinct()
+    lost = wanted.join(records.where("record_type = 'response'").select("page_id", *same), ["page_id", *same], "left_anti")
+    if (r := lost.first()) is not None:
+        raise WarcError(f"a revisit refers to page {r.page_id}, which has no response with the digest {r.payload_digest}")
+
+
 def round_trip(df: DataFrame, **cols) -> DataFrame:
-    """Writes all rows to archives in the shared folder and reads them back."""
-    return read_archives(write(df, scratch(df.sparkSession, "warc"), **cols)).drop("url")
+    """Writes all rows to archives in the shared folder, reads them back and verifies revisits."""
+    records = cut(read_archives(write(df, scratch(df.sparkSession, "warc"), **cols)).drop("url"), "records")
+    verify(records)
+    return records
 
 
 ORACLE = f"""

@@ -69,3 +69,22 @@ def test_reader_frames_and_verifies(tmp_path, block):
 def test_shared_folder_must_be_mounted():
     with pytest.raises(ValueError):
         local_path("s3a://bucket/x")
+
+
+def test_headers_are_those_of_the_format(tmp_path):
+    p = tmp_path / "a.warc.gz"
+    p.write_bytes(warc.record(1, "http://a/", b"x" * 200, None, "2024-01-02T03:04:05Z") + warc.record(2, None, b"x" * 200, 1) + warc.record(None, "", b"", None))
+    one, two, three = (h for h, _ in warc.read(str(p)))
+    for h in (one, two, three):
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "Content-Length"} <= set(h) and h["WARC-Record-ID"].startswith("<urn:uuid:")
+    assert one["WARC-Date"] == "2024-01-02T03:04:05Z" and two["WARC-Refers-To"] == one["WARC-Record-ID"] != two["WARC-Record-ID"]
+    assert two["WARC-Profile"].endswith("identical-payload-digest") and "WARC-Profile" not in one and two["WARC-Target-URI"] == "urn:page:2"
+
+
+def test_revisits_are_verified(spark):
+    rows = [(1, 200, "aa", "response", None), (2, 200, "aa", "revisit", 1)]
+    kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    warc.verify(spark.createDataFrame(rows, kind))
+    for bad in ((3, 200, "bb", "revisit", 1), (3, 201, "aa", "revisit", 1), (3, 200, "aa", "revisit", 2)):
+        with pytest.raises(warc.WarcError, match="refers to page"):
+            warc.verify(spark.createDataFrame([*rows, bad], kind))
