@@ -7,18 +7,23 @@ less than one sentence at the bias (4.5e-5), the longer the more, however long i
 the gradient of the noisy-or puts the blame on the sentences that explain them, and the same sentence
 probabilities then locate what offends.
 
-Training takes a bounded sample of labelled documents (``sample`` rows, in the order of a hash of
-their ids), without near copies, so that a text found in many copies counts once. Features are
+Training takes a bounded sample of labelled documents: at most ``SAMPLE`` rows in the order of a hash of
+their ids, and of these at most ``SAMPLE_BYTES`` of text (whole texts; one that doesn't fit is passed
+over). Of near copies in the sample (``COPY`` of sixteen five-word minhashes shared with an earlier
+text, an estimated similarity of 0.8) the first is learned, so that a text found in many copies counts once. Features are
 selected by their association with the label and are kept under 64-bit keys, so a word that was not
 in the sample can't collide with one that was. The model is a few thousand numbers at most
 (``features``), and is what is sent to the executors. Scoring scans the documents where they lie.
 
 Edge cases: null, empty or wordless texts have no sentence and score 0; without a positive label in
-the sample every score is 0; a null id is scored like any other and isn't held out.
+the sample every score is 0; a null id is scored like any other and isn't held out; repeated rows get
+equal scores; very long texts are scored whole; an empty table gives no rows. Extra columns of any
+name are ignored, and kept by ``drop_toxic``.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from functools import partial
 
@@ -32,7 +37,8 @@ from . import _kernel as K
 from ._shared import text_id
 
 U = np.uint64
-SAMPLE, FEATURES, THRESHOLD = 4000, 4000, 0.3
+SAMPLE, SAMPLE_BYTES, FEATURES, THRESHOLD = 4000, 32 << 20, 4000, 0.3
+COPY = 13
 PREFIXES = (4, 5, 6, 7, 8)
 _DELIM = np.zeros(256, bool)
 _DELIM[:48] = _DELIM[58:65] = _DELIM[91:97] = _DELIM[123:128] = True
@@ -124,7 +130,7 @@ def train(texts: list[str], toxic: list[int], features: int = FEATURES, rounds:
     if not y.any():
         return none
     keep = np.ones(len(y), bool)
-    seen: set[int] = set()
+    seen: dict[tuple[int, int], list[int]] = {}
     n = len(y)
 
     def parts():
@@ -133,16 +139,20 @@ def train(texts: list[str], toxic: list[int], features: int = FEATURES, rounds:
         for rb, buf, offsets in K.slices(batches, "text", 1 << 20):
             yield int(rb.column(0)[0].as_py()), buf, offsets
 
-    # a text that shares a least shingle with an earlier one is a copy of it
     for at, buf, offsets in parts():
         low = K.lower(buf)
         start, end, bounds = K.words(low, offsets)
         g = K.grams(K.word_hashes(low, start, end), 5)
         for d, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-            if b - a >= 5:
-                own = {int(np.min(g[a : b - 4] ^ m)) ^ int(m) for m in K._MIX[:4]}
-                keep[at + d] = not own & seen
-                seen |= own
+            if b - a < 5:
+                continue
+            own = [(i, int(np.min(g[a : b - 4] ^ m))) for i, m in enumerate(K._MIX[:16])]
+            shared = Counter(e for x in own for e in seen.get(x, ()))
+            if max(shared.values(), default=0) >= COPY:
+                keep[at + d] = False
+                continue
+            for x in own:
+                seen.setdefault(x, []).append(at + d)
     base = (y * keep).sum() / max(1, keep.sum())
     names, df, pos = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
@@ -189,26 +199,43 @@ def train(texts: list[str], toxic: list[int], features: int = FEATURES, rounds:
     # only ever come with others.
     bias = -10.0
     prior = np.maximum(0.0, odds - 0.7 * bias)
+    w = descend(inst, feat, live, doc, y, int(keep.sum()), prior, bias, rounds)
+    return Model(keys, w, float(bias))
+
+
+def descend(inst, feat, live, doc, y, many: int, prior, bias: float, rounds: int) -> np.ndarray:
+    """Weights after so many steps of Adam on the noisy-or's log-likelihood, pulled weakly to the prior.
+
+    ``inst`` and ``feat`` pair the instances with their features; ``doc`` has each instance's document."""
     w = prior.copy()
-    m, v = np.zeros(len(keys)), np.zeros(len(keys))
+    m, v = np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, rounds + 1):
         z = bias + np.bincount(inst, w[feat], len(doc))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        doc_p = np.clip(noisy_or(np.where(live, p, 0), doc, n), 1e-9, 1)
+        doc_p = np.clip(noisy_or(np.where(live, p, 0), doc, len(y)), 1e-9, 1)
         grad = np.where(live, p * (1 - y[doc] / doc_p[doc]), 0)
-        g_all = (np.bincount(feat, grad[inst], len(keys)) + 0.05 * (w - prior)) / max(1, keep.sum())
+        g_all = (np.bincount(feat, grad[inst], len(w)) + 0.05 * (w - prior)) / max(1, many)
         m, v = 0.9 * m + 0.1 * g_all, 0.99 * v + 0.01 * g_all**2
-        step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w = w - step
-    return Model(keys, w, float(bias))
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return w
 
 
-def sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``most`` labelled rows, in the order of a hash of their ids."""
+def sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
+    """Texts and labels of at most ``most`` labelled rows, and ``most_bytes`` of text, in the order of a hash of their ids."""
     some = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
     some = some.where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # bounded by the limit above
-    rows = text_id(df, id_col, text_col).join(F.broadcast(some), "doc_id").where("text is not null").orderBy(F.xxhash64("doc_id"), "text").limit(most).collect()
+    rows = text_id(df, id_col, text_col).where("text is not null").join(F.broadcast(some), "doc_id")
+    sizes = rows.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "n").limit(most).collect()
+    left, fit, out = most_bytes, [], set()
+    for r in sizes:  # an id with a row that doesn't fit is passed over whole
+        if r.n > left:
+            out.add(r.doc_id)
+        left -= 0 if r.doc_id in out else r.n
+        fit.append(r.doc_id)
+    fit = [i for i in dict.fromkeys(fit) if i not in out]
+    kept = df.sparkSession.createDataFrame([(i,) for i in fit], "doc_id long")
+    rows = rows.join(F.broadcast(kept), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(most).collect()
     return [r.text for r in rows], [r.y for r in rows]
 
 
