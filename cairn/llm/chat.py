@@ -10,10 +10,12 @@ of properties, unknown keys). Every item is serialised as canonical JSON: sorted
 
 A conversation is never collected: each message, call and result is a row with its sort key
 (turn, depth, part), so one conversation may hold any share of all rows. Of calls with the same
-identifier in a conversation the first (least turn, then text) counts, the others are duplicates; the
-same holds for results.
+identifier in a conversation the first (least turn, then place in its text, then the block's own text)
+counts, the others are duplicates; the same holds for results. Of wholly equal blocks one is the first.
 
-Edge cases: null text is an empty message; a block whose JSON doesn't parse, or has no identifier, is
+Edge cases: null text is an empty message; very long texts are searched whole; an empty table gives no
+rows; repeated rows are messages of their own, their blocks duplicates; extra columns of any name are
+ignored; a block whose JSON doesn't parse, or has no identifier, is
 malformed; a call without a result, or a result without a call, is an orphan; the members of a cycle of
 ``after`` keep their turns and are marked cyclic, calls that name them come after them; a null role is written as null; null conversations or turns link with nothing.
 """
@@ -62,10 +64,18 @@ def validate(name: Column, arguments: Column, tools: dict[str, dict] | None = No
 
 
 def _blocks(messages: DataFrame, pattern: str, kind: str) -> DataFrame:
+    """(conv_id, turn, at, body, copies, v, id, kind): equal blocks at the same place of equal turns are counted, on the map side first."""
     found = messages.where(F.col("text").rlike(pattern)).select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("at", "body"))
+    found = found.groupBy("conv_id", "turn", "at", "body").agg(F.count("*").alias("copies"))
     return found.withColumn("v", F.try_parse_json("body")).withColumn("id", _field(F.col("v"), "id")).withColumn("kind", F.lit(kind))
 
 
+def _each(rows: DataFrame, status: Column) -> DataFrame:
+    """Counted rows, one by one: the first has the status, further copies of a good one are duplicates."""
+    each = rows.withColumn("status", status).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return each.withColumn("status", F.when((F.col("copy") > 1) & (F.col("status") != "malformed"), "duplicate").otherwise(F.col("status")))
+
+
 def _firsts(blocks: DataFrame) -> DataFrame:
     """The block that counts for each identifier: a min over structs, so that a hot one is pre-aggregated."""
     good = blocks.where("id is not null and conv_id is not null and turn is not null")
@@ -178,25 +188,98 @@ def format_chats(df: DataFrame, tools: dict[str, dict] | None = None) -> DataFra
     depths = _depths(calls)
     v = F.col("v")
     arguments = F.try_variant_get(v, "$.arguments", "variant")
-    mine = lambda side: side.select("conv_id", "id", F.col("turn").alias("ft"), F.col("at").alias("fa"))
+    mine = lambda side: side.select("conv_id", "id", F.col("turn").alias("ft"), F.col("at").alias("fa"), F.col("body").alias("fb"))
     answered = results.select("conv_id", "id", F.lit(True).alias("linked"))
-    first = (F.col("turn") == F.col("ft")) & (F.col("at") == F.col("fa"))
+    first = (F.col("turn") == F.col("ft")) & (F.col("at") == F.col("fa")) & (F.col("body") == F.col("fb"))
     state = F.when(F.col("id").isNull() | v.isNull(), "malformed").when(~F.coalesce(first, F.lit(False)), "duplicate").when(F.col("linked").isNull(), "orphan")
     c = raw_calls.join(mine(calls), ["conv_id", "id"], "left").join(answered, ["conv_id", "id"], "left").join(depths.select("conv_id", "id", F.col("turn").alias("to"), "depth", "cyclic"), ["conv_id", "id"], "left")
     malformed = F.to_json(F.struct(F.col("body").alias("malformed")))
     # a call's own depth d has part 1 and its result part 2, so nothing comes between that depends on neither
     call_line = F.to_json(F.struct(arguments.alias("arguments"), F.col("id"), _field(v, "name").alias("name")))
-    call_rows = c.select("conv_id", F.coalesce("to", "turn").alias("turn"), F.coalesce(F.col("depth"), F.lit(0)).alias("depth"), F.lit(1).alias("part"), "kind", F.when(F.col("cyclic"), "cyclic").otherwise(F.coalesce(state, F.lit("linked"))).alias("status"), F.when(v.isNull(), F.array(F.lit("not JSON"))).otherwise(validate(_field(v, "name"), arguments, tools)).alias("problems"), F.when(v.isNull(), malformed).otherwise(call_line).alias("line"))
+    cyclic = F.when(F.col("cyclic") & F.coalesce(first, F.lit(False)), "cyclic")
+    call_rows = _each(c, F.coalesce(cyclic, state, F.lit("linked"))).select("conv_id", F.coalesce("to", "turn").alias("turn"), F.coalesce(F.col("depth"), F.lit(0)).alias("depth"), F.lit(1).alias("part"), "kind", "status", F.when(v.isNull(), F.array(F.lit("not JSON"))).otherwise(validate(_field(v, "name"), arguments, tools)).alias("problems"), F.when(v.isNull(), malformed).otherwise(call_line).alias("line"))
     called = calls.select("conv_id", "id", F.lit(True).alias("linked"))
     r = raw_results.join(mine(results), ["conv_id", "id"], "left").join(called, ["conv_id", "id"], "left").join(depths.select("conv_id", "id", F.col("turn").alias("to"), F.col("depth").alias("cd")), ["conv_id", "id"], "left")
     late = F.coalesce(F.col("to") >= F.col("turn"), F.lit(False))
     result_line = F.to_json(F.struct(F.try_variant_get(v, "$.content", "variant").alias("content"), F.col("id")))
-    result_rows = r.select("conv_id", F.when(late, F.col("to")).otherwise(F.col("turn")).alias("turn"), F.when(late, F.col("cd")).otherwise(0).alias("depth"), F.lit(2).alias("part"), "kind", F.coalesce(state, F.lit("linked")).alias("status"), F.when(v.isNull(), F.array(F.lit("not JSON"))).otherwise(none).alias("problems"), F.when(v.isNull(), malformed).otherwise(result_line).alias("line"))
+    result_rows = _each(r, F.coalesce(state, F.lit("linked"))).select("conv_id", F.when(late, F.col("to")).otherwise(F.col("turn")).alias("turn"), F.when(late, F.col("cd")).otherwise(0).alias("depth"), F.lit(2).alias("part"), "kind", "status", F.when(v.isNull(), F.array(F.lit("not JSON"))).otherwise(none).alias("problems"), F.when(v.isNull(), malformed).otherwise(result_line).alias("line"))
     return talk.union(call_rows).union(result_rows)
 
 
-ORACLE = r"""
+_C, _T = "cast(conv_id as varchar(20))", "cast(turn as varchar(20))"
+_AFTER = f"""case when conv_id % 5 = 1 and turn in (1, 3) then concat('["c', case when turn = 1 then '3' else '1' end, '"]')
+  when (conv_id + turn) % 3 = 0 then concat('["c', cast(turn + 2 as varchar(20)), '","c', cast(turn - 2 as varchar(20)), '"]')
+  when (conv_id + turn) % 3 = 1 then concat('["c', cast(turn + 4 as varchar(20)), '"]') else '[]' end"""
+_ARGUMENTS = f"""case (conv_id + 2 * turn) % 7 when 0 then concat('{{"query":"q', {_C}, '","limit":', {_T}, '}}') when 1 then '{{"limit":"ten","query":"x"}}' when 2 then '{{}}'
+  when 3 then concat('{{ "url" : "u/', {_T}, '", "timeout": 1.5}}') when 4 then '{{"timeout":2,"url":"v","zone":1}}' when 5 then '{{"expression":"1+1"}}' else '[1]' end"""
+_NAME = "case (conv_id + turn) % 4 when 0 then 'search' when 1 then 'fetch' when 2 then 'calculate' else 'unheard' end"
+#: Messages with tool blocks, in SQL that Spark and DuckDB both take: every message as it is, and blocks
+#: that follow from its ids. Odd turns have calls (some twice, some in cycles, some that wait for later
+#: ones), even turns have results (some before their calls, some without any, some of no identifier).
+TOOL_TEXT = f"""concat(coalesce(text, ''),
+  case when turn % 2 = 1 then concat(' <tool_call>{{"name":"', {_NAME}, '","id":"c', {_T}, '","after":', {_AFTER}, ',"arguments":', {_ARGUMENTS}, '}}</tool_call>') else '' end,
+  case when turn % 2 = 1 and (conv_id + turn) % 4 = 1 then concat('<tool_call>{{"id":"c', {_T}, '","name":"search","arguments":{{"query":"again"}}}}</tool_call>') else '' end,
+  case when turn % 2 = 0 and conv_id % 6 < 4 then concat('<tool_result>{{"id":"c', cast(turn + case when conv_id % 6 = 3 then 1 else -1 end as varchar(20)), '","content":"r', {_C}, '"}}</tool_result>') else '' end,
+  case when turn % 2 = 0 and conv_id % 9 = 0 then '<tool_result>{{"content":7}}</tool_result>' else '' end)"""
+
+
+def with_tools(conversations: DataFrame) -> DataFrame:
+    """All messages, with the blocks of ``TOOL_TEXT``."""
+    return conversations.withColumn("text", F.expr(TOOL_TEXT.replace("varchar(20)", "string")))
+
+
+_OBJECT = """'{' || array_to_string([to_json(k)::varchar || ':' || json_extract(args, '$."' || k || '"')::varchar for k in list_sort(keys)], ',') || '}'"""
+_CALL, _RESULT = "<tool_call>(.*?)</tool_call>", "<tool_result>(.*?)</tool_result>"
+_PROBLEMS = """case name when 'search' then {search} when 'calculate' then {calculate} when 'fetch' then {fetch} else ['unknown tool ' || name] end""".format(
+    **{
+        tool: "list_filter(["
+        + ", ".join([f"case when not list_contains(keys, '{k}') then 'missing {k}' end" for k in schema["required"]] + [f"case when list_contains(keys, '{k}') and json_type(args, '$.{k}') not in ({dict(string="'VARCHAR'", integer="'BIGINT', 'UBIGINT'", number="'BIGINT', 'UBIGINT', 'DOUBLE'")[kind]}) then '{k} is not {kind}' end" for k, kind in schema["properties"].items()])
+        + "] || [case when k not in ("
+        + ", ".join(f"'{k}'" for k in schema["properties"])
+        + ") then 'unexpected ' || k end for k in keys], lambda x: x is not null)"
+        for tool, schema in TOOLS.items()
+    }
+)
+#: Linking, order (longest paths by recursion), cycles (closure), validation and canonical lines, on the same messages.
+ORACLE = rf"""
+with recursive m as (
+  select conv_id, turn, role, {TOOL_TEXT} as text from conversations
+), raw as (
+  select conv_id, turn, kind, u.i - 1 as place, found[u.i] as body from (
+    select conv_id, turn, 'call' as kind, regexp_extract_all(text, '{_CALL}', 1, 's') as found from m
+    union all select conv_id, turn, 'result', regexp_extract_all(text, '{_RESULT}', 1, 's') from m) x, unnest(range(1, len(found) + 1)) as u(i)
+), b as (
+  select *, body->>'$.id' as id, row_number() over (partition by conv_id, kind, body->>'$.id' order by turn, place, body) as nth from raw
+), calls as (select * from b where kind = 'call' and id is not null and nth = 1),
+results as (select * from b where kind = 'result' and id is not null and nth = 1),
+edges as (
+  select distinct c.conv_id, c.id, n.id as needs from (select conv_id, id, unnest((body->'$.after')::varchar[]) as needs from calls) c
+  join calls n on n.conv_id = c.conv_id and n.id = c.needs
+), closure(conv_id, id, needs) as (
+  select conv_id, id, needs from edges union select c.conv_id, c.id, e.needs from closure c join edges e on e.conv_id = c.conv_id and e.id = c.needs
+), cycles as (select distinct conv_id, id from closure where id = needs),
+paths(conv_id, id, turn, depth) as (
+  select conv_id, id, turn, 0 from calls
+  union select e.conv_id, e.id, p.turn, p.depth + 1 from paths p join edges e on e.conv_id = p.conv_id and e.needs = p.id
+  where not exists (select 1 from cycles y where y.conv_id = e.conv_id and y.id = e.id)
+), depths as (
+  select conv_id, id, (max(struct_pack(turn := turn, depth := depth))).turn as turn, (max(struct_pack(turn := turn, depth := depth))).depth as depth from paths group by conv_id, id
+), c as (
+  select b.*, b.body->>'$.name' as name, json_extract(b.body, '$.arguments') as args, coalesce(json_keys(json_extract(b.body, '$.arguments')), []) as keys from b where kind = 'call'
+), call_rows as (
+  select c.conv_id, coalesce(d.turn, c.turn) as turn, coalesce(d.depth, 0) as depth, 1 as part, 'call' as kind,
+    case when c.id is null then 'malformed' when c.nth > 1 then 'duplicate' when y.id is not null then 'cyclic' when r.id is null then 'orphan' else 'linked' end as status,
+    array_to_string(list_sort(case when name in ('search', 'calculate', 'fetch') and json_type(args) <> 'OBJECT' then ['arguments are not an object'] else {_PROBLEMS} end), '; ') as problems,
+    '{{"arguments":' || case when json_type(args) = 'OBJECT' then {_OBJECT} else args::varchar end || ',"id":' || to_json(c.id)::varchar || ',"name":' || to_json(name)::varchar || '}}' as line
+  from c left join depths d on d.conv_id = c.conv_id and d.id = c.id left join cycles y on y.conv_id = c.conv_id and y.id = c.id
+  left join results r on r.conv_id = c.conv_id and r.id = c.id
+), result_rows as (
+  select b.conv_id, case when d.turn >= b.turn then d.turn else b.turn end as turn, case when d.turn >= b.turn then d.depth else 0 end as depth, 2 as part, 'result' as kind,
+    case when b.id is null then 'malformed' when b.nth > 1 then 'duplicate' when k.id is null then 'orphan' else 'linked' end as status, '' as problems,
+    '{{"content":' || json_extract(b.body, '$.content')::varchar || case when b.id is null then '' else ',"id":' || to_json(b.id)::varchar end || '}}' as line
+  from b left join depths d on d.conv_id = b.conv_id and d.id = b.id left join calls k on k.conv_id = b.conv_id and k.id = b.id where b.kind = 'result'
+)
 select conv_id, turn, 0 as depth, 0 as part, 'message' as kind, 'ok' as status, '' as problems,
-  '{"content":' || to_json(coalesce(text, ''))::varchar || ',"role":' || coalesce(to_json(role)::varchar, 'null') || '}' as line
-from conversations
+  '{{"content":' || to_json(case when contains(text, '<tool_') then trim(regexp_replace(regexp_replace(text, '{_CALL}', '', 'gs'), '{_RESULT}', '', 'gs')) else text end)::varchar || ',"role":' || coalesce(to_json(role)::varchar, 'null') || '}}' as line
+from m union all select * from call_rows union all select * from result_rows
 """

@@ -43,7 +43,7 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(_read(spark, sf_dir, "conversations")).withColumn("problems", F.concat_ws("; ", "problems"))
+    return chat.format_chats(chat.with_tools(_read(spark, sf_dir, "conversations"))).withColumn("problems", F.concat_ws("; ", "problems"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

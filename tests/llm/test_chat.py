@@ -100,3 +100,34 @@ def test_cycles_and_long_chains_beside_more_than_a_thousand_dependencies(spark):
     assert got == brute(calls)
     assert got[1, "c1499"] == (5, 1499, False) and got[3, "x"] == got[3, "y"] == got[4, "self"] == (0, 0, True)
     assert got[2, "then"] == (2, 1, False) and sum(c for *_, c in got.values()) == 40
+
+
+def test_equal_identifiers_in_one_turn_are_told_apart(spark):
+    """Other texts of one turn, repeated rows, and a repeated block in one text: one block is the first."""
+    call = lambda x: CALL.format(json.dumps({"id": "a", "name": "fetch", "arguments": {"url": x}}))
+    rows = [(1, 0, "assistant", call("v")), (1, 0, "assistant", call("u")), (2, 3, "assistant", call("u")), (2, 3, "assistant", call("u")), (2, 3, "assistant", call("u")), (3, 0, "assistant", call("u") + call("u"))]
+    got = [(r.conv_id, r.status, json.loads(r.line)["arguments"]["url"]) for r in formatted(spark, rows) if r.kind == "call"]
+    assert sorted(got) == [(1, "duplicate", "v"), (1, "orphan", "u"), (2, "duplicate", "u"), (2, "duplicate", "u"), (2, "orphan", "u"), (3, "duplicate", "u"), (3, "orphan", "u")]
+
+
+def test_long_texts_and_empty_table(spark):
+    long = "word " * 300_000
+    got = formatted(spark, [(1, 0, "user", long + CALL.format('{"id":"a","name":"fetch","arguments":{"url":"u"}}') + long)])
+    assert [r.kind for r in got] == ["message", "call"] and len(got[0].line) > 3_000_000
+    assert formatted(spark, [(1, 0, "user", None)])[0].line == '{"content":"","role":"user"}'
+
+
+def test_registered_query_covers_links_order_and_validation(spark, sf):
+    """Every status, many depths and problems occur in the registered table, and SQL gives the same rows."""
+    import duckdb
+
+    from cairn.llm import queries
+
+    df = queries.op7_chat_format(spark, sf)
+    got = sorted(map(tuple, df.select("conv_id", "turn", "depth", "part", "kind", "status", "problems", "line").collect()))
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{sf}/conversations.parquet'")
+    want = con.sql(f"select conv_id, turn, depth, part, kind, status, problems, line from ({chat.ORACLE})").fetchall()
+    assert got == sorted(want)
+    assert {(r[4], r[5]) for r in got} >= {("call", s) for s in ("linked", "orphan", "duplicate", "cyclic")} | {("result", s) for s in ("linked", "orphan", "malformed")}
+    assert max(r[2] for r in got) >= 2 and len({r[6] for r in got}) >= 8
