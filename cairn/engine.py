@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from .functions import paths as P
 from .functions import text as T
 from .operators import code as C
+from .operators import readmodel as RM
 from .operators import retrieval as R
 from .operators import software as Sw
 from .operators import state as St
+from .sources.scratch import cut
 from .sources.store import GraphStore, mutation_batch
 
 SOURCES = ["bm25", "graph_evidence", "semantic", "vector", "graph_path", "temporal", "community_summary"]
@@ -33,57 +35,52 @@ class KnowledgeEngine:
         return self.store.inspect()
 
     def evidence(self, version: int, scope: str | None = None) -> DataFrame:
-        ev = self.store.table("evidence", version).where(R.retrievable(version, scope))
+        return self._labelled(self.store.table("evidence", version).where(R.retrievable(version, scope)), version)
+
+    def _labelled(self, ev: DataFrame, version: int) -> DataFrame:
         names = self.store.table("evidence_entities", version).join(self.store.table("entities", version), "entity_id")
         labels = names.groupBy("evidence_id").agg(F.array_sort(F.collect_list("label")).alias("labels"))
         return ev.join(labels, "evidence_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
 
-    def _visible(self, name: str, version: int, accepted: bool = True) -> DataFrame:
-        df = self.store.table(name, version).where(R.visible_at(version))
-        return df.where("status = 'accepted'") if accepted else df
-
     def facts(self, version: int, accepted: bool = True) -> DataFrame:
-        """(fact_id, kind, text): subject, predicate and object of relations, claims and events."""
+        """(fact_id, kind, text, occurred_at) of visible facts: subject, predicate and object of relations, claims and events."""
+        return self.read_model(version).facts(version, accepted).select("fact_id", "kind", "text", "occurred_at")
+
+    def _fact_texts(self, version: int) -> DataFrame:
         ent = self.store.table("entities", version)
         name = lambda k, alias: ent.select(F.col("entity_id").alias(k), F.col("label").alias(alias))
-        rel = self._visible("relations", version, accepted).join(name("src_id", "a"), "src_id").join(name("dst_id", "b"), "dst_id").select("fact_id", F.lit("relation").alias("kind"), F.concat_ws(" ", "a", "relation_type", "b").alias("text"), F.lit(None).cast("string").alias("occurred_at"))
-        cla = self._visible("claims", version, accepted).join(name("subject_id", "a"), "subject_id").select("fact_id", F.lit("claim"), F.concat_ws(" ", "a", "predicate", "object"), F.lit(None).cast("string"))
-        eve = self._visible("graph_events", version, accepted).join(name("entity_id", "a"), "entity_id", "left").groupBy("fact_id", "event_type", "occurred_at").agg(F.array_join(F.array_sort(F.collect_list("a")), " ").alias("l")).select("fact_id", F.lit("event"), F.concat_ws(" ", "event_type", "occurred_at", "l"), "occurred_at")
-        return rel.union(cla).union(eve)
-
-    def _fact_hits(self, ev: DataFrame, facts: DataFrame, query: str, base: float, need: bool) -> DataFrame:
-        links = self.store.table("fact_evidence").join(ev.select("evidence_id", "content", "parent_id"), "evidence_id").join(facts, "fact_id")
-        by = links.groupBy("fact_id", "text").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda z: z["content"]), "\n").alias("support"), F.min_by(F.coalesce("parent_id", "evidence_id"), "pos").alias("evidence_id"))
-        s = T.overlap_score(query, F.concat_ws(" ", "text", "support"), F.array().cast("array<string>"), F.lit(None).cast("string"))
-        x = by.select("evidence_id", (s + base).alias("score"), s.alias("o"))
-        return (x.where("o > 0") if need else x).drop("o")
+        seen, none = ["created", "valid_from", "valid_until", "status"], F.lit(None).cast("string").alias("occurred_at")
+        shape = lambda df, kind, parts, at: df.select("fact_id", F.lit(kind).alias("kind"), F.concat_ws(" ", *parts).alias("text"), at, *seen)
+        rel = self.store.table("relations", version).join(name("src_id", "a"), "src_id").join(name("dst_id", "b"), "dst_id")
+        cla = self.store.table("claims", version).join(name("subject_id", "a"), "subject_id")
+        eve = self.store.table("graph_events", version).join(name("entity_id", "a"), "entity_id", "left").groupBy("fact_id", "event_type", "occurred_at", *seen).agg(F.array_join(F.array_sort(F.collect_list("a")), " ").alias("a"))
+        return shape(rel, "relation", ["a", "relation_type", "b"], none).union(shape(cla, "claim", ["a", "predicate", "object"], none)).union(shape(eve, "event", ["event_type", "occurred_at", "a"], F.col("occurred_at")))
+
+    def read_model(self, version: int | None = None) -> RM.ReadModel:
+        """The stored read model of a version, beside its tables; written when it is first asked for."""
+        v = self.store.version() if version is None else version
+        path = f"{self.store.path}/read_models/v={v}"
+        model = RM.ReadModel.open(self.store.spark, path)
+        if model is None:
+            ev = self._labelled(self.store.table("evidence", v), v)
+            doc = F.concat_ws(" ", "source_scope", "source_path", F.array_join("labels", " "), "content")
+            model = RM.build(ev, self._fact_texts(v), self.store.table("fact_evidence", v), path, doc)
+        return model
 
     def retrieve(self, query: str, limit: int = 10, scope: str | None = None, version: int | None = None, graph_only: bool = False, rerank: bool = True) -> DataFrame:
         """(key, score, sources, labels, facts, content, source_path), best first."""
         R.check_plan(query, limit)
         v = self.store.version() if version is None else version
-        ev, n = self.evidence(v, scope).cache(), R.candidate_limit(limit, rerank)
-        keyed = lambda h: h.join(ev.select("evidence_id", F.coalesce("parent_id", "evidence_id").alias("k")), "evidence_id").select(F.col("k").alias("evidence_id"), "score")
-        plain = self.disabled | ({"semantic", "vector"} if graph_only else set())
-        words = R.bm25(ev.withColumn("doc", F.concat_ws(" ", "source_scope", "source_path", F.array_join("labels", " "), "content")), query, "evidence_id", "doc") if R.fts_tokens(query) else None
-        if words is None or words.isEmpty():
-            words = self._fallback(ev, query, min(200, n))
-        lists = [R.ranked(R.top(keyed(words), 4 * n), "bm25"), R.ranked(R.top(R.graph_evidence(ev, query), 4 * n), "graph_evidence")]
-        if "semantic" not in plain:
-            lists.append(R.ranked(R.top(keyed(R.semantic(ev, query)), min(8 * n, 512)), "semantic"))
-        if "vector" not in plain:
-            lists.append(R.ranked(R.top(keyed(R.vector(ev, query)), min(8 * n, 512)), "vector"))
-        facts = self.facts(v)
-        lists.append(R.ranked(R.top(self._fact_hits(ev, facts.select("fact_id", "text"), query, 0.0, True), 512), "graph_path"))
-        if R.wants_time(query):
-            events = facts.where("kind = 'event'").where(R.temporal_filter(query))
-            lists.append(R.ranked(R.top(self._fact_hits(ev, events.select("fact_id", "text"), query, 1.0, False), 512), "temporal"))
-        fused = R.fuse(lists).orderBy(F.desc(F.round("rrf", 12)), "key").limit(n)
-        linked = self.store.table("fact_evidence", v).join(self.facts(v, accepted=False), "fact_id").groupBy("evidence_id").agg(F.array_sort(F.collect_set("text")).alias("facts"))
-        rows = ev.withColumn("key", F.coalesce("parent_id", "evidence_id")).join(F.broadcast(fused), "key").join(linked, "evidence_id", "left")
-        merged = rows.groupBy("key", "rrf", "sources").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("evidence_id", "content"))), lambda z: z["content"]), "\n").alias("content"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("facts", F.array().cast("array<string>")))))).alias("facts"), F.min_by("source_path", F.when(F.col("source_path").isNotNull(), F.col("evidence_id"))).alias("source_path"))
-        hits = merged.withColumn("has_span", F.lit(False))
-        hits = R.rerank(hits, query) if rerank else hits.withColumn("score", F.col("rrf"))
+
+        def fallback(h: RM.Hits) -> DataFrame | None:
+            """Labels and substrings, where no word of the question occurs."""
+            if not h.m.where(F.exists("tf", lambda x: x > 0)).isEmpty():
+                return None
+            ev = self.evidence(v, scope)
+            return self._fallback(ev, query, min(200, R.candidate_limit(limit, rerank))).join(ev.select("evidence_id", F.coalesce("parent_id", "evidence_id").alias("key")), "evidence_id").select("key", "score")
+
+        without = self.disabled | ({"semantic", "vector"} if graph_only else set())
+        hits = RM.retrieve(self.read_model(v), query, limit, v, scope, without, rerank, fallback)[1]
         return hits.orderBy(F.desc(F.round("score", 9)), "key").limit(limit).select("key", "score", "sources", "labels", "facts", "content", "source_path")
 
     def _fallback(self, ev: DataFrame, query: str, n: int) -> DataFrame:
@@ -99,19 +96,16 @@ class KnowledgeEngine:
         best = x.agg(F.min("stage").alias("best"))
         return x.join(F.broadcast(best), F.col("stage") == F.col("best")).orderBy("evidence_id").limit(n).select("evidence_id", "score")
 
-    def community(self, query: str, version: int | None = None) -> DataFrame | None:
-        """One summary for each scope, if the query asks for an overview: labels and accepted fact counts."""
+    def community(self, query: str, version: int | None = None, scope: str | None = None) -> DataFrame | None:
+        """(key, score, content, labels): one summary for each scope, if the query asks for an overview."""
         if not R.wants_community(query):
             return None
         v = self.store.version() if version is None else version
-        ev = self.evidence(v)
-        labels = ev.groupBy("source_scope").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))), 1, 12).alias("labels"))
-        counts = self.facts(v).join(self.store.table("fact_evidence", v), "fact_id").join(ev.select("evidence_id", "source_scope"), "evidence_id").groupBy("source_scope").agg(*[F.count_distinct(F.when(F.col("kind") == k, F.col("fact_id"))).alias(k + "s") for k in ("relation", "claim", "event")])
-        return labels.join(counts, "source_scope", "left").na.fill(0)
+        return self.read_model(v).community(query, v, scope)
 
     def context_pack(self, query: str, limit: int = 10, budget: int = 65_536, **kw) -> dict:
         """Results within a byte budget with their trace: nodes, edges and a stale flag for readers of older versions."""
-        hits = R.byte_budget(self.retrieve(query, limit, **kw), budget, [F.desc(F.round("score", 9)), F.asc("key")], F.octet_length("content")).cache()
+        hits = cut(R.byte_budget(self.retrieve(query, limit, **kw), budget, [F.desc(F.round("score", 9)), F.asc("key")], F.octet_length("content")), "pack")
         trace_limit = min(max(4 * limit, limit + 8), 64)
         nodes = hits.select(F.explode("labels").alias("node")).groupBy("node").agg(F.count("*").alias("cited")).orderBy(F.desc("cited"), "node").limit(trace_limit)
         edges = hits.select("key", F.explode("facts").alias("fact")).orderBy("key", "fact").limit(trace_limit)
@@ -144,7 +138,8 @@ class CodeEngine:
         if kind == "impact":
             return self.impact(f.text.split(), []).limit(limit)
         if kind == "hybrid":
-            parts = [kinds[k](f, limit) for k in ("symbol", "references", "imports")] + [self._chunks(f, limit)]
+            # each layer gives enough rows that those which fall together on a line leave enough others
+            parts = [kinds[k](f, C.layer_limit(layer, limit)) for k, layer in (("symbol", "symbol"), ("references", "reference"), ("imports", "import"))] + [self._chunks(f, C.layer_limit("chunk", limit))]
             out = parts[0]
             for p in parts[1:]:
                 out = out.unionByName(p)
@@ -163,14 +158,10 @@ class CodeEngine:
         return self._symbols(f, limit) if exact.isEmpty() else self._out(C.search_symbols(exact, f, limit), "symbol_id", "symbol")
 
     def _references(self, f, limit):
-        s = T.score_query(f.text, [F.col("name"), F.col("path")])
-        return self._out(C.hits(self.tables["refs"].withColumn("b", s).where("b > 0").select("ref_id", "path", "line", (F.col("b") + 1.5).alias("score")), "ref_id", limit), "ref_id", "reference")
+        return self._out(C.search_references(self.tables["refs"], f.text, limit), "ref_id", "reference")
 
     def _calls(self, column, f, limit):
-        x = self.tables["calls"].where(F.lower(column) == f.text.strip().lower())
-        n = x.groupBy("caller_id", "callee").agg(F.count("*").alias("n"))
-        x = x.join(n, ["caller_id", "callee"], "left").withColumn("score", 4.0 + F.least(F.coalesce("n", F.lit(1)) - 1, F.lit(3)) * 0.25)
-        return self._out(C.hits(x.select("call_id", "path", "line", "score"), "call_id", limit), "call_id", "call")
+        return self._out(C.search_calls(self.tables["calls"], column, f.text, limit), "call_id", "call")
 
     def _callers(self, f, limit):
         return self._calls("callee", f, limit)
@@ -220,21 +211,16 @@ class CodeEngine:
         """Hits of every member scope (scope, alias, priority, stale) ranked together, at most three of each above its best - 10 first."""
         base = self.tables["imports"].select("scope", F.col("import_id").alias("id"), "path", "line", T.score_query(text, [F.col("module"), F.col("path")]).alias("b"))
         sym = self.tables["symbols"].select("scope", F.col("symbol_id").alias("id"), "path", F.col("line_start").alias("line"), T.score_query(text, [F.col("name"), F.col("path")]).alias("b"))
-        edges = C.cross_edges(self.tables["imports"], self.tables["files"]).select(F.col("import_id").alias("id"), "confidence")
-        x = base.unionByName(sym).where("b > 0").join(members, "scope").join(edges, "id", "left")
-        x = x.withColumn("score", F.col("b") + F.col("priority") * 0.01 + F.coalesce("confidence", F.lit(0)) / 10000 - F.when(F.col("stale"), 0.5).otherwise(0.0))
+        x = base.unionByName(sym).where("b > 0").join(members, "scope")
+        hit = self.tables["imports"].join(x.select(F.col("id").alias("import_id")), "import_id", "left_semi")  # only hits need their edges
+        edges = C.cross_edges(hit, self.tables["files"]).select(F.col("import_id").alias("id"), "confidence")
+        x = x.join(edges, "id", "left").withColumn("score", F.col("b") + F.col("priority") * 0.01 + F.coalesce("confidence", F.lit(0)) / 10000 - F.when(F.col("stale"), 0.5).otherwise(0.0))
         w = Window.partitionBy("alias").orderBy(F.desc(F.round("score", 9)), "path", "line", "id")
-        x = x.withColumn("r", F.row_number().over(w)).where(F.col("r") <= limit)
-        best = x.groupBy("alias").agg(F.max("score").alias("best"))
-        x = x.join(best, "alias").withColumn("kept", (F.col("r") <= 3) & (F.col("score") >= F.greatest(F.col("best") * 0.45, F.col("best") - 10)))
-        return x.orderBy(F.desc("kept"), F.desc(F.round("score", 9)), "alias", "path", "line").limit(limit).select("alias", "id", "path", "line", "score")
+        x = x.withColumn("r", F.row_number().over(w)).where(F.col("r") <= C.per_member_limit(limit, members.count()))
+        return C.diversify(x, "alias", ["alias", "path", "line"], limit).select("alias", "id", "path", "line", "score")
 
     def feature_flags(self, text: str = "", limit: int = 20) -> DataFrame:
-        s = F.when(F.col("edge_kind") == "guards_code", 20).when(F.col("edge_kind") == "defines_config", 16).otherwise(12) + F.col("confidence") / 1000 + (8 if text else 0)
-        x = self.tables["flags"]
-        for w in text.lower().split():
-            x = x.where(F.lower("name").contains(w))
-        return x.groupBy("scope", "name").agg(F.max(s).alias("score"), F.array_sort(F.collect_list(F.struct("file_id", "line", "usage_id"))).alias("usages")).orderBy(F.desc("score"), "name", "scope").limit(limit)
+        return C.feature_flags(self.tables["flags"], text).orderBy(F.desc("score"), "name", "scope").limit(limit)
 
     def software(self, kind: str, files: DataFrame | None = None, limit: int = 100) -> DataFrame:
         """One of components, sdk, roles, topics, targets, resources, design."""

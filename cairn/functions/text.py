@@ -139,17 +139,13 @@ def hashed_vector(signature: Column, dimension: int = 16) -> Column:
     return let(let(slots, raw), lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))))
 
 
-def hashed_vectors(signatures: pd.Series):
-    """``hashed_vector`` of dimension 16 for a batch: all terms step through their bytes together."""
+def hash_counts(data, offsets, sizes):
+    """``hashed_vector`` of dimension 16 for rows of so many terms each: all terms step through their bytes together."""
     import numpy as np
 
-    sizes = np.array([0 if s is None else len(s) for s in signatures])
-    terms = [t.encode() for s in signatures if s is not None for t in s]
-    n = np.array([len(t) for t in terms], np.int64)
-    data = np.frombuffer(b"".join(terms) or b"\0", np.uint8)
-    start = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
-    h = np.full(len(terms), 5, np.uint8)
-    for i in range(int(n.max()) if len(n) else 0):
+    start, n = offsets[:-1], np.diff(offsets)
+    h = np.full(len(n), 5, np.uint8)
+    for i in range(int(n.max(initial=0))):
         own = np.flatnonzero(n > i)
         h[own] = ((h[own] ^ data[start[own] + i]) & 15) * 3 & 15
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -159,6 +155,16 @@ def hashed_vectors(signatures: pd.Series):
     return np.where(norm > 0, v / np.where(norm > 0, norm, 1), v)
 
 
+def hashed_vectors(signatures: pd.Series):
+    """``hashed_vector`` of dimension 16 for a batch."""
+    import numpy as np
+
+    sizes = np.array([0 if s is None else len(s) for s in signatures])
+    terms = [t.encode() for s in signatures if s is not None for t in s]
+    data = np.frombuffer(b"".join(terms) or b"\0", np.uint8)
+    return hash_counts(data, np.cumsum([0, *map(len, terms)]), sizes)
+
+
 def hashed_cosines(query: list[str]):
     """For ``mapInPandas`` over (id, o, sig): (id, o, cosine of the signature's hashed vector and the query's, not under 0)."""
     import numpy as np

@@ -81,11 +81,44 @@ def resolve_calls(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return resolve_references(refs.where("kind = 'call'"), symbols.where(F.col("kind").isin(CALLABLE)))
 
 
+RADIX = 64
+
+
+def innermost(lines: DataFrame, spans: DataFrame, key: str, best: Column, pick=F.max) -> DataFrame:
+    """(key, best): of the spans (file_id, line_start, line_end) that cover a line (key, file_id, line), the greatest (or what ``pick`` picks) ``best``.
+
+    Spans are cut into aligned blocks of 1, 64, 4096 ... lines, and only the best of a block goes on: a line
+    then meets one row for each size of blocks, however many spans a file has or however they overlap."""
+    longest = spans.agg(F.max("line_end")).first()[0] or 0
+    first, end = F.col("line_start"), F.col("line_end") + 1
+    up, down = lambda x, n: F.ceil(x / n).cast("long"), lambda x, n: F.floor(x / n).cast("long")
+    range_ = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<long>"))
+    blocks, size, level, at = [], 1, 0, []
+    while True:
+        inner = (up(first, size * RADIX) * RADIX, down(end, size * RADIX) * RADIX)
+        lo, hi = up(first, size), down(end, size)
+        own = F.when(inner[0] < inner[1], F.concat(range_(lo, inner[0]), range_(inner[1], hi))).otherwise(range_(lo, hi))
+        top = size * RADIX > longest
+        blocks.append(F.transform(range_(lo, hi) if top else own, lambda x: F.struct(F.lit(level).alias("level"), x.alias("block"))))  # noqa: B023
+        at.append(F.struct(F.lit(level).alias("level"), down(F.col("line"), size).alias("block")))
+        if top:
+            break
+        size, level = size * RADIX, level + 1
+    few = spans.where("line_start <= line_end").select("file_id", F.inline(F.concat(*blocks)), best.alias("best")).groupBy("file_id", "level", "block").agg(pick("best").alias("best"))
+    x = lines.select(key, "file_id", F.inline(F.array(*at))).join(few, ["file_id", "level", "block"])
+    return x.groupBy(key).agg(pick("best").alias("best"))
+
+
 def enclosing(lines: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
-    """The innermost symbol that covers a line: latest start, then earliest end, then greatest name. The file makes it an equi join."""
-    s = symbols.select("file_id", F.col("symbol_id").alias("sid"), F.col("name").alias("sname"), "line_start", "line_end")
-    x = lines.join(s, "file_id").where((F.col("line") >= F.col("line_start")) & (F.col("line") <= F.col("line_end")))
-    return x.groupBy(key).agg(F.max(F.struct("line_start", (-F.col("line_end")).alias("e"), "sname", "sid")).alias("b")).select(key, F.col("b.sid").alias("symbol_id"), F.col("b.sname").alias("symbol"))
+    """The innermost symbol that covers a line: latest start, then earliest end, then greatest name."""
+    best = F.struct("line_start", (-F.col("line_end")).alias("e"), F.col("name").alias("symbol"), "symbol_id")
+    return innermost(lines, symbols, key, best).select(key, "best.symbol_id", "best.symbol")
+
+
+def innermost_chunks(lines: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """The chunk of fewest lines that covers a line, then the least id."""
+    best = F.struct((F.col("line_end") - F.col("line_start")).alias("n"), "chunk_id")
+    return innermost(lines, chunks, key, best, F.min).select(key, "best.chunk_id")
 
 
 def search_symbols(symbols: DataFrame, f: Filters, limit: int) -> DataFrame:
@@ -96,6 +129,43 @@ def search_symbols(symbols: DataFrame, f: Filters, limit: int) -> DataFrame:
     return hits(rows.withColumn("base", base).where("base > 0").select("symbol_id", "path", F.col("line_start").alias("line"), score.alias("score")), "symbol_id", limit)
 
 
+def search_references(refs: DataFrame, text: str, limit: int) -> DataFrame:
+    """References whose name or path the text fits, 1.5 above the text's own score."""
+    x = refs.withColumn("b", T.score_query(text, [F.col("name"), F.col("path")])).where("b > 0")
+    return hits(x.select("ref_id", "path", "line", (F.col("b") + 1.5).alias("score")), "ref_id", limit)
+
+
+def search_calls(calls: DataFrame, column: str, name: str, limit: int) -> DataFrame:
+    """Calls by callee or caller name: 4.0, and a quarter for each further site of the same caller and callee, three at most."""
+    x = calls.where(F.lower(column) == name.strip().lower())
+    n = x.groupBy("caller_id", "callee").agg(F.count("*").alias("n"))
+    x = x.join(n, ["caller_id", "callee"]).withColumn("score", 4.0 + F.least(F.col("n") - 1, F.lit(3)) * 0.25)
+    return hits(x.select("call_id", "caller", "path", "line", "score"), "call_id", limit)
+
+
+def feature_flags(flags: DataFrame, text: str = "") -> DataFrame:
+    """(scope, name, score, usages): flags whose name has every word, with their usages in order."""
+    s = F.when(F.col("edge_kind") == "guards_code", 20).when(F.col("edge_kind") == "defines_config", 16).otherwise(12) + F.col("confidence") / 1000 + (8 if text else 0)
+    for w in text.lower().split():
+        flags = flags.where(F.lower("name").contains(w))
+    return flags.groupBy("scope", "name").agg(F.max(s).alias("score"), F.array_sort(F.collect_list(F.struct("line", "usage_id", "file_id"))).alias("usages"))
+
+
+def saturated(rows: DataFrame, order: list[str], limit: int) -> DataFrame:
+    """The first rows, and whether there are more: one row beyond the limit tells."""
+    few = rows.orderBy(*order).limit(limit + 1)
+    x = few.withColumn("n", F.row_number().over(Window.orderBy(*order))).withColumn("saturated", F.max("n").over(Window.partitionBy()) > limit)
+    return x.where(F.col("n") <= limit).drop("n")
+
+
+def diversify(rows: DataFrame, member: str, order: list[str], limit: int, most: int = 3, share: float = 0.45, gap: float = 10.0) -> DataFrame:
+    """Rows (score, rank r within a member) of a set, limit at most: first up to three of each member that aren't far
+    under its best, by score, then the others, so that a set of few members is still filled."""
+    best = rows.groupBy(member).agg(F.max("score").alias("best"))
+    x = rows.join(best, member).withColumn("kept", (F.col("r") <= most) & (F.col("score") >= F.greatest(F.col("best") * share, F.col("best") - gap)))
+    return x.orderBy(F.desc("kept"), F.desc(F.round("score", 9)), *order).limit(limit).drop("best")
+
+
 def hits(rows: DataFrame, id_col: str, limit: int) -> DataFrame:
     return rows.orderBy(F.desc(F.round("score", 9)), "path", "line", id_col).limit(limit)
 
@@ -107,10 +177,13 @@ def dedupe_best(rows: DataFrame) -> DataFrame:
 
 def cross_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Unresolved, non-relative imports against other scopes' modules: 1 candidate resolved, several ambiguous, none unresolved."""
-    keys = files.select(F.col("scope").alias("to_scope"), F.col("file_id").alias("to_file"), F.explode(P.module_keys(F.col("path"))).alias("module"))
+    keys = files.select("scope", F.col("file_id").alias("f"), F.explode(P.module_keys(F.col("path"))).alias("module"))
+    # of each module: its files by the one scope that has them, so a common module is a few counts, not its files
+    of_file = keys.groupBy("module", "f").agg(F.min("scope").alias("lo"), F.max("scope").alias("hi"))
+    counts = of_file.groupBy("module", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("only")).agg(F.count("*").alias("n"), F.min("f").alias("f"))
     open_ = imports.where((F.col("resolution") == "unresolved") & ~P.is_relative_module(F.col("module"))).select("scope", "import_id", "module")
-    found = open_.join(keys, "module").where("scope <> to_scope").groupBy("import_id").agg(F.count_distinct("to_file").alias("c"), F.min("to_file").alias("to_file"))
-    x = open_.join(found, "import_id", "left")
+    found = open_.select("scope", "module").distinct().join(counts, "module").where("only is null or only <> scope").groupBy("scope", "module").agg(F.sum("n").alias("c"), F.min("f").alias("to_file"))
+    x = open_.join(found, ["scope", "module"], "left")
     state = F.when(F.col("c") == 1, "resolved").when(F.col("c") > 1, "ambiguous").otherwise("unresolved")
     points = F.when(F.col("c") == 1, 10000).when(F.col("c") > 1, 5000).otherwise(0)
     return x.select("scope", "import_id", F.when(F.col("c") == 1, F.col("to_file")).alias("to_file"), state.alias("state"), points.alias("confidence"))

@@ -45,14 +45,19 @@ def bm25_counts(docs: DataFrame, query: str, id_col: str = "evidence_id", text_c
     return x.select(id_col, F.size("_w").cast("double").alias("dl"), F.array(*map(count, fts_tokens(query))).alias("tf"), *[c for c in x.columns if c not in (id_col, "_w")])
 
 
+def okapi(tf: Column) -> Column:
+    """Score of term counts, given columns n, df, dl and avgdl: k1 1.2, b 0.75."""
+    idf = lambda d: F.log((F.col("n") - d + 0.5) / (d + 0.5) + 1)
+    part = F.zip_with(tf, "df", lambda t, d: idf(d) * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    return F.aggregate(part, F.lit(0.0), lambda a, b: a + b)
+
+
 def bm25_scores(counted: DataFrame, query: str, id_col: str = "evidence_id") -> DataFrame:
     """(id, score), Okapi with k1 1.2 and b 0.75, of counts: corpus statistics are one row."""
     n = len(fts_tokens(query))
     stats = counted.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), F.array(*[F.sum(F.when(F.col("tf")[i] > 0, 1.0).otherwise(0.0)) for i in range(n)]).alias("df"))
-    idf = lambda d: F.log((F.col("n") - d + 0.5) / (d + 0.5) + 1)
-    part = F.zip_with("tf", "df", lambda t, d: idf(d) * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
     hits = counted.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row
-    return hits.select(id_col, F.aggregate(part, F.lit(0.0), lambda a, b: a + b).alias("score"))
+    return hits.select(id_col, okapi(F.col("tf")).alias("score"))
 
 
 def bm25(docs: DataFrame, query: str, id_col: str = "evidence_id", text_col: str = "content") -> DataFrame:
@@ -69,34 +74,21 @@ def ranked(hits: DataFrame, source: str, id_col: str = "evidence_id") -> DataFra
     return hits.select(F.col(id_col).alias("key"), F.lit(source).alias("source"), F.row_number().over(Window.orderBy(F.desc("score"), F.asc(id_col))).alias("rank"), F.col("score"))
 
 
-def graph_evidence(ev: DataFrame, query: str) -> DataFrame:
-    """Overlap of the query with content, labels and path; one hit for each evidence group (a parent's children)."""
-    s = T.overlap_score(query, F.col("content"), F.col("labels"), F.col("source_path"))
-    return ev.select(F.coalesce("parent_id", "evidence_id").alias("evidence_id"), s.alias("score")).where("score > 0")
-
-
-def semantic(ev: DataFrame, query: str) -> DataFrame:
-    """Token-set overlap of documents whose signature has any candidate term.
-
-    Signatures are made only of what can have one: a term of a plain word stands in the text itself, so a
-    text without any of them, and without identifier-like words, is passed over by a look at the text."""
-    q = T.driver_terms(query)
-    terms = T.candidate_terms(q)
-    low = F.lower(F.coalesce("content", F.lit("")))
-    may = F.arrays_overlap(T.terms(F.concat_ws(" ", F.array_join("labels", " "), "source_path")), T.lit_array(terms)) | F.coalesce(F.col("content").rlike(r"_|[0-9]|\S[A-Z]"), F.lit(False))
-    for t in terms:
-        may = may | low.contains(t)
-    some = ev.where(may).withColumn("sig", T.token_signature(F.col("content"), F.col("labels"), F.col("source_path"))).where(F.arrays_overlap("sig", T.lit_array(terms)))
-    return some.select("evidence_id", T.semantic_overlap(q, F.col("sig")).alias("score"))
-
-
-def vector(ev: DataFrame, query: str) -> DataFrame:
-    """Cosine of hashed vectors behind a lexical gate, plus a twentieth of the overlap."""
-    q = T.driver_terms(query)
-    over = T.overlap_score(query, F.col("content"), F.col("labels"), F.col("source_path"))
-    base = ev.select("evidence_id", over.alias("o"), T.token_signature(F.col("content"), F.col("labels"), F.col("source_path")).alias("sig")).where("o > 0")
-    cos = base.mapInPandas(T.hashed_cosines(q), "evidence_id string, o double, c double").where("c > 0")
-    return cos.select("evidence_id", (F.col("c") + 0.05 * F.least(F.lit(1.0), F.col("o") / len(q))).alias("score"))
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 200) -> DataFrame:
+    """(q, vec_id, rank, s): the k vectors of (vec_id, v) nearest by cosine to each query of the same shape, itself apart.
+
+    Queries are packed into rows of ``block`` vectors, a product of blocks and vectors being what a search
+    against everything is; each task keeps k of its rows for each query before anything is shuffled."""
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    v = vectors.select("vec_id", "v", norm.alias("n"))
+    of = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // block)))).alias("b"), F.struct(F.col("vec_id").alias("q"), F.col("v").alias("qv"), norm.alias("qn")).alias("one"))
+    blocks = of.groupBy("b").agg(F.collect_list("one").alias("block"))
+    dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    s = v.crossJoin(blocks).select("vec_id", "v", "n", F.inline("block")).where("vec_id <> q")
+    s = s.select("q", "vec_id", (dot / (F.col("qn") * F.col("n"))).alias("s")).withColumn("part", F.spark_partition_id())
+    best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("s", 9)), "vec_id"))
+    few = s.withColumn("r", best("q", "part")).where(F.col("r") <= k)
+    return few.withColumn("rank", best("q")).where(F.col("rank") <= k).select("q", "vec_id", "rank", "s")
 
 
 def wants_time(query: str) -> bool:

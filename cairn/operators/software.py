@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 
 def topics(files: DataFrame) -> DataFrame:
     """(path, level, topic, line) of markdown headings."""
@@ -15,20 +17,22 @@ def topics(files: DataFrame) -> DataFrame:
     return lines.where(F.col("text").rlike(head)).select("path", F.length(F.regexp_extract("text", head, 1)).alias("level"), F.regexp_extract("text", head, 2).alias("topic"), (F.col("n") + 1).alias("line"))
 
 
-def effective_models(projects: DataFrame, properties: DataFrame, managed: DataFrame, dependencies: DataFrame, depth: int = 16) -> DataFrame:
+def effective_models(projects: DataFrame, properties: DataFrame, managed: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Build models with what they inherit: (project, artifact, version).
 
     projects (project, parent), properties (project, name, value), managed and dependencies (project,
     artifact, version, null where inherited). The nearest ancestor that says anything wins; a version of
-    the form ${name} is looked up in the nearest property. Ancestors come from repeated joins on parents,
-    a stated depth at most, each round only over lines that still go on."""
+    the form ${name} is looked up in the nearest property. Ancestors come from repeated joins on parents, each
+    round only over lines that still go on, until none does; a line that comes back to its project ends there."""
     lines = projects.select("project", F.col("project").alias("from"), F.col("parent").alias("next"), F.lit(0).alias("d"))
     frontier, every = lines, lines
     up = projects.select(F.col("project").alias("p"), F.col("parent").alias("pp"))
-    for i in range(1, depth + 1):
-        frontier = frontier.join(up, F.col("next") == F.col("p")).select("project", F.col("p").alias("from"), F.col("pp").alias("next"), F.lit(i).alias("d"))
-        if frontier.isEmpty():
-            break
+    i = 0
+    while not frontier.isEmpty():
+        i += 1
+        # a cycle of parents would go on for ever: no project is an ancestor twice
+        step = frontier.join(up, F.col("next") == F.col("p")).select("project", F.col("p").alias("from"), F.col("pp").alias("next"), F.lit(i).alias("d"))
+        frontier = cut(step.join(every.select("project", "from"), ["project", "from"], "left_anti").select(*every.columns), "ancestors")
         every = every.union(frontier)
     nearest = lambda rows, *keys: every.join(rows.withColumnRenamed("project", "from"), "from").groupBy("project", *keys).agg(F.min_by("value", "d").alias("value"))
     props = nearest(properties.select("project", "name", "value"), "name")

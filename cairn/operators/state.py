@@ -44,6 +44,45 @@ def claim(tasks: DataFrame, now: int, n: int = 1) -> DataFrame:
     return recover(tasks, now).where(eligible(now) & (F.col("attempts") < MAX_ATTEMPTS)).orderBy("created_ms", "target_version", "task_id").limit(n)
 
 
+def claim_each(tasks: DataFrame, now: int, kind: str, n: int = 1) -> DataFrame:
+    """The oldest claimable tasks of each kind of worker; expired leases are recovered first."""
+    w = Window.partitionBy(kind).orderBy("created_ms", "task_id")
+    ready = recover(tasks, now).where(eligible(now) & (F.col("attempts") < MAX_ATTEMPTS))
+    return ready.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
+
+
+def decisions(events: DataFrame, key: str = "proposal_id", order: str = "seq") -> DataFrame:
+    """(key, decision, last, decisions): only a proposed one can be decided, so the first decision stands and later ones are conflicts."""
+    decided = F.col("state") != "proposed"
+    x = events.groupBy(key).agg(F.min(F.when(decided, F.struct(order, "state"))).alias("m"), F.max(order).alias("last"), F.count_if(decided).alias("decisions"))
+    return x.select(key, F.col("m.state").alias("decision"), "last", "decisions")
+
+
+def audit(events: DataFrame, order: str, limit: int) -> DataFrame:
+    """The newest entries of an audit log."""
+    return events.orderBy(F.desc(order)).limit(limit)
+
+
+def replay(log: DataFrame, after: int, page: int) -> DataFrame:
+    """(page, n, entities): what is to be replayed after a version, page by page."""
+    later = log.where(F.col("graph_version") > after)
+    return later.groupBy(F.expr(f"graph_version div {page}").alias("page")).agg(F.count("*").alias("n"), F.count_distinct("entity").alias("entities"))
+
+
+def admitted(arrivals: DataFrame, period: Column, capacity: int) -> DataFrame:
+    """(period, received, admitted, dropped): a bounded channel doesn't block, it counts what it can't take."""
+    x = arrivals.groupBy(period.alias("period")).agg(F.count("*").alias("received"))
+    return x.select("period", "received", F.least(F.lit(capacity), F.col("received")).alias("admitted"), F.greatest(F.lit(0), F.col("received") - capacity).alias("dropped"))
+
+
+def admit(requests: DataFrame, limits: dict[str, int], kind: str = "kind", order: str = "arrived") -> DataFrame:
+    """Requests with their admission: each class takes so many in order of arrival, what has no class of its own shares ``other``."""
+    of = F.when(F.col(kind).isin([k for k in limits if k != "other"]), F.col(kind)).otherwise("other")
+    most = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
+    x = requests.withColumn("class", of).withColumn("place", F.row_number().over(Window.partitionBy("class").orderBy(order)))
+    return x.withColumn("admission", F.when(F.col("place") <= F.element_at(most, F.col("class")), "admitted").otherwise("rejected"))
+
+
 def after_failure(attempts: Column, now: Column) -> Column:
     return F.when(attempts >= MAX_ATTEMPTS, F.struct(F.lit("dead_letter").alias("state"), F.lit(None).cast("long").alias("next_retry_ms"))).otherwise(F.struct(F.lit("retrying").alias("state"), (now + RETRY_MS).alias("next_retry_ms")))
 

@@ -9,6 +9,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..operators import code as C
 from ..sources import adapter
+from ..sources import store
 from ..sources.code_adapter import VIEWS
 from . import sqltext as S
 
@@ -52,9 +53,12 @@ def path_prefix_filter(spark, d):
     return f.where(P.any_filter(F.col("path"), ["./src/brand7/", "tests"]) & P.language_allows(F.col("path"), F.col("language_id"), ["cpp", "python"])).select("file_id", "path")
 
 
-@query(r"select path, regexp_matches(lower(path), '(\.min\.js|\.pb\.go|_pb2\.py|\.g\.dart|\.generated\.[a-z]+|\.lock)$') or regexp_matches(lower(path), '^(dist|build)/') or regexp_matches(lower(path), '(^|/)(target|generated)/') or regexp_matches(substr(blob_hash, 1, 8192), '@generated|do not edit|auto-?generated') as generated from code_files", "code_files")
+_CONTENT = "concat('module ', file_id, case when cast(file_id as bigint) % 19 = 0 then ' // Code generated by a tool. DO NOT EDIT.' when cast(file_id as bigint) % 23 = 0 then ' /* @Generated */' else ' x = 1' end)"
+
+
+@query(rf"select path, regexp_matches(lower(path), '(\.min\.js|\.pb\.go|_pb2\.py|\.g\.dart|\.generated\.[a-z]+|\.lock)$') or regexp_matches(lower(path), '^(dist|build)/') or regexp_matches(lower(path), '(^|/)(target|generated)/') or regexp_matches(lower(substr({_CONTENT}, 1, 8192)), '@generated|do not edit|auto-?generated') as generated from code_files", "code_files")
 def generated_detect(spark, d):
-    return view(spark, d, "code_files").select("path", P.is_generated(F.col("path"), F.col("blob_hash")).alias("generated"))
+    return view(spark, d, "code_files").select("path", P.is_generated(F.col("path"), F.expr(_CONTENT)).alias("generated"))
 
 
 @query(r"""select path, case when regexp_matches(b, '^knowledge[-_]?map\.') then 'knowledge_map' when regexp_matches(p, '\.(md|rst|adoc)$') or regexp_matches(p, '(^|/)docs?/') then 'documentation'
@@ -107,10 +111,7 @@ def enclosing_caller(spark, d):
 
 @query("select ref_id, min_by(chunk_id, struct_pack(a := line_end - line_start, b := chunk_id)) as chunk_id from code_refs r join code_chunks c on c.file_id = r.file_id and r.line between line_start and line_end group by 1", "code_refs", "code_chunks")
 def innermost_chunk(spark, d):
-    r = view(spark, d, "code_refs").select("ref_id", "file_id", "line")
-    c = view(spark, d, "code_chunks").select("file_id", "chunk_id", "line_start", "line_end")
-    x = r.join(c, "file_id").where("line between line_start and line_end")
-    return x.groupBy("ref_id").agg(F.min(F.struct((F.col("line_end") - F.col("line_start")).alias("n"), "chunk_id")).alias("m")).select("ref_id", "m.chunk_id")
+    return C.innermost_chunks(view(spark, d, "code_refs").select("ref_id", "file_id", "line"), view(spark, d, "code_chunks"), "ref_id")
 
 
 @query("select symbol_id, (select max(p.line_end) from code_symbols p where p.file_id = s.file_id and p.line_end < s.line_start)::bigint as previous_end from code_symbols s", "code_symbols")
@@ -146,16 +147,22 @@ def symbol_search(spark, d):
     return C.search_symbols(view(spark, d, "code_symbols"), C.parse_query(SYMBOL_QUERY), 200).withColumn("score", r6("score"))
 
 
-@query("select ref_id, path, line, 5.5::double as score from code_refs where name = 'fn_131' order by path, line, ref_id limit 200", "code_refs")
+@query(f"select ref_id, path, line, round(score, 6)::double as score from (select *, {score_sql('fn_131 brand7', ['name', 'path'])} + 1.5 as score from code_refs) x where x.score > 1.5 order by round(x.score, 9) desc, path, line, ref_id limit 200", "code_refs")
 def reference_search(spark, d):
-    rows = view(spark, d, "code_refs").where("name = 'fn_131'").select("ref_id", "path", "line", (F.lit(4.0) + 1.5).alias("score"))
-    return C.hits(rows, "ref_id", C.layer_limit("reference", 2))
+    return C.search_references(view(spark, d, "code_refs"), "fn_131 brand7", C.layer_limit("reference", 2)).withColumn("score", r6("score"))
+
+
+_CALLS = "n as (select caller_id, callee, count(*) as n from code_calls where {where} group by all), s as (select call_id, caller, path, line, 4.0 + least(n - 1, 3) * 0.25 as score from code_calls join n using (caller_id, callee) where {where}) select call_id, caller, path, line, score::double as score from s order by score desc, path, line, call_id limit {limit}"
 
 
-@query("select call_id, caller, path, line from code_calls where callee = 'fn_131' order by path, line, call_id limit 500", "code_calls")
+@query("with " + _CALLS.format(where="lower(callee) = 'fn_131'", limit=500), "code_calls")
 def callers(spark, d):
-    rows = view(spark, d, "code_calls").where("callee = 'fn_131'").withColumn("score", F.lit(1.0))
-    return C.hits(rows.select("call_id", "caller", "path", "line", "score"), "call_id", C.layer_limit("caller", 5)).drop("score")
+    return C.search_calls(view(spark, d, "code_calls"), "callee", "fn_131", C.layer_limit("caller", 5))
+
+
+@query("with " + _CALLS.format(where="lower(caller) = 'fn_262'", limit=250), "code_calls")
+def callee_search(spark, d):
+    return C.search_calls(view(spark, d, "code_calls"), "caller", " FN_262", C.layer_limit("call", 5))
 
 
 @query("select callee, count(*)::bigint as calls, min(line)::bigint as first_line, (row_number() over (order by min(line), callee))::int as execution_order from code_calls where caller = 'fn_262' group by callee", "code_calls")
@@ -224,9 +231,8 @@ def impact(spark, d):
 
 @query("""select scope, name, max(case edge_kind when 'guards_code' then 20 when 'defines_config' then 16 else 12 end + confidence / 1000.0 + 8)::double as score, count(*)::bigint as usages, string_agg(usage_id, ' ' order by line, usage_id) as usage_ids from code_flags where contains(lower(name), 'click') group by all""", "code_flags")
 def feature_flag_groups(spark, d):
-    s = F.when(F.col("edge_kind") == "guards_code", 20).when(F.col("edge_kind") == "defines_config", 16).otherwise(12) + F.col("confidence") / 1000 + 8
-    x = view(spark, d, "code_flags").where(F.lower("name").contains("click"))
-    return x.groupBy("scope", "name").agg(F.max(s).cast("double").alias("score"), F.count("*").alias("usages"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "usage_id"))), lambda z: z["usage_id"]), " ").alias("usage_ids"))
+    x = C.feature_flags(view(spark, d, "code_flags"), "click")
+    return x.select("scope", "name", F.col("score").cast("double").alias("score"), F.size("usages").cast("long").alias("usages"), F.array_join(F.transform("usages", lambda z: z["usage_id"]), " ").alias("usage_ids"))
 
 
 _SEEDS = f"""seeds as (select symbol_id, name, path from (select *, {score_sql('fn_262', ['name'])} as score from code_symbols) z where score > 0 order by score desc, path, line_start, symbol_id limit 3)"""
@@ -290,12 +296,15 @@ def overlay_counts(spark, d):
   select alias, hit, path, line, round(score, 6)::double as score from (select *, row_number() over (partition by alias order by round(score, 9) desc, path, line, hit) as r from m) z where r <= 20""", "code_files", "code_imports", "repo_members")
 def repo_set_ranking(spark, d):
     """Each member's best hits by score + priority + edge confidence - staleness."""
-    i = view(spark, d, "code_imports").select("scope", F.col("import_id").alias("hit"), "path", "line", T.score_query("mod_49", [F.col("module")]).alias("base")).where("base > 0")
-    e = cross_repo_edges(spark, d).select(F.col("import_id").alias("hit"), "confidence")
-    x = i.join(view(spark, d, "repo_members"), "scope").join(e, "hit", "left")
-    x = x.withColumn("score", F.col("base") + F.col("priority") * 0.01 + F.coalesce("confidence", F.lit(0)) / 10000 - F.when(F.col("stale"), 0.5).otherwise(0.0))
     w = Window.partitionBy("alias").orderBy(F.desc(F.round("score", 9)), "path", "line", "hit")
-    return x.withColumn("r", F.row_number().over(w)).where("r <= 20").select("alias", "hit", "path", "line", r6("score").alias("score"))
+    return _ranked_set(spark, d).withColumn("r", F.row_number().over(w)).where("r <= 20").select("alias", "hit", "path", "line", r6("score").alias("score"))
+
+
+def _ranked_set(spark, d):
+    i = view(spark, d, "code_imports").withColumn("base", T.score_query("mod_49", [F.col("module")])).where("base > 0")
+    e = C.cross_edges(i, view(spark, d, "code_files")).select(F.col("import_id").alias("hit"), "confidence")  # only hits need their edges
+    x = i.withColumnRenamed("import_id", "hit").join(view(spark, d, "repo_members"), "scope").join(e, "hit", "left")
+    return x.withColumn("score", F.col("base") + F.col("priority") * 0.01 + F.coalesce("confidence", F.lit(0)) / 10000 - F.when(F.col("stale"), 0.5).otherwise(0.0))
 
 
 @query("select f.scope, count(*)::bigint as files, count(*) filter (parse_status = 'degraded')::bigint as degraded, any_value(symbols)::bigint as symbols, any_value(generated)::bigint as generated_symbols, any_value(first3) as first_symbols from code_files f join (select scope, count(*) as symbols, count(*) filter (is_generated) as generated, array_to_string(list_sort(list(distinct symbol_id))[1:3], ' ') as first3 from code_symbols group by scope) s using (scope) group by f.scope", "code_files", "code_symbols")
@@ -352,22 +361,25 @@ def file_search(spark, d):
     return few.select("path", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "path")).alias("rank"))
 
 
-@query("""select coalesce(o.path, n.path) as path, case when o.path is null then 'added' when n.path is null then 'deleted' when o.blob_hash <> n.blob_hash then 'modified' else 'same' end as change from (select path, blob_hash from code_files where file_id::bigint % 5 <> 0) o
-  full join (select path, case when file_id::bigint % 7 = 0 then 'new' else blob_hash end as blob_hash from code_files where file_id::bigint % 4 <> 0) n using (path)""", "code_files")
+_HEAD = "select case when cast(file_id as bigint) % 10 = 3 then concat('moved/', path) else path end as path, case when cast(file_id as bigint) % 7 = 0 then 'new' else concat(blob_hash, file_id) end as blob_hash from code_files where cast(file_id as bigint) % 4 <> 0"
+
+
+@query(f"""with o as (select path, concat(blob_hash, file_id) as blob_hash from code_files where file_id::bigint % 5 <> 0), n as ({_HEAD}),
+  x as (select coalesce(o.path, n.path) as path, o.blob_hash as old, n.blob_hash as new from o full join n using (path) where old is null or new is null or old <> new), g as (select old as new, min(path) as old_path from x where new is null group by 1)
+  select path, case when old_path is not null then 'renamed' when old is null then 'added' when x.new is null then 'deleted' else 'modified' end as change, old_path from x left join g using (new)""", "code_files")
 def snapshot_diff(spark, d):
-    f = view(spark, d, "code_files").withColumn("k", F.col("file_id").cast("long"))
-    o = f.where("k % 5 <> 0").select("path", F.col("blob_hash").alias("o"))
-    n = f.where("k % 4 <> 0").select("path", F.when(F.col("k") % 7 == 0, "new").otherwise(F.col("blob_hash")).alias("n"))
-    return o.join(n, "path", "full_outer").select("path", F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "deleted").when(F.col("o") != F.col("n"), "modified").otherwise("same").alias("change"))
+    f = view(spark, d, "code_files")
+    base = f.where("cast(file_id as bigint) % 5 <> 0").select("path", F.concat("blob_hash", "file_id").alias("blob_hash"))
+    return store.diff(base, spark.sql(_HEAD.replace("code_files", "{f}"), f=f))
 
 
-@query("select symbol_id, name, 'base' as origin from code_symbols where path not in (select path from code_files where file_id::bigint % 9 = 0) union all select symbol_id, concat(name, '_v2'), 'overlay' from code_symbols where path in (select path from code_files where file_id::bigint % 9 = 0) and kind <> 'class'", "code_symbols", "code_files")
+@query("select symbol_id, name, path from code_symbols where path not in (select path from code_files where file_id::bigint % 9 = 0) union all select symbol_id, concat(name, '_v2'), path from code_symbols where path in (select path from code_files where file_id::bigint % 9 = 0) and kind <> 'class'", "code_symbols", "code_files")
 def incremental_overlay(spark, d):
     """Rows of unchanged paths stay, those of changed paths are replaced."""
     s = view(spark, d, "code_symbols")
     changed = view(spark, d, "code_files").where("cast(file_id as bigint) % 9 = 0").select("path")
-    new = s.where("kind <> 'class'").join(changed, "path", "left_semi").select("symbol_id", F.concat("name", F.lit("_v2")).alias("name"), F.lit("overlay").alias("origin"))
-    return s.join(changed, "path", "left_anti").select("symbol_id", "name", F.lit("base").alias("origin")).union(new)
+    new = s.where("kind <> 'class'").join(changed, "path", "left_semi").select("symbol_id", F.concat("name", F.lit("_v2")).alias("name"), "path")
+    return store.overlay(s.select("symbol_id", "name", "path"), changed, new)
 
 
 @query("select path, name from (select path, name from code_symbols where kind <> 'class') b where (path, name) not in (select path, name from code_symbols where kind = 'method')", "code_symbols")
@@ -419,21 +431,20 @@ def scope_resolution(spark, d):
 @query("select hit, (select count(*) from code_calls where callee = 'fn_131') > 20 as saturated from (select call_id as hit from code_calls where callee = 'fn_131' order by path, line, call_id limit 20) x", "code_calls")
 def saturation_probe(spark, d):
     """One row more than asked for tells whether the limit cut anything."""
-    rows = view(spark, d, "code_calls").where("callee = 'fn_131'").orderBy("path", "line", "call_id").limit(21)
-    x = rows.withColumn("n", F.row_number().over(Window.orderBy("path", "line", "call_id"))).withColumn("saturated", F.max("n").over(Window.partitionBy()) > 20)
-    return x.where("n <= 20").select(F.col("call_id").alias("hit"), "saturated")
+    rows = C.saturated(view(spark, d, "code_calls").where("callee = 'fn_131'"), ["path", "line", "call_id"], 20)
+    return rows.select(F.col("call_id").alias("hit"), "saturated")
 
 
 @query(f"""with {_CROSS}, h as (select i.scope, i.import_id as hit, path, line, {score_sql('mod_49', ['module'])} as base from code_imports i), m as (
   select alias, hit, path, line, base + priority * 0.01 + coalesce(confidence, 0) / 10000.0 - case when stale then 0.5 else 0 end as score from h join repo_members using (scope) left join edges on edges.import_id = h.hit where base > 0),
-  r as (select *, row_number() over (partition by alias order by round(score, 9) desc, path, line, hit) as r, max(score) over (partition by alias) as best from m)
-  select alias, hit, round(score, 6)::double as score from r where r <= 3 and score >= greatest(best * 0.45, best - 10)""", "code_files", "code_imports", "repo_members")
+  r as (select *, row_number() over (partition by alias order by round(score, 9) desc, path, line, hit) as r, max(score) over (partition by alias) as best from m),
+  k as (select *, r <= 3 and score >= greatest(best * 0.45, best - 10) as kept from r where r <= 20)
+  select alias, hit, kept, round(score, 6)::double as score from k order by kept desc, round(k.score, 9) desc, alias, path, line, hit limit 25""", "code_files", "code_imports", "repo_members")
 def set_diversification(spark, d):
-    """At most three of each member, none far under its best."""
-    x = repo_set_ranking(spark, d)
-    w = Window.partitionBy("alias").orderBy(F.desc(F.round("score", 6)), "path", "line", "hit")
-    x = x.withColumn("r", F.row_number().over(w)).withColumn("best", F.max("score").over(Window.partitionBy("alias")))
-    return x.where((F.col("r") <= 3) & (F.col("score") >= F.greatest(F.col("best") * 0.45, F.col("best") - 10))).select("alias", "hit", "score")
+    """At most three of each member first, none far under its best; the rest fills the set."""
+    w = Window.partitionBy("alias").orderBy(F.desc(F.round("score", 9)), "path", "line", "hit")
+    x = _ranked_set(spark, d).withColumn("r", F.row_number().over(w)).where("r <= 20")
+    return C.diversify(x, "alias", ["alias", "path", "line", "hit"], 25).select("alias", "hit", "kept", r6("score").alias("score"))
 
 
 @query("select evidence_id, f.path from (select concat('doc:', doc_id::varchar) as evidence_id, concat('scope', (doc_id % 3)::varchar) as scope, (doc_id % 200)::varchar as file_id from documents) e join code_files f using (scope, file_id)", "code_files")
@@ -479,3 +490,41 @@ def bridge_bonus(spark, d):
 def call_excerpts(spark, d):
     k = view(spark, d, "code_chunks").select(F.col("symbol_id").alias("caller_id"), F.replace("content", F.lit(" in "), F.lit("\n")).alias("content"))
     return view(spark, d, "code_calls").join(k, "caller_id").select("call_id", C.focused_excerpt(F.col("content"), F.col("callee")).alias("excerpt"))
+
+
+@query("with e as (select path, byte_len, case when file_id::bigint % 7 = 0 then 'missing' else 'indexed' end as was from code_files where file_id::bigint % 4 <> 0), o as (select path, byte_len + 1 as byte_len from code_files where file_id::bigint % 3 <> 0) select path, coalesce(o.byte_len, e.byte_len) as byte_len, case when o.byte_len is not null then 'indexed' else 'missing' end as status from e full join o using (path)", "code_files")
+def file_index_scan(spark, d):
+    """A complete scan: seen files are indexed, unseen ones missing."""
+    f = view(spark, d, "code_files").withColumn("k", F.col("file_id").cast("long"))
+    known = f.where("k % 4 <> 0").select("path", "byte_len", F.when(F.col("k") % 7 == 0, "missing").otherwise("indexed").alias("status"))
+    return store.file_index(known, f.where("k % 3 <> 0").select("path", (F.col("byte_len") + 1).alias("byte_len")), True)
+
+
+@query("with w as (select scope, file_id, row_number() over (partition by scope order by path) - 1 as n, sum(byte_len) over (partition by scope order by path rows unbounded preceding) - byte_len as b from code_files) select scope, file_id, greatest(floor(n / 40), floor(b / 500000))::bigint as batch from w", "code_files")
+def index_batches(spark, d):
+    return store.batches(view(spark, d, "code_files"), 40, 500_000).select("scope", "file_id", F.col("batch").cast("long").alias("batch"))
+
+
+@query("select import_id, contains('.' || regexp_replace(module, '::|/', '.', 'g') || '.', '.brand7.') as bounded, regexp_matches(module, '^(\\.|crate::|self::|super::)') as relative from code_imports", "code_imports")
+def module_boundaries(spark, d):
+    return view(spark, d, "code_imports").select("import_id", P.module_contains(F.col("module"), F.lit("brand7")).alias("bounded"), P.is_relative_module(F.col("module")).alias("relative"))
+
+
+@query("""with recursive p as (select concat('p', p_partkey) as project, case when p_partkey > 20 then concat('p', p_partkey - 20) end as parent from part),
+  a(project, anc, d) as (select project, project, 0 from p union all select a.project, p.parent, d + 1 from a join p on p.project = a.anc where p.parent is not null),
+  props as (select concat('p', p_partkey) as project, 'v' as name, p_size::varchar as value from part where p_partkey % 3 = 0),
+  man as (select concat('p', p_partkey) as project, 'lib' as artifact, '${v}' as version from part where p_partkey <= 20), dep as (select concat('p', p_partkey) as project, 'lib' as artifact, case when p_partkey % 11 = 0 then concat('1.', p_size) end as version from part where p_partkey % 2 = 0),
+  np as (select a.project, name, arg_min(value, d) as value from a join props on props.project = a.anc group by all), nm as (select a.project, artifact, arg_min(version, d) as version from a join man on man.project = a.anc group by all),
+  mine as (select a.project, artifact, arg_min(version, d) filter (version is not null) as own from a join dep on dep.project = a.anc group by all), x as (select project, artifact, coalesce(own, nm.version) as raw from mine left join nm using (project, artifact))
+  select x.project, artifact, case when raw = '${v}' then np.value else raw end as version from x left join np on np.project = x.project and np.name = 'v'""")
+def effective_versions(spark, d):
+    """Inherited versions through parent chains of any length."""
+    from ..operators import software as Sw
+
+    part = view(spark, d, "part")
+    k, name = F.col("p_partkey"), lambda x: F.concat(F.lit("p"), x.cast("string"))
+    projects = part.select(name(k).alias("project"), F.when(k > 20, name(k - 20)).alias("parent"))
+    props = part.where("p_partkey % 3 = 0").select(name(k).alias("project"), F.lit("v").alias("name"), F.col("p_size").cast("string").alias("value"))
+    managed = part.where("p_partkey <= 20").select(name(k).alias("project"), F.lit("lib").alias("artifact"), F.lit("${v}").alias("version"))
+    deps = part.where("p_partkey % 2 = 0").select(name(k).alias("project"), F.lit("lib").alias("artifact"), F.when(k % 11 == 0, F.concat(F.lit("1."), F.col("p_size").cast("string"))).alias("version"))
+    return Sw.effective_models(projects, props, managed, deps)

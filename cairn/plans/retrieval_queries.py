@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import readmodel as RM
 from ..operators import retrieval as R
+from ..sources import store
 from ..sources.adapter import view, with_views
+from ..sources.scratch import scratch
 from . import sqltext as S
 
 V = 6
@@ -27,9 +30,10 @@ def query(sql: str | None = None, *views: str):
     return register
 
 
-def labelled(spark: SparkSession, d: str, v: int = V, scope: str | None = None) -> DataFrame:
-    """Retrievable evidence with its entity labels, sorted."""
-    ev = view(spark, d, "evidence").where(R.retrievable(v, scope))
+def labelled(spark: SparkSession, d: str, v: int | None = V, scope: str | None = None) -> DataFrame:
+    """Evidence that is retrievable at a version, or all of it, with its entity labels, sorted."""
+    ev = view(spark, d, "evidence")
+    ev = ev if v is None else ev.where(R.retrievable(v, scope))
     lab = view(spark, d, "evidence_entities").join(view(spark, d, "entities"), "entity_id").groupBy("evidence_id").agg(F.array_sort(F.collect_list("label")).alias("labels"))
     return ev.join(lab, "evidence_id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
 
@@ -43,6 +47,33 @@ def r6(c):
     return F.round(c, 6)
 
 
+def fact_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(fact_id, kind, text, occurred_at, visibility) of all facts: subject, predicate and object as one text."""
+    ent = lambda key, label: view(spark, d, "entities").select(F.col("entity_id").alias(key), F.col("label").alias(label))
+    seen = ["created", "valid_from", "valid_until", "status"]
+    shape = lambda df, kind, parts, at: df.select("fact_id", F.lit(kind).alias("kind"), F.concat_ws(" ", *parts).alias("text"), at.alias("occurred_at"), *seen)
+    rel = view(spark, d, "relations").join(ent("src_id", "a"), "src_id").join(ent("dst_id", "b"), "dst_id")
+    cla = view(spark, d, "claims").join(ent("subject_id", "a"), "subject_id")
+    eve = view(spark, d, "graph_events").join(ent("entity_id", "a"), "entity_id", "left")
+    none = F.lit(None).cast("string")
+    return shape(rel, "relation", ["a", "relation_type", "b"], none).union(shape(cla, "claim", ["a", "predicate", "object"], none)).union(shape(eve, "event", ["event_type", "occurred_at", "a"], F.col("occurred_at")))
+
+
+_models: dict[tuple[str, str], RM.ReadModel] = {}
+
+
+def read_model(spark: SparkSession, d: str) -> RM.ReadModel:
+    """The stored read model of a folder's tables, which never change; written on first use in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _models:
+        _models[key] = build_read_model(spark, d)
+    return _models[key]
+
+
+def build_read_model(spark: SparkSession, d: str) -> RM.ReadModel:
+    return RM.build(labelled(spark, d, None), fact_texts(spark, d), view(spark, d, "fact_evidence"), scratch(spark, "readmodel"))
+
+
 # --- scalars -------------------------------------------------------------------------------------------
 
 
@@ -105,19 +136,14 @@ def status_filter(spark, d):
 
 @query("select entity_id, label from entities where entity_id not in (select entity_id from evidence_entities) and entity_id not in (select src_id from relations) and entity_id not in (select dst_id from relations) and entity_id not in (select subject_id from claims where status = 'accepted') and entity_id not in (select entity_id from graph_events)", "entities", "evidence_entities", "relations", "claims", "graph_events")
 def orphan_entities(spark, d):
-    refs = None
-    for name, c in (("evidence_entities", "entity_id"), ("relations", "src_id"), ("relations", "dst_id"), ("claims", "subject_id"), ("graph_events", "entity_id")):
-        x = view(spark, d, name)
-        x = (x.where("status = 'accepted'") if name == "claims" else x).select(F.col(c).alias("entity_id"))
-        refs = x if refs is None else refs.union(x)
-    return view(spark, d, "entities").join(refs.distinct(), "entity_id", "left_anti").select("entity_id", "label")
+    accepted = lambda n: view(spark, d, n).where("status = 'accepted'") if n == "claims" else view(spark, d, n)
+    return store.orphans(accepted).select("entity_id", "label")
 
 
 @query("select kind, count(*)::bigint as missing, min(fact_id) as first from facts join fact_evidence using (fact_id) left join evidence using (evidence_id) where evidence.evidence_id is null or evidence.source_scope = 'src3' group by kind", "facts", "fact_evidence", "evidence")
 def evidence_fk_violations(spark, d):
     """References to evidence that doesn't exist or lies in another scope than may be referred to."""
-    ok = view(spark, d, "evidence").where("source_scope <> 'src3'").select("evidence_id")
-    fe = view(spark, d, "fact_evidence").join(ok, "evidence_id", "left_anti")
+    fe = store.missing_evidence(view(spark, d, "fact_evidence"), view(spark, d, "evidence").where("source_scope <> 'src3'"))
     return view(spark, d, "facts").join(fe, "fact_id").groupBy("kind").agg(F.count("*").alias("missing"), F.min("fact_id").alias("first"))
 
 
@@ -150,9 +176,11 @@ def graph_inspect(spark, d):
 # --- retrievers ----------------------------------------------------------------------------------------
 
 
-@query(f"select evidence_id, round(score, 6) as score from ({S.bm25('evidence', 'evidence_id', 'content', TEXT_QUERY)}) x order by x.score desc, evidence_id limit 40", "evidence")
+@query(f"with {EVL} select evidence_id, round(score, 6) as score from ({S.bm25('evl', 'evidence_id', 'content', TEXT_QUERY)}) x order by round(x.score, 9) desc, evidence_id limit 40", *EV)
 def bm25_topk(spark, d):
-    return R.top(R.bm25(view(spark, d, "evidence"), TEXT_QUERY), 40).select("evidence_id", r6("score").alias("score"))
+    m = read_model(spark, d)
+    hits = m.bm25(m.hits(TEXT_QUERY, V)).select("evidence_id", F.round("score", 9).alias("score"))
+    return R.top(hits, 40).select("evidence_id", r6("score").alias("score"))
 
 
 @query(f"with ev as (select * from evidence where source_scope = 'src3' and created <= {V} and status in ('accepted', 'proposed')) select evidence_id, round(score, 6) as score from ({S.bm25('ev', 'evidence_id', 'content', 'the license of')}) x order by x.score desc, evidence_id limit 20", "evidence")
@@ -191,7 +219,8 @@ def fallback_fuzzy_labels(spark, d):
 
 @query(f"with {EVL} select grp as evidence_id, round(score, 6) as score from (select coalesce(parent_id, evidence_id) as grp, {S.overlap(MIXED_QUERY)} as score from evl) x where score > 0 order by score desc, grp limit 40", *EV)
 def graph_evidence_topk(spark, d):
-    return R.top(R.graph_evidence(labelled(spark, d), MIXED_QUERY), 40).select("evidence_id", r6("score").alias("score"))
+    m = read_model(spark, d)
+    return R.top(m.graph_evidence(m.hits(MIXED_QUERY, V)).select(F.col("key").alias("evidence_id"), "score"), 40)
 
 
 _SEM = T.driver_terms(MIXED_QUERY)
@@ -199,7 +228,8 @@ _SEM = T.driver_terms(MIXED_QUERY)
 
 @query(f"with {EVL}, s as (select evidence_id, {S.signature()} as sig from evl), o as (select evidence_id, len(list_intersect(sig, {S.lit(_SEM)})) as c, len(sig) as n from s) select evidence_id, round(c / {len(_SEM)} + c / (n + {len(_SEM)} - c), 6) as score from o where c > 0 order by c / {len(_SEM)} + c / (n + {len(_SEM)} - c) desc, evidence_id limit 40", *EV)
 def semantic_overlap_topk(spark, d):
-    return R.top(R.semantic(labelled(spark, d), MIXED_QUERY), 40).select("evidence_id", r6("score").alias("score"))
+    m = read_model(spark, d)
+    return R.top(m.semantic(m.hits(MIXED_QUERY, V)).drop("key"), 40).select("evidence_id", r6("score").alias("score"))
 
 
 _QV = T.driver_vector(_SEM)
@@ -208,38 +238,24 @@ _COS = "list_sum([a[1] * a[2] for a in list_zip(v, [" + ", ".join(map(repr, _QV)
 
 @query(f"with {EVL}, s as (select evidence_id, {S.overlap(MIXED_QUERY)} as o, {S.signature()} as sig from evl), c as (select evidence_id, o, {_COS.replace('(v,', '(v,')} as c from (select evidence_id, o, {S.raw_vector('sig')} as v from s where o > 0) z) select evidence_id, round(c + 0.05 * least(1, o / {len(_SEM)}), 6) as score from c where c > 1e-12 order by 2 desc, evidence_id limit 40", *EV)
 def vector_cosine_topk(spark, d):
-    hits = R.vector(labelled(spark, d), MIXED_QUERY).withColumn("score", r6("score"))
-    return R.top(hits, 40)
+    m = read_model(spark, d)
+    return R.top(m.vector(m.hits(MIXED_QUERY, V)).select("evidence_id", r6("score").alias("score")), 40)
 
 
 @query("""with q as (select vec_id as q, embedding as a from embeddings where vec_id % 50 = 0), p as (select q, vec_id, label, list_cosine_similarity(a::double[], embedding::double[]) as s from q, embeddings where vec_id <> q),
   r as (select *, row_number() over (partition by q order by round(s, 9) desc, vec_id) as rank from p) select q, vec_id, rank::int as rank, round(s, 6) as score from r where rank <= 5""")
 def embedding_knn(spark, d):
-    """Five nearest by cosine of every fiftieth vector, against all vectors. Queries are a stated set, checked to be small before they are sent to the scan."""
+    """Five nearest by cosine of every fiftieth vector, against all vectors.
+
+    Queries are a stated set, in blocks of 200 vectors: each row of a partition meets one block after the
+    other, and the partition's five best go on, at every size in the same way."""
     e = view(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    e = e.select("vec_id", "v", norm(F.col("v")).alias("n"))
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"), F.col("n").alias("qn"))
-    dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    s = e.join(F.broadcast(q) if q.count() <= 10_000 else q, F.col("vec_id") != F.col("q")).select("q", "vec_id", (dot / (F.col("qn") * F.col("n"))).alias("s"))
-    # the five best of each partition are enough for the five best of all, so no query's pairs meet in one task
-    local = s.withColumn("part", F.spark_partition_id())
-    w = lambda *keys: Window.partitionBy(*keys).orderBy(F.desc(F.round("s", 9)), "vec_id")
-    few = local.withColumn("r", F.row_number().over(w("q", "part"))).where("r <= 5")
-    return few.withColumn("rank", F.row_number().over(w("q"))).where("rank <= 5").select("q", "vec_id", F.col("rank").cast("int").alias("rank"), r6("s").alias("score"))
+    return R.nearest(e, e.where("vec_id % 50 = 0"), 5).select("q", "vec_id", F.col("rank").cast("int").alias("rank"), r6("s").alias("score"))
 
 
 # --- facts as hits -------------------------------------------------------------------------------------
 
 
-def _supported(spark, d, facts: DataFrame) -> DataFrame:
-    """(fact_id, support): contents of a fact's visible evidence, in its order, with the scope of the first."""
-    ev = view(spark, d, "evidence").where(R.retrievable(V)).select("evidence_id", "content", "source_scope")
-    x = facts.select("fact_id").join(view(spark, d, "fact_evidence"), "fact_id").join(ev, "evidence_id")
-    s = F.array_sort(F.collect_list(F.struct("pos", "content")))
-    return x.groupBy("fact_id").agg(F.array_join(F.transform(s, lambda z: F.coalesce(z["content"], F.lit(""))), "\n").alias("support"))
-
-
 _SUPPORT = f"sup as (select fact_id, string_agg(coalesce(content, ''), chr(10) order by pos) as support from fact_evidence join evidence using (evidence_id) where evidence.created <= {V} and evidence.status in ('accepted', 'proposed') group by fact_id)"
 
 
@@ -253,8 +269,14 @@ def _score_words(words: list[str], text):
 
 
 def _paths(spark, d, facts: DataFrame, texts: list, words: list[str]) -> DataFrame:
-    x = facts.join(_supported(spark, d, facts), "fact_id").select("fact_id", F.concat_ws(" ", *texts, "support").alias("t"))
-    return x.select("fact_id", _score_words(words, F.col("t")).alias("score")).where("score > 0")
+    """(fact_id, score): how many words stand in a fact's text or in its visible evidence.
+
+    Each evidence is searched once; what meets the facts is a mask of words, not texts."""
+    mask = lambda c: sum((F.when(F.lower(c).contains(w), 1 << i).otherwise(0) for i, w in enumerate(words)), F.lit(0))
+    ev = view(spark, d, "evidence").where(R.retrievable(V)).select("evidence_id", F.coalesce(mask(F.col("content")), F.lit(0)).alias("mask"))
+    links = view(spark, d, "fact_evidence").select("fact_id", "evidence_id").join(ev, "evidence_id").groupBy("fact_id").agg(F.bit_or("mask").alias("mask"))
+    x = facts.select("fact_id", mask(F.concat_ws(" ", *texts)).alias("own")).join(links, "fact_id")
+    return x.select("fact_id", F.bit_count(F.col("own").bitwiseOR(F.col("mask"))).cast("double").alias("score")).where("score > 0")
 
 
 def _ent(spark, d, key: str, label: str) -> DataFrame:
@@ -307,60 +329,61 @@ def community_summary(spark, d):
 # --- fusion, rerank, packs -----------------------------------------------------------------------------
 
 LIMIT = 10
+HYBRID_QUERY = "license overview NATION_3 when 1995"
 _N = R.candidate_limit(LIMIT)
-_B = S.bm25("evr", "evidence_id", "content", MIXED_QUERY)
-_LISTS = f"""{EVL}, evr as (select * from evl),
-  b as (select evidence_id as key, row_number() over (order by score desc, evidence_id) as rank, 'bm25' as source from (select evidence_id, round(score, 9) as score from ({_B}) y order by score desc, evidence_id limit {4 * _N}) x),
-  g as (select evidence_id as key, row_number() over (order by score desc, evidence_id) as rank, 'graph_evidence' as source from (select * from (select coalesce(parent_id, evidence_id) as evidence_id, {S.overlap(MIXED_QUERY)} as score from evl) y where score > 0 order by score desc, evidence_id limit {4 * _N}) x),
-  sig as (select evidence_id, {S.signature()} as sig from evl), so as (select evidence_id, len(list_intersect(sig, {S.lit(_SEM)})) as c, len(sig) as n from sig),
-  s as (select evidence_id as key, row_number() over (order by score desc, evidence_id) as rank, 'semantic' as source from (select evidence_id, round(c / {len(_SEM)} + c / (n + {len(_SEM)} - c), 9) as score from so where c > 0 order by score desc, evidence_id limit {min(8 * _N, 512)}) x),
-  fused as (select key, sum(1.0::double / (60 + rank)) as rrf, list_sort(list(distinct source)) as sources from (select * from b union all select * from g union all select * from s) u group by key order by round(rrf, 12) desc, key limit {_N})"""
+_LISTS = f"{EVL}, {S.hybrid(HYBRID_QUERY, V, _N, ['1995'])}"
+_Q1 = T.driver_terms(HYBRID_QUERY, 1)
+_COVER = lambda c: f"len(list_intersect({S.terms(c, 1)}, {S.lit(_Q1)})) / {len(_Q1)}"
+_RERANK = f"""with {_LISTS}, rr as (select *, rrf + 0.40 * {_COVER('content')} + 0.25 * {_COVER("array_to_string(labels, ' ')")} + 0.20 * {_COVER("array_to_string(facts, ' ')")} + 0.05 * {_COVER('source_path')}
+    + 0.05 * (len(sources) - 1) + case when len(facts) > 0 then 0.08 else 0 end as score from h)"""
+_RV = (*EV, "relations", "claims", "graph_events", "facts", "fact_evidence")
 
 
-def _fused(spark, d) -> tuple[DataFrame, DataFrame]:
-    ev = labelled(spark, d)
-    r9 = lambda h: h.withColumn("score", F.round("score", 9))
-    lists = [
-        R.ranked(R.top(r9(R.bm25(ev, MIXED_QUERY)), 4 * _N), "bm25"),
-        R.ranked(R.top(R.graph_evidence(ev, MIXED_QUERY), 4 * _N), "graph_evidence"),
-        R.ranked(R.top(r9(R.semantic(ev, MIXED_QUERY)), min(8 * _N, 512)), "semantic"),
-    ]
-    return ev, R.fuse(lists).orderBy(F.desc(F.round("rrf", 12)), "key").limit(_N)
+def _hybrid(spark, d) -> tuple[DataFrame, DataFrame]:
+    return RM.retrieve(read_model(spark, d), HYBRID_QUERY, LIMIT, V)
 
 
-@query(f"with {_LISTS} select key, round(rrf, 6) as rrf, array_to_string(sources, ' ') as sources from fused", *EV)
+@query(f"with {_LISTS} select key, round(rrf, 6) as rrf, array_to_string(sources, ' ') as sources from fused", *_RV)
 def rrf_fusion(spark, d):
-    return _fused(spark, d)[1].select("key", r6("rrf").alias("rrf"), F.array_join("sources", " ").alias("sources"))
+    """All seven lists: words, evidence, semantic, vector, paths, time and communities."""
+    return _hybrid(spark, d)[0].select("key", r6("rrf").alias("rrf"), F.array_join("sources", " ").alias("sources"))
 
 
-def _reranked(spark, d) -> DataFrame:
-    ev, fused = _fused(spark, d)
-    # the candidate list is bounded (at most 64 rows), the evidence is not: only the list is broadcast
-    hits = ev.withColumn("key", F.coalesce("parent_id", "evidence_id")).join(F.broadcast(fused), "key")
-    first = hits.groupBy("key", "rrf", "sources").agg(F.min_by(F.struct("content", "labels", "source_path"), "evidence_id").alias("h"))
-    facts = view(spark, d, "relations").where(R.visible_at(V)).select("fact_id", "relation_type").join(view(spark, d, "fact_evidence").where("pos = 0"), "fact_id")
-    linked = facts.groupBy(F.col("evidence_id").alias("key")).agg(F.array_sort(F.collect_set("relation_type")).alias("facts"))
-    x = first.join(linked, "key", "left").select("key", "rrf", "sources", "h.*", F.coalesce("facts", F.array().cast("array<string>")).alias("facts"), F.lit(False).alias("has_span"))
-    return R.rerank(x, MIXED_QUERY)
+@query(f"with {EVL}, {S.hybrid(HYBRID_QUERY, V, _N, ['1995'], 'bgptu')} select key, round(rrf, 6) as rrf, array_to_string(sources, ' ') as sources from fused", *_RV)
+def graph_only_fusion(spark, d):
+    """Without the lists that are switched off: what a plan that allows no derived sources gets."""
+    x = RM.retrieve(read_model(spark, d), HYBRID_QUERY, LIMIT, V, without={"semantic", "vector"})[0]
+    return x.select("key", r6("rrf").alias("rrf"), F.array_join("sources", " ").alias("sources"))
+
 
+@query(f"""with {EVL}, {S.hybrid(HYBRID_QUERY, V, _N, ['1995'])} select key, fact_id, round(score, 6) as score from fs where score > 0 and kind = 'relation'""", *_RV)
+def relation_paths_by_mask(spark, d):
+    """Facts scored by the words of their own texts and of their evidence, from masks of small hits."""
+    m = read_model(spark, d)
+    x = m.graph_path(m.hits(HYBRID_QUERY, V), V).join(m.facts(V).where("kind = 'relation'").select("fact_id"), "fact_id", "left_semi")
+    return x.select("key", "fact_id", r6("score").alias("score"))
 
-_Q1 = T.driver_terms(MIXED_QUERY, 1)
-_RERANK = f"""with {_LISTS}, f1 as (select evidence_id as key, list_sort(list(distinct relation_type)) as facts from relations join fact_evidence using (fact_id) where pos = 0 and {VISIBLE} group by 1),
-  h as (select fused.*, content, labels, source_path, coalesce(facts, []) as facts from fused join (select coalesce(parent_id, evidence_id) as key, arg_min(content, evidence_id) as content, arg_min(labels, evidence_id) as labels, arg_min(source_path, evidence_id) as source_path from evl group by 1) e using (key) left join f1 using (key)),
-  rr as (select *, rrf + 0.40 * len(list_intersect({S.terms('content', 1)}, {S.lit(_Q1)})) / {len(_Q1)} + 0.25 * len(list_intersect({S.terms("array_to_string(labels, ' ')", 1)}, {S.lit(_Q1)})) / {len(_Q1)}
-    + 0.20 * len(list_intersect({S.terms("array_to_string(facts, ' ')", 1)}, {S.lit(_Q1)})) / {len(_Q1)} + 0.05 * len(list_intersect({S.terms('source_path', 1)}, {S.lit(_Q1)})) / {len(_Q1)} + 0.05 * (len(sources) - 1) + case when len(facts) > 0 then 0.08 else 0 end as score from h)"""
-_RV = (*EV, "relations", "fact_evidence")
+
+@query("select 'ev:' || substr(sha256(length(source)::varchar || ':' || source || length(lang)::varchar || ':' || lang || length(text)::varchar || ':' || text), 1, 16) as evidence_id, 'entity:' || substr(sha256(length(trim(lang))::varchar || ':' || trim(lang)), 1, 16) as entity_id from documents where trim(text) <> ''")
+def ingest_mapping(spark, d):
+    """What an ingest request becomes: stable ids of evidence and entities, the same for the same row again."""
+    rows = view(spark, d, "documents").where("trim(text) <> ''").select(F.col("source").alias("source_scope"), F.col("lang").alias("source_path"), F.col("text").alias("content"), F.array(F.concat(F.lit(" "), "lang")).alias("entity_labels"))
+    return store.mutation_batch(rows)["evidence_entities"]
+
+
+def _reranked(spark, d) -> DataFrame:
+    return _hybrid(spark, d)[1]
 
 
-@query(f"{_RERANK} select key, round(score, 6) as score, array_to_string(sources, ' ') as sources, array_to_string(labels, ' ') as labels, array_to_string(facts, ' ') as facts from rr", *_RV)
+@query(f"{_RERANK} select key, round(score, 6) as score, array_to_string(sources, ' ') as sources, array_to_string(labels, ' ') as labels, array_to_string(facts, '; ') as facts from rr", *_RV)
 def rerank_score(spark, d):
-    return _reranked(spark, d).select("key", r6("score").alias("score"), *[F.array_join(c, " ").alias(c) for c in ("sources", "labels", "facts")])
+    return _reranked(spark, d).select("key", r6("score").alias("score"), F.array_join("sources", " ").alias("sources"), F.array_join("labels", " ").alias("labels"), F.array_join("facts", "; ").alias("facts"))
 
 
 @query(f"{_RERANK} select key, round(score, 6) as score, array_to_string(sources, ' ') as sources, array_to_string(labels, ' ') as labels, source_path from rr order by round(rr.score, 9) desc, key limit {LIMIT}", *_RV)
 def hybrid_retrieval(spark, d):
-    """The flagship: retrievers, fusion by reciprocal rank, deterministic rerank, the user's limit."""
-    R.check_plan(MIXED_QUERY, LIMIT)
+    """The flagship: seven retrievers from the stored read model, fusion by reciprocal rank, deterministic rerank, the user's limit."""
+    R.check_plan(HYBRID_QUERY, LIMIT)
     x = _reranked(spark, d).orderBy(F.desc(F.round("score", 9)), "key").limit(LIMIT)
     return x.select("key", r6("score").alias("score"), F.array_join("sources", " ").alias("sources"), F.array_join("labels", " ").alias("labels"), "source_path")
 

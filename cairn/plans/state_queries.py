@@ -80,15 +80,12 @@ def task_state_fold(spark, d):
 
 @query("select proposal_id, arg_min(state, seq) filter (state <> 'proposed') as decision, max(seq) as last_seq, count(*) filter (state <> 'proposed')::bigint as decisions from proposals group by proposal_id", "proposals")
 def proposal_latest_state(spark, d):
-    """Only a proposed one can be decided: the first decision stands, later ones are conflicts."""
-    p = view(spark, d, "proposals")
-    done = F.when(F.col("state") != "proposed", F.struct("seq", "state"))
-    return p.groupBy("proposal_id").agg(F.min(done).alias("m"), F.max("seq").alias("last_seq"), F.count_if(F.col("state") != "proposed").alias("decisions")).select("proposal_id", F.col("m.state").alias("decision"), "last_seq", "decisions")
+    return St.decisions(view(spark, d, "proposals")).withColumnRenamed("last", "last_seq")
 
 
 @query("select event_id, user_id, value from events where event_type = 'error' order by event_id desc limit 100")
 def audit_topk(spark, d):
-    return view(spark, d, "events").where("event_type = 'error'").orderBy(F.desc("event_id")).limit(100).select("event_id", "user_id", "value")
+    return St.audit(view(spark, d, "events").where("event_type = 'error'"), "event_id", 100).select("event_id", "user_id", "value")
 
 
 @query("select event_type, count(*)::bigint as n, sum(json_extract(props, '$.k')::bigint)::bigint as k from events group by 1")
@@ -117,8 +114,7 @@ def streamed_activity(spark, d):
 
 @query("select graph_version // 1000 as page, count(*)::bigint as n, count(distinct entity)::bigint as entities from mutations where graph_version > 200 group by 1", "mutations")
 def mutation_replay(spark, d):
-    m = view(spark, d, "mutations").where("graph_version > 200")
-    return m.groupBy(F.expr("graph_version div 1000").alias("page")).agg(F.count("*").alias("n"), F.count_distinct("entity").alias("entities"))
+    return St.replay(view(spark, d, "mutations"), 200, 1000)
 
 
 @query("select user_id as id, event_type as kind, max(event_id) as version from events where not (event_id % 4 = 0 and event_type = 'view') group by all")
@@ -167,11 +163,16 @@ def sequence_quality(spark, d):
     return c.groupBy("case_id").agg(F.count_if("ordered").alias("ordered_pairs"), F.count("ordered").alias("pairs"))
 
 
-@query("select date_trunc('hour', ts) as hour, count(*)::bigint as received, greatest(0, count(*) - 12)::bigint as dropped from events group by 1")
+@query("select date_trunc('hour', ts) as period, count(*)::bigint as received, least(12, count(*))::bigint as admitted, greatest(0, count(*) - 12)::bigint as dropped from events group by 1")
 def channel_overflow(spark, d):
-    """A bounded channel counts what it can't take, it doesn't block: capacity 12 an hour."""
-    x = view(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("received"))
-    return x.withColumn("dropped", F.greatest(F.lit(0), F.col("received") - 12))
+    return St.admitted(view(spark, d, "events"), F.date_trunc("hour", "ts").cast("timestamp_ntz"), 12)
+
+
+@query("select event_id, class, case when r <= case class when 'view' then 40 when 'click' then 25 else 60 end then 'admitted' else 'rejected' end as admission from (select *, row_number() over (partition by class order by event_id) as r from (select event_id, case when event_type in ('view', 'click') then event_type else 'other' end as class from events) a) b")
+def qos_admission(spark, d):
+    """Each class of requests has room for so many; the others share theirs."""
+    x = view(spark, d, "events").select("event_id", F.col("event_type").alias("kind"))
+    return St.admit(x, {"view": 40, "click": 25, "other": 60}, order="event_id").select("event_id", "class", "admission")
 
 
 @query("select kind, state, count(*)::bigint as depth, min(created_ms)::bigint as oldest from (select event_type as kind, state, created_ms from tasks join events on event_id = task_id) x where state in ('queued', 'running', 'retrying') group by all", "tasks")
@@ -181,10 +182,8 @@ def worker_queue_depth(spark, d):
     return t.groupBy("kind", "state").agg(F.count("*").alias("depth"), F.min("created_ms").alias("oldest"))
 
 
-@query("select kind, task_id from (select user_id % 4 as kind, task_id, row_number() over (partition by user_id % 4 order by created_ms, task_id) as r from tasks join events on event_id = task_id where attempts < 3 and (state in ('queued', 'retrying') or (state = 'running' and lease_until_ms < 4000))) x where r <= 2", "tasks")
+@query(f"with {_RECOVERED} select kind, task_id from (select user_id % 4 as kind, task_id, row_number() over (partition by user_id % 4 order by created_ms, task_id) as n from r join events on event_id = task_id where (state = 'queued' or (state = 'retrying' and next_retry_ms <= {NOW})) and attempts < 3) x where n <= 2", "tasks")
 def worker_claims(spark, d):
     """The two oldest claimable tasks of each kind of worker; expired leases can be claimed."""
     k = view(spark, d, "events").select(F.col("event_id").alias("task_id"), (F.col("user_id") % 4).alias("kind"))
-    ok = (F.col("attempts") < 3) & (F.col("state").isin("queued", "retrying") | ((F.col("state") == "running") & (F.col("lease_until_ms") < 4000)))
-    w = Window.partitionBy("kind").orderBy("created_ms", "task_id")
-    return view(spark, d, "tasks").where(ok).join(k, "task_id").withColumn("r", F.row_number().over(w)).where("r <= 2").select("kind", "task_id")
+    return St.claim_each(view(spark, d, "tasks").join(k, "task_id"), NOW, "kind", 2).select("kind", "task_id")

@@ -25,15 +25,16 @@ VIEWS: dict[str, str] = {
       union all select concat('supplier:', cast(s_suppkey as varchar(20))), s_name, cast(1 + s_suppkey % 8 as bigint) from supplier
       union all select concat('part:', cast(p_partkey as varchar(20))), p_name, cast(1 + p_partkey % 8 as bigint) from part
       union all select concat('customer:', cast(c_custkey as varchar(20))), c_name, cast(1 + c_custkey % 8 as bigint) from customer""",
-    "relations": f"""select concat('rel:n', cast(n_nationkey as varchar(20))) as fact_id, concat('nation:', cast(n_nationkey as varchar(20))) as src_id, 'part_of' as relation_type, concat('region:', cast(n_regionkey as varchar(20))) as dst_id, cast(n_nationkey as bigint) % 200 as ev, {_v("n_nationkey")} from nation
-      union all select concat('rel:s', cast(s_suppkey as varchar(20))), concat('supplier:', cast(s_suppkey as varchar(20))), 'located_in', concat('nation:', cast(s_nationkey as varchar(20))), s_suppkey % 200, {_v("s_suppkey")} from supplier
-      union all select concat('rel:c', cast(c_custkey as varchar(20))), concat('customer:', cast(c_custkey as varchar(20))), 'located_in', concat('nation:', cast(c_nationkey as varchar(20))), c_custkey % 200, {_v("c_custkey")} from customer""",
-    "claims": f"select concat('claim:', cast(p_partkey as varchar(20))) as fact_id, concat('part:', cast(p_partkey as varchar(20))) as subject_id, 'has_brand' as predicate, p_brand as object, p_partkey % 200 as ev, {_v('p_partkey')} from part",
-    "graph_events": f"select concat('event:', cast(o_orderkey as varchar(20))) as fact_id, concat('order_', lower(o_orderstatus)) as event_type, substr(cast(o_orderdate as varchar(30)), 1, 10) as occurred_at, concat('customer:', cast(o_custkey as varchar(20))) as entity_id, o_orderkey % 200 as ev, {_v('o_orderkey')} from orders",
+    "relations": f"""select concat('rel:n', cast(n_nationkey as varchar(20))) as fact_id, concat('nation:', cast(n_nationkey as varchar(20))) as src_id, 'part_of' as relation_type, concat('region:', cast(n_regionkey as varchar(20))) as dst_id, cast(n_nationkey as bigint) as ev, {_v("n_nationkey")} from nation
+      union all select concat('rel:s', cast(s_suppkey as varchar(20))), concat('supplier:', cast(s_suppkey as varchar(20))), 'located_in', concat('nation:', cast(s_nationkey as varchar(20))), cast(s_suppkey as bigint), {_v("s_suppkey")} from supplier
+      union all select concat('rel:c', cast(c_custkey as varchar(20))), concat('customer:', cast(c_custkey as varchar(20))), 'located_in', concat('nation:', cast(c_nationkey as varchar(20))), cast(c_custkey as bigint), {_v("c_custkey")} from customer""",
+    "claims": f"select concat('claim:', cast(p_partkey as varchar(20))) as fact_id, concat('part:', cast(p_partkey as varchar(20))) as subject_id, 'has_brand' as predicate, p_brand as object, cast(p_partkey as bigint) as ev, {_v('p_partkey')} from part",
+    "graph_events": f"select concat('event:', cast(o_orderkey as varchar(20))) as fact_id, concat('order_', lower(o_orderstatus)) as event_type, substr(cast(o_orderdate as varchar(30)), 1, 10) as occurred_at, concat('customer:', cast(o_custkey as varchar(20))) as entity_id, cast(o_orderkey as bigint) as ev, {_v('o_orderkey')} from orders",
     "facts": """select fact_id, 'relation' as kind, ev, created, valid_from, valid_until, status from relations
       union all select fact_id, 'claim', ev, created, valid_from, valid_until, status from claims
       union all select fact_id, 'event', ev, created, valid_from, valid_until, status from graph_events""",
-    "fact_evidence": "select fact_id, pos, concat('doc:', cast((ev + pos * 7) % 200 as varchar(20))) as evidence_id from facts cross join (select 0 as pos union all select 1) two",
+    # facts are supported by documents of the whole table, two each
+    "fact_evidence": "select fact_id, pos, concat('doc:', cast((ev * 31 + pos * 7) % n_docs as varchar(20))) as evidence_id from facts cross join (select 0 as pos union all select 1) two cross join (select count(*) as n_docs from documents) n",
 }
 _USES = {"facts": ["relations", "claims", "graph_events"], "fact_evidence": ["facts"]}
 _TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -82,9 +83,9 @@ class GraphStore:
             # the folder's name is the version, so a repeated commit of the same version replaces itself
             df.dropDuplicates(KEYS[name]).write.mode("overwrite").parquet(f"{self.path}/{name}/v={v}")
         n = {k: (df.count() if k in rows else 0) for k, df in rows.items()}
-        scopes = sorted(r[0] for r in rows["evidence"].select("source_scope").distinct().limit(1000).collect() if r[0]) if "evidence" in rows else []
         facts = sum(n.get(k, 0) for k in ("relations", "claims", "graph_events"))
-        log = self.spark.createDataFrame([(v, n.get("evidence", 0), n.get("entities", 0), facts, scopes)], SCHEMAS["mutations"])
+        scopes = (rows["evidence"] if "evidence" in rows else self.spark.createDataFrame([], SCHEMAS["evidence"])).agg(F.array_sort(F.collect_set("source_scope")).alias("scopes"))
+        log = scopes.select(*[F.lit(x).cast("long").alias(c) for c, x in (("graph_version", v), ("n_evidence", n.get("evidence", 0)), ("n_entities", n.get("entities", 0)), ("n_facts", facts))], "scopes")
         log.coalesce(1).write.mode("append").parquet(f"{self.path}/mutations")
         return v
 
@@ -107,19 +108,31 @@ class GraphStore:
         if "fact_evidence" in rows:
             known = self.table("evidence").select("evidence_id")
             known = known.union(rows["evidence"].select("evidence_id")) if "evidence" in rows else known
-            none_of(rows["fact_evidence"].join(known, "evidence_id", "left_anti"), "evidence that doesn't exist")
+            none_of(missing_evidence(rows["fact_evidence"], known), "evidence that doesn't exist")
 
     def orphans(self) -> DataFrame:
         """Entities that nothing refers to."""
-        refs = [("evidence_entities", "entity_id"), ("relations", "src_id"), ("relations", "dst_id"), ("claims", "subject_id"), ("graph_events", "entity_id")]
-        used = reduce(DataFrame.union, [self.table(t).select(F.col(c).alias("entity_id")) for t, c in refs]).distinct()
-        return self.table("entities").join(used, "entity_id", "left_anti")
+        return orphans(self.table)
 
     def inspect(self) -> DataFrame:
         each = [self.table(t).agg(F.count("*").alias("n")).select(F.lit(t).alias("item"), "n") for t in KEYS]
         return reduce(DataFrame.union, each + [self._log().agg(F.count("*").alias("n")).select(F.lit("mutations").alias("item"), "n")])
 
 
+REFERENCES = [("evidence_entities", "entity_id"), ("relations", "src_id"), ("relations", "dst_id"), ("claims", "subject_id"), ("graph_events", "entity_id")]
+
+
+def orphans(table: Callable[[str], DataFrame]) -> DataFrame:
+    """Entities that no evidence and no fact refers to, whatever gives the tables by name."""
+    used = reduce(DataFrame.union, [table(t).select(F.col(c).alias("entity_id")) for t, c in REFERENCES]).distinct()
+    return table("entities").join(used, "entity_id", "left_anti")
+
+
+def missing_evidence(links: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Links of facts to evidence that doesn't exist."""
+    return links.join(evidence.select("evidence_id"), "evidence_id", "left_anti")
+
+
 def stable_id(prefix: str, *parts):
     """prefix:16 hex digits of the length-prefixed parts."""
     return F.concat(F.lit(prefix + ":"), F.substring(F.sha2(F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]), 256), 1, 16))
@@ -132,7 +145,7 @@ def mutation_batch(requests: DataFrame) -> dict[str, DataFrame]:
     has = set(requests.columns)
     path = F.col("source_path") if "source_path" in has else F.lit(None).cast("string")
     made = stable_id("ev", F.col("source_scope"), F.coalesce(path, F.lit("")), F.col("content"))
-    ev = requests.select(F.coalesce(F.col("evidence_id"), made).alias("evidence_id") if "evidence_id" in has else made.alias("evidence_id"), "source_scope", path.alias("source_path"), F.trim("content").alias("content"), F.transform(F.coalesce("entity_labels", F.array().cast("array<string>")), F.trim).alias("labels"))
+    ev = requests.select(F.coalesce(F.col("evidence_id"), made).alias("evidence_id") if "evidence_id" in has else made.alias("evidence_id"), "source_scope", path.alias("source_path"), F.trim("content").alias("content"), F.transform(F.coalesce("entity_labels", F.array().cast("array<string>")), lambda x: F.trim(x)).alias("labels"))
     bad = ev.where("content is null or content = '' or source_scope is null").limit(1).collect()
     if bad:
         raise StoreError("evidence needs a scope and content")
@@ -145,9 +158,10 @@ def mutation_batch(requests: DataFrame) -> dict[str, DataFrame]:
 IGNORED = r"(^|/)(\.git|node_modules|target|\.venv|__pycache__)/"
 
 
-def read_files(spark: SparkSession, root: str, scope: str = "files", max_bytes: int = 4 << 20) -> DataFrame:
-    """(scope, file_id, path, content, byte_len, blob_hash, mtime) of a folder's files up to max_bytes, but for ignored folders."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= max_bytes)
+def read_files(spark: SparkSession, root: str, scope: str = "files", max_bytes: int | None = None) -> DataFrame:
+    """(scope, file_id, path, content, byte_len, blob_hash, mtime) of a folder's files, but for ignored folders; of files up to ``max_bytes`` only where that is given."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    raw = raw if max_bytes is None else raw.where(F.col("length") <= max_bytes)
     base = root.removeprefix("file://").rstrip("/") + "/"
     path = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + base.replace("\\", "\\\\").replace(".", r"\."), "")
     text = F.decode("content", "UTF-8")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..sources.scratch import scratch
 
 IGNORED = ["node_modules", ".git", "target", "dist", "build", ".venv"]
 
@@ -19,12 +18,16 @@ def should_process(path, languages: list[str] | None = None):
     return out & lang.isin(languages) if languages else out
 
 
-def debounced(changes: DataFrame, ts: str = "ts", path: str = "path", quiet: str = "3 seconds", late: str = "10 seconds") -> DataFrame:
-    """Sets of changed paths: an event-time session closes after ``quiet``; events later than ``late`` are dropped by the watermark."""
+def debounced(changes: DataFrame, ts: str = "ts", path: str = "path", quiet: str = "3 seconds", late: str = "10 seconds", scope: str | None = None) -> DataFrame:
+    """Sets of changed paths: an event-time session closes after ``quiet``; events later than ``late`` are dropped by the watermark.
+
+    One session is over all paths of a ``scope``, if there is such a column (sessions of scopes are then
+    kept apart, each by its own task), else over all paths there are."""
     kept = changes.where(should_process(F.col(path))).withWatermark(ts, late)
-    # one session over all paths; a streamed session needs a key, and one that isn't a literal
-    kept = kept.withColumn("_all", F.substring(path, 1, 0))
-    return kept.groupBy("_all", F.session_window(ts, quiet).alias("w")).agg(F.collect_set(path).alias("paths")).select(F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "paths")
+    # a streamed session needs a key, and one that isn't a literal
+    kept = kept.withColumn("_scope", F.col(scope) if scope else F.substring(path, 1, 0))
+    named = [F.col("_scope").alias(scope)] if scope else []
+    return kept.groupBy("_scope", F.session_window(ts, quiet).alias("w")).agg(F.collect_set(path).alias("paths")).select(*named, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "paths")
 
 
 def new_contents(changes: DataFrame, key: str = "path", value: str = "hash", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -32,19 +35,25 @@ def new_contents(changes: DataFrame, key: str = "path", value: str = "hash", ts:
     return changes.withWatermark(ts, late).dropDuplicatesWithinWatermark([key, value])
 
 
-def run_available(spark: SparkSession, path: str) -> DataFrame:
+def run_available(spark: SparkSession, path: str, target: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Folds all files of an events folder by user, in micro-batches, and returns the final state.
 
-    The stream keeps only (count, kinds, first id) for each user. A checkpoint in the shared folder is
-    used where the session has one, so a restarted stream would go on where it was."""
+    The stream keeps only (count, kinds, first id) for each user. Each micro-batch writes the state as a
+    table of its own number, and offsets and state are checkpointed, both in the shared folder where no
+    places are given: a stream restarted with the same places goes on where it was."""
     schema = spark.read.parquet(path).schema
     source = path if not path.endswith(".parquet") else path + "*"
+    target, checkpoint = target or scratch(spark, "activity"), checkpoint or scratch(spark, "offsets")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).option("recursiveFileLookup", "true").parquet(source)
     folded = stream.where("event_type <> 'error'").groupBy("user_id").agg(F.count("*").alias("events"), F.size(F.collect_set("event_type")).cast("long").alias("kinds"), F.min("event_id").alias("first"))
-    name = "activity_" + uuid.uuid4().hex[:10]
-    q = folded.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    folded.writeStream.foreachBatch(apply).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    every = spark.read.schema(folded.schema.add("batch", "long")).parquet(target)
+    last = every.agg(F.max("batch")).first()[0]
+    return every.where(F.col("batch") == last).drop("batch")
 
 
 def refresh_into(stream: DataFrame, target: str, checkpoint: str, keys: list[str]):

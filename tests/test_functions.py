@@ -72,3 +72,26 @@ def test_paths(spark):
     assert b(P.module_contains(F.lit("a::bc::d"), F.lit("bc.d"))) and not b(P.module_contains(F.lit("a::bcd"), F.lit("bc")))
     assert "crate::x::y" in b(P.module_keys(F.lit("src/x/y.rs"))) and b(P.is_relative_module(F.lit("./x"))) and not b(P.is_relative_module(F.lit("x")))
     assert b(P.http_method(F.lit("get"))) == "GET" and b(P.http_method(F.lit("fetch"))) is None
+
+
+def test_innermost_spans_match_brute_force(spark):
+    """Spans that nest, overlap, repeat, are empty or very long, in files of up to a million lines."""
+    import random
+
+    from cairn.operators import code as C
+
+    r = random.Random(3)
+    spans = [(f"f{i % 3}", a, a + n, f"s{i}") for i in range(300) for a, n in [(r.choice([r.randint(1, 200), r.randint(1, 9000), r.randint(1, 900_000)]), r.choice([0, -1, 3, 64, 700, 50_000]))]]
+    lines = [(i, f"f{r.randint(0, 3)}", r.choice([r.randint(1, 260), r.randint(1, 9500), r.randint(1, 950_000)])) for i in range(500)]
+    s = spark.createDataFrame([(f, a, b, n, n) for f, a, b, n in spans], "file_id string, line_start long, line_end long, name string, symbol_id string")
+    x = spark.createDataFrame(lines, "ref_id long, file_id string, line long")
+    want = {}
+    for i, f, at in lines:
+        over = [(a, -b, n) for g, a, b, n in spans if g == f and a <= at <= b]
+        if over:
+            want[i] = max(over)[2]
+    assert want and {r.ref_id: r.symbol_id for r in C.enclosing(x, s, "ref_id").collect()} == want
+    c = s.withColumnRenamed("symbol_id", "chunk_id")
+    want = {i: min((b - a, n) for g, a, b, n in spans if g == f and a <= at <= b)[1] for i, f, at in lines if any(g == f and a <= at <= b for g, a, b, n in spans)}
+    assert {r.ref_id: r.chunk_id for r in C.innermost_chunks(x, c, "ref_id").collect()} == want
+    assert C.enclosing(x, s.limit(0), "ref_id").count() == 0
