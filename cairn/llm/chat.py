@@ -4,7 +4,8 @@ Messages may carry blocks, ``<tool_call>{"id", "name", "arguments", "after"}</to
 ``<tool_result>{"id", "content"}</tool_result>``. Calls and results are hash-joined by (conversation,
 identifier); only messages that have blocks take part in any join. Order is topological: a result
 comes after its call and a call after the calls that ``after`` names, wherever they stood; what has
-no such constraint keeps its turn. Depths come from repeated joins over the constraints alone, until
+no such constraint keeps its turn. A conversation of few constrained calls is ordered within its row;
+where there are more, depths come from repeated joins over the constraints alone, until
 none is open: chains halve each round, elsewhere a round settles a layer. Arguments are validated against the schemas of the known tools (required keys, types
 of properties, unknown keys). Every item is serialised as canonical JSON: sorted keys, no spaces.
 
@@ -148,30 +149,69 @@ def _in_cycles(edges: DataFrame) -> DataFrame:
     return edges
 
 
+SMALL = 62  # constrained calls of a conversation that are ordered within its row: a bit of a long for each
+
+
+def _ordered(nodes: Column, edges: Column) -> Column:
+    """(id, turn, depth, cyclic) of a small conversation's calls, from arrays of (id, turn) and (id, needs).
+
+    Needs are bit masks; their closure (Warshall) finds cycles, and as many rounds as there are calls the longest paths."""
+    power = F.array(*[F.lit(1 << i).cast("long") for i in range(SMALL)])
+    every = F.sequence(F.lit(0), F.size(nodes) - 1)
+    has = lambda mask, i: mask.bitwiseAND(F.get(power, i)) != 0
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    ids = F.transform(nodes, lambda x: x["id"])
+    masks = F.transform(ids, lambda i: F.aggregate(F.filter(edges, lambda e: e["id"] == i), F.lit(0).cast("long"), lambda m, e: m.bitwiseOR(F.get(power, F.array_position(ids, e["needs"]).cast("int") - 1))))
+    first = F.transform(nodes, lambda x: F.struct(x["turn"].alias("turn"), F.lit(0).cast("long").alias("depth")))
+
+    def paths(adj: Column, closed: Column) -> Column:
+        free = F.transform(adj, lambda m, i: F.when(has(F.get(closed, i), i), F.lit(0).cast("long")).otherwise(m))  # members of cycles keep their turns
+        step = lambda s: F.transform(free, lambda m, i: F.greatest(F.get(first, i), F.array_max(F.transform(F.filter(every, lambda j: has(m, j)), lambda j: F.struct(F.get(s, j)["turn"].alias("turn"), (F.get(s, j)["depth"] + 1).alias("depth"))))))
+        return let(F.aggregate(every, first, lambda s, _: step(s)), lambda s: F.transform(nodes, lambda x, i: F.struct(x["id"].alias("id"), F.get(s, i)["turn"].alias("turn"), F.get(s, i)["depth"].alias("depth"), has(F.get(closed, i), i).alias("cyclic"))))
+
+    closure = lambda adj: F.aggregate(every, adj, lambda c, k: F.transform(c, lambda m: F.when(has(m, k), m.bitwiseOR(F.get(c, k))).otherwise(m)))
+    return let(masks, lambda adj: let(closure(adj), lambda closed: paths(adj, closed)))
+
+
 def _depths(calls: DataFrame) -> DataFrame:
-    """(conv_id, id, turn, depth, cyclic) of calls: after every call that they name."""
+    """(conv_id, id, turn, depth, cyclic) of calls: after every call that they name.
+
+    Conversations of up to ``SMALL`` constrained calls are ordered in their rows, others by joins, whatever their size."""
     v = F.try_parse_json("body")
     after = F.from_json(F.to_json(F.try_variant_get(v, "$.after", "variant")), "array<string>")
     named = calls.select("conv_id", "id", F.explode(F.array_distinct(after)).alias("needs"))
     known = calls.select("conv_id", F.col("id").alias("needs"))
     edges = cut(named.join(known, ["conv_id", "needs"]).distinct().select("conv_id", "id", "needs"), "after")
-    state = calls.select("conv_id", "id", F.struct("turn", F.lit(0).cast("long").alias("depth")).alias("s"))
-    shown = lambda x, cyclic: x.select("conv_id", "id", "s.turn", "s.depth", cyclic.alias("cyclic"))
+    shown = lambda x, cyclic: x.select("conv_id", "id", "turn", F.lit(0).cast("long").alias("depth"), cyclic.alias("cyclic"))
     if edges.isEmpty():
-        return shown(state, F.lit(False))
+        return shown(calls, F.lit(False))
     own = edges.select("conv_id", "id").union(edges.select("conv_id", F.col("needs").alias("id"))).distinct()
-    few = cut(state.join(own, ["conv_id", "id"], "left_semi"), "depths")
-    done, waiting = _settle(few, edges)
-    rest = shown(state.join(own, ["conv_id", "id"], "left_anti"), F.lit(False))
+    few = cut(calls.select("conv_id", "id", "turn").join(own, ["conv_id", "id"], "left_semi"), "depths")
+    sizes = few.groupBy("conv_id").agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") <= SMALL).select("conv_id")
+    rows = few.join(small, "conv_id", "left_semi").groupBy("conv_id").agg(F.collect_list(F.struct("id", "turn")).alias("nodes"))
+    rows = rows.join(edges.join(small, "conv_id", "left_semi").groupBy("conv_id").agg(F.collect_list(F.struct("id", "needs")).alias("edges")), "conv_id")
+    done = cut(rows.select("conv_id", F.inline(_ordered(F.col("nodes"), F.col("edges")))), "depths")
+    rest = shown(calls.join(own, ["conv_id", "id"], "left_anti"), F.lit(False)).union(done)
+    large = cut(sizes.where(F.col("n") > SMALL).select("conv_id"), "large")
+    if large.isEmpty():
+        return rest
+    many = cut(edges.join(large, "conv_id", "left_semi"), "after")
+    return rest.union(_joined_depths(few.join(large, "conv_id", "left_semi"), many))
+
+
+def _joined_depths(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    state = cut(calls.select("conv_id", "id", F.struct("turn", F.lit(0).cast("long").alias("depth")).alias("s")), "depths")
+    shown = lambda x, cyclic: x.select("conv_id", "id", "s.turn", "s.depth", cyclic.alias("cyclic"))
+    done, waiting = _settle(state, edges)
     if waiting.isEmpty():
-        return shown(done, F.lit(False)).union(rest)
+        return shown(done, F.lit(False))
     waiting = cut(waiting, "depths")
     among = edges.join(waiting, ["conv_id", "id"], "left_semi").join(waiting.select("conv_id", F.col("id").alias("needs")), ["conv_id", "needs"], "left_semi")
     cycles = cut(_in_cycles(cut(among.select("conv_id", "id", "needs"), "after")).select("conv_id", "id").distinct(), "depths")
     # members of cycles keep their turns; what comes after a cycle is ordered after its members
-    done, _ = _settle(few, edges.join(cycles, ["conv_id", "id"], "left_anti"))
-    done = done.join(cycles.withColumn("in", F.lit(True)), ["conv_id", "id"], "left")
-    return shown(done, F.col("in").isNotNull()).union(rest)
+    done, _ = _settle(state, edges.join(cycles, ["conv_id", "id"], "left_anti"))
+    return shown(done.join(cycles.withColumn("in", F.lit(True)), ["conv_id", "id"], "left"), F.col("in").isNotNull())
 
 
 def format_chats(df: DataFrame, tools: dict[str, dict] | None = None) -> DataFrame:

@@ -96,12 +96,25 @@ def test_cycles_and_long_chains_beside_more_than_a_thousand_dependencies(spark):
     calls = [(1, f"c{i}", 5, [f"c{i - 1}"] if i else []) for i in range(1500)]
     calls += [(2, f"r{i}", i % 3, [f"r{(i + 1) % 37}"]) for i in range(37)] + [(2, "then", 2, ["r0", "r5"]), (2, "before", 0, [])]
     calls += [(3, "x", 0, ["y"]), (3, "y", 0, ["x"]), (4, "self", 0, ["self"])]
+    calls += [(5, f"m{i}", i % 5, [f"m{j}" for j in (i - 1, i // 2, i - 7) if 0 <= j < i]) for i in range(62)]
     got = placed(spark, calls)
     assert got == brute(calls)
     assert got[1, "c1499"] == (5, 1499, False) and got[3, "x"] == got[3, "y"] == got[4, "self"] == (0, 0, True)
     assert got[2, "then"] == (2, 1, False) and sum(c for *_, c in got.values()) == 40
 
 
+def test_rows_and_joins_order_alike(spark, monkeypatch):
+    """Random graphs, with cycles: ordered in rows, and, as if they were large, by joins."""
+    import random
+
+    r = random.Random(6)
+    calls = [(c, f"k{i}", r.randint(0, 4), [f"k{r.randint(0, n)}" for _ in range(r.randint(0, 2))]) for c in range(12) for n in [r.randint(1, 12)] for i in range(n)]
+    want = brute(calls)
+    assert any(x[2] for x in want.values()) and placed(spark, calls) == want
+    monkeypatch.setattr(chat, "SMALL", 3)
+    assert placed(spark, calls) == want
+
+
 def test_equal_identifiers_in_one_turn_are_told_apart(spark):
     """Other texts of one turn, repeated rows, and a repeated block in one text: one block is the first."""
     call = lambda x: CALL.format(json.dumps({"id": "a", "name": "fetch", "arguments": {"url": x}}))
