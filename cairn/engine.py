@@ -139,7 +139,8 @@ class CodeEngine:
             return self.impact(f.text.split(), []).limit(limit)
         if kind == "hybrid":
             # each layer gives enough rows that those which fall together on a line leave enough others
-            parts = [kinds[k](f, C.layer_limit(layer, limit)) for k, layer in (("symbol", "symbol"), ("references", "reference"), ("imports", "import"))] + [self._chunks(f, C.layer_limit("chunk", limit))]
+            most = lambda layer: C.layer_limit(layer, limit)
+            parts = [self._symbols(f, most("symbol"), kind), self._references(f, most("reference")), self._imports(f, most("import"), kind), self._chunks(f, most("chunk"), kind)]
             out = parts[0]
             for p in parts[1:]:
                 out = out.unionByName(p)
@@ -150,8 +151,8 @@ class CodeEngine:
     def _out(self, df: DataFrame, id_col: str, layer: str) -> DataFrame:
         return df.select(F.col(id_col).alias("id"), "path", "line", "score", F.lit(layer).alias("layer"))
 
-    def _symbols(self, f, limit):
-        return self._out(C.search_symbols(self.tables["symbols"], f, limit), "symbol_id", "symbol")
+    def _symbols(self, f, limit, kind="symbol"):
+        return self._out(C.search_symbols(self.tables["symbols"], f, limit, kind), "symbol_id", "symbol")
 
     def _definitions(self, f, limit):
         exact = self.tables["symbols"].where(F.lower("name") == f.text.strip().lower())
@@ -169,9 +170,8 @@ class CodeEngine:
     def _callees(self, f, limit):
         return self._calls("caller", f, limit)
 
-    def _imports(self, f, limit):
-        s = T.score_query(f.text, [F.col("module"), F.col("path")])
-        return self._out(C.hits(self.tables["imports"].select("import_id", "path", "line", s.alias("score")).where("score > 0"), "import_id", limit), "import_id", "import")
+    def _imports(self, f, limit, kind="imports"):
+        return self._out(C.search_imports(self.tables["imports"], f.text, limit, kind), "import_id", "import")
 
     def _sbom(self, f, limit):
         s = T.score_query(f.text, [F.col(c) for c in ("package_name", "ecosystem", "path", "requirement")])
@@ -179,12 +179,8 @@ class CodeEngine:
         x = self.tables["deps"].withColumn("b", s).where("b > 0").withColumn("score", F.col("b") + F.when(exact, 8.0).otherwise(0.0) + F.when(F.col("is_lockfile"), 0.25).otherwise(0.0))
         return self._out(C.hits(x.select("dep_id", "path", "line", "score"), "dep_id", limit), "dep_id", "sbom")
 
-    def _chunks(self, f, limit):
-        s = C.generated_score(T.score_query(f.text, [F.col("content"), F.col("path")]), F.col("is_generated"))
-        x = self.tables["chunks"].where(C.selected(f, F.col("path"), F.col("language_id"), F.col("is_generated")))
-        for w in f.text.lower().split():
-            x = x.where(F.lower("content").contains(w))
-        return self._out(C.hits(x.select("chunk_id", "path", F.col("line_start").alias("line"), s.alias("score")).where("score > 0"), "chunk_id", limit), "chunk_id", "chunk")
+    def _chunks(self, f, limit, kind="symbol"):
+        return self._out(C.search_chunks(self.tables["chunks"], f, limit, kind), "chunk_id", "chunk")
 
     def impact(self, changed: list[str], deleted: list[str]) -> DataFrame:
         spark = self.tables["files"].sparkSession

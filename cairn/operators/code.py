@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from . import scoring as Sc
 
 CALLABLE = ["function", "method", "macro", "constructor"]
 LAYERS = {"symbol": (40, 200, 800), "reference": (35, 200, 700), "call": (40, 250, 800), "caller": (100, 500, 1000), "import": (35, 200, 700), "sbom": (35, 200, 700), "chunk": (45, 300, 900)}
@@ -121,25 +122,42 @@ def innermost_chunks(lines: DataFrame, chunks: DataFrame, key: str) -> DataFrame
     return innermost(lines, chunks, key, best, F.min).select(key, "best.chunk_id")
 
 
-def search_symbols(symbols: DataFrame, f: Filters, limit: int) -> DataFrame:
+def search_symbols(symbols: DataFrame, f: Filters, limit: int, query_kind: str = "symbol") -> DataFrame:
     rows = symbols.where(selected(f, F.col("path"), F.col("language_id"), F.col("is_generated")))
     rows = rows.where(F.col("kind").isin(f.kinds)) if f.kinds else rows
     base = T.score_query(f.text, [F.col("name"), F.col("path"), F.col("kind")])
-    score = generated_score(base + T.exact_path(f.text, F.col("path")) + kind_bonus(F.col("kind")), F.col("is_generated"))
+    score = generated_score(base + T.exact_path(f.text, F.col("path")) + kind_bonus(F.col("kind")) + Sc.symbol_paths(F.col("path"), F.col("kind"), f.text, query_kind), F.col("is_generated"))
     return hits(rows.withColumn("base", base).where("base > 0").select("symbol_id", "path", F.col("line_start").alias("line"), score.alias("score")), "symbol_id", limit)
 
 
 def search_references(refs: DataFrame, text: str, limit: int) -> DataFrame:
-    """References whose name or path the text fits, 1.5 above the text's own score."""
+    """References whose name or path the text fits, 1.5 above the text's own score, and by what their paths are for."""
     x = refs.withColumn("b", T.score_query(text, [F.col("name"), F.col("path")])).where("b > 0")
-    return hits(x.select("ref_id", "path", "line", (F.col("b") + 1.5).alias("score")), "ref_id", limit)
+    return hits(x.select("ref_id", "path", "line", (F.col("b") + 1.5 + Sc.reference_paths(F.col("path"), text)).alias("score")), "ref_id", limit)
+
+
+def search_imports(imports: DataFrame, text: str, limit: int, query_kind: str = "imports") -> DataFrame:
+    """Imports whose module or path the text fits, by what their paths are for and how they are written."""
+    s = T.score_query(text, [F.col("module"), F.col("path")])
+    x = imports.withColumn("b", s).where("b > 0")
+    return hits(x.select("import_id", "path", "line", "module", (F.col("b") + Sc.import_shape(F.col("path"), F.col("module"), F.col("line"), text, query_kind)).alias("score")), "import_id", limit)
+
+
+def search_chunks(chunks: DataFrame, f: Filters, limit: int, query_kind: str = "symbol") -> DataFrame:
+    """Chunks with every term; in mixed searches those with terms near each other go up."""
+    x = chunks.where(selected(f, F.col("path"), F.col("language_id"), F.col("is_generated")))
+    for w in f.text.lower().split():
+        x = x.where(F.lower("content").contains(w))
+    x = x.withColumn("b", T.score_query(f.text, [F.col("content"), F.col("path")])).where("b > 0")
+    near = Sc.proximity(F.col("b"), F.col("content"), F.col("path"), f.text) if query_kind == "hybrid" else F.lit(0.0)
+    return hits(x.select("chunk_id", "path", F.col("line_start").alias("line"), generated_score(F.col("b") + near, F.col("is_generated")).alias("score")), "chunk_id", limit)
 
 
 def search_calls(calls: DataFrame, column: str, name: str, limit: int) -> DataFrame:
-    """Calls by callee or caller name: 4.0, and a quarter for each further site of the same caller and callee, three at most."""
+    """Calls by callee or caller name: 4.0, a quarter for each further site of the same caller and callee, three at most, and by what their paths are for."""
     x = calls.where(F.lower(column) == name.strip().lower())
     n = x.groupBy("caller_id", "callee").agg(F.count("*").alias("n"))
-    x = x.join(n, ["caller_id", "callee"]).withColumn("score", 4.0 + F.least(F.col("n") - 1, F.lit(3)) * 0.25)
+    x = x.join(n, ["caller_id", "callee"]).withColumn("score", 4.0 + F.least(F.col("n") - 1, F.lit(3)) * 0.25 + Sc.call_paths(F.col("path"), name, column == "callee"))
     return hits(x.select("call_id", "caller", "path", "line", "score"), "call_id", limit)
 
 

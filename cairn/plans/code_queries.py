@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import code as C
+from ..operators import scoring as Sc
 from ..sources import adapter
 from ..sources import store
 from ..sources.code_adapter import VIEWS
@@ -137,32 +138,41 @@ def call_site_counts(spark, d):
 
 # --- searches ------------------------------------------------------------------------------------------
 
+
+def _role(words) -> str:
+    return f"regexp_matches(lower(path), '{Sc.role_pattern(words)}')"
+
+
+_TESTED = f"case when {_role(Sc.TEST)} then -0.75 else 0 end"
+
 SYMBOL_QUERY = "kind:function,method lang:rust,python fn_7"
 
 
 @query(f"""with b as (select symbol_id, path, line_start as line, is_generated, kind, {score_sql('fn_7', ['name', 'path', 'kind'])} as base from code_symbols where language_id in ('rust', 'python') and kind in ('function', 'method')),
-  s as (select symbol_id, path, line, case when is_generated then 0.35 else 1 end * (base + case when lower(path) = 'fn_7' then 4 when regexp_extract(lower(path), '[^/]*$') = 'fn_7' then 2 else 0 end + 0.25) as score from b where base > 0)
+  s as (select symbol_id, path, line, case when is_generated then 0.35 else 1 end * (base + case when lower(path) = 'fn_7' then 4 when regexp_extract(lower(path), '[^/]*$') = 'fn_7' then 2 else 0 end + 0.25 + {_TESTED}) as score from b where base > 0)
   select symbol_id, path, line, round(score, 6)::double as score from s order by round(s.score, 9) desc, path, line, symbol_id limit 200""", "code_symbols")
 def symbol_search(spark, d):
     return C.search_symbols(view(spark, d, "code_symbols"), C.parse_query(SYMBOL_QUERY), 200).withColumn("score", r6("score"))
 
 
-@query(f"select ref_id, path, line, round(score, 6)::double as score from (select *, {score_sql('fn_131 brand7', ['name', 'path'])} + 1.5 as score from code_refs) x where x.score > 1.5 order by round(x.score, 9) desc, path, line, ref_id limit 200", "code_refs")
+@query(f"select ref_id, path, line, round(score, 6)::double as score from (select *, b + 1.5 + case when {_role(Sc.TEST)} then -1.25 else 0.2 end as score from (select *, {score_sql('fn_131 brand7', ['name', 'path'])} as b from code_refs) y where b > 0) x order by round(x.score, 9) desc, path, line, ref_id limit 200", "code_refs")
 def reference_search(spark, d):
     return C.search_references(view(spark, d, "code_refs"), "fn_131 brand7", C.layer_limit("reference", 2)).withColumn("score", r6("score"))
 
 
-_CALLS = "n as (select caller_id, callee, count(*) as n from code_calls where {where} group by all), s as (select call_id, caller, path, line, 4.0 + least(n - 1, 3) * 0.25 as score from code_calls join n using (caller_id, callee) where {where}) select call_id, caller, path, line, score::double as score from s order by score desc, path, line, call_id limit {limit}"
+_PLAIN = f"not {_role(Sc.TEST)} and not {_role(Sc.EXAMPLE)}"
+_NOT_ADAPTER = f" and not {_role(Sc.ADAPTER)} and not regexp_matches(lower(path), '(^|/)c(\\.[^.]*)?$')"
+_CALLS = "n as (select caller_id, callee, count(*) as n from code_calls where {where} group by all), s as (select call_id, caller, path, line, 4.0 + least(n - 1, 3) * 0.25 + case when {plain} then 0.2 else 0 end + {tested} + case when {example} then -0.6 else 0 end as score from code_calls join n using (caller_id, callee) where {where}) select call_id, caller, path, line, round(score, 6)::double as score from s order by round(s.score, 9) desc, path, line, call_id limit {limit}"
 
 
-@query("with " + _CALLS.format(where="lower(callee) = 'fn_131'", limit=500), "code_calls")
+@query("with " + _CALLS.format(where="lower(callee) = 'fn_131'", limit=500, plain=_PLAIN + _NOT_ADAPTER, tested=_TESTED, example=_role(Sc.EXAMPLE)), "code_calls")
 def callers(spark, d):
-    return C.search_calls(view(spark, d, "code_calls"), "callee", "fn_131", C.layer_limit("caller", 5))
+    return C.search_calls(view(spark, d, "code_calls"), "callee", "fn_131", C.layer_limit("caller", 5)).withColumn("score", r6("score"))
 
 
-@query("with " + _CALLS.format(where="lower(caller) = 'fn_262'", limit=250), "code_calls")
+@query("with " + _CALLS.format(where="lower(caller) = 'fn_262'", limit=250, plain=_PLAIN, tested=_TESTED, example=_role(Sc.EXAMPLE)), "code_calls")
 def callee_search(spark, d):
-    return C.search_calls(view(spark, d, "code_calls"), "caller", " FN_262", C.layer_limit("call", 5))
+    return C.search_calls(view(spark, d, "code_calls"), "caller", " FN_262", C.layer_limit("call", 5)).withColumn("score", r6("score"))
 
 
 @query("select callee, count(*)::bigint as calls, min(line)::bigint as first_line, (row_number() over (order by min(line), callee))::int as execution_order from code_calls where caller = 'fn_262' group by callee", "code_calls")
@@ -172,10 +182,15 @@ def callees(spark, d):
     return x.withColumn("execution_order", F.row_number().over(Window.orderBy("first_line", "callee")))  # one caller's callees
 
 
-@query(f"select import_id, path, line, module, round(score, 6) as score from (select *, {score_sql('mod_49 brand9', ['module', 'path'])} as score from code_imports) x where x.score > 0 order by round(x.score, 9) desc, path, line, import_id limit 350", "code_imports")
+@query(f"select import_id, path, line, module, round(score, 6)::double as score from (select *, b + case when {_role(Sc.TEST)} then -1.25 else 0 end as score from (select *, {score_sql('mod_49 brand9', ['module', 'path'])} as b from code_imports) y where b > 0) x order by round(x.score, 9) desc, path, line, import_id limit 350", "code_imports")
 def imports(spark, d):
-    s = T.score_query("mod_49 brand9", [F.col("module"), F.col("path")])
-    return C.hits(view(spark, d, "code_imports").select("import_id", "path", "line", "module", s.alias("score")).where("score > 0"), "import_id", C.layer_limit("import", 10)).withColumn("score", r6("score"))
+    return C.search_imports(view(spark, d, "code_imports"), "mod_49 brand9", C.layer_limit("import", 10)).withColumn("score", r6("score"))
+
+
+@query(f"select import_id, round(score, 6)::double as score from (select *, b + case when {_role(Sc.TEST)} then -1.25 else 0 end + 5.25 / line + case when regexp_replace(lower(regexp_extract(path, '[^/]*$')), '\\.[^.]*$', '') = 'local' and regexp_matches(path, '\\.(c|cc|cpp|cxx|m|mm)$') then -0.8 else 0 end as score from (select *, {score_sql('./local', ['module', 'path'])} as b from code_imports) y where b > 0) x order by round(x.score, 9) desc, path, line, import_id limit 350", "code_imports")
+def import_path_search(spark, d):
+    """A relative path is asked for: early lines count more."""
+    return C.search_imports(view(spark, d, "code_imports"), "./local", C.layer_limit("import", 10)).select("import_id", r6("score").alias("score"))
 
 
 @query(f"""select dep_id, package_name, case when is_lockfile then 'locked' else 'declared' end as state, round(score, 6) as score from (select *, {score_sql('pkg-building-7', ['package_name', 'ecosystem', 'path', 'requirement'])} + case when package_name = 'pkg-building-7' then 8 else 0 end + case when is_lockfile then 0.25 else 0 end as score from code_deps) x
@@ -191,10 +206,23 @@ def sbom(spark, d):
 
 @query(f"with c as (select * from code_chunks where contains(content, 'method') and contains(content, 'fn_2')) select chunk_id, path, line_start as line, round(case when is_generated then 0.35 else 1 end * {score_sql('method fn_2', ['content', 'path'])}, 6)::double as score from c order by 4 desc, path, line, chunk_id limit 300", "code_chunks")
 def chunk_search(spark, d):
-    """All terms must occur; then the base score. Content-shape bonuses are left out."""
-    c = view(spark, d, "code_chunks").where(F.col("content").contains("method") & F.col("content").contains("fn_2"))
-    s = C.generated_score(T.score_query("method fn_2", [F.col("content"), F.col("path")]), F.col("is_generated"))
-    return C.hits(c.select("chunk_id", "path", F.col("line_start").alias("line"), r6(s).alias("score")), "chunk_id", 300)
+    """All terms must occur; then the base score."""
+    return C.search_chunks(view(spark, d, "code_chunks"), C.parse_query("method fn_2"), 300).withColumn("score", r6("score"))
+
+
+NEAR_QUERY = "method returns retry policy brand7 generated"
+_NQ = Sc.near_terms(NEAR_QUERY)
+_LINE_TERMS = r"list_filter(flatten([list_concat([lower(t)], list_concat(string_split(lower(t), '_'), string_split(lower(regexp_replace(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z0-9_])([A-Z][a-z])', '\\1 \\2', 'g')), ' '))) for t in regexp_extract_all(ln, '[A-Za-z0-9_]+')]), lambda z: z <> '')".replace("\\\\", "\\")
+_NEAR = " + ".join(f"(len(list_filter(w, lambda x: x = '{t}' or (length(x) >= 4 and {len(t)} >= 4 and (starts_with(x, '{t}') or starts_with('{t}', x))))) > 0)::int" for t in _NQ)
+
+
+@query(f"""with c as (select chunk_id, path, string_split(replace(content, ' ', chr(10)), chr(10)) as ls from code_chunks), l as (select chunk_id, path, i, {_LINE_TERMS} as ts from (select chunk_id, path, i, ls[i] as ln from c, unnest(range(1, len(ls) + 1)) as u(i)) z where trim(ln) <> ''),
+  g as (select a.chunk_id, a.path, a.i, flatten(list(b.ts)) as w from l a join l b on a.chunk_id = b.chunk_id and b.i between a.i and a.i + 5 group by all), n as (select chunk_id, path, max({_NEAR}) as n from g group by all)
+  select chunk_id, round(case when n >= {max(5, -(-len(_NQ) * 3 // 4))} and not regexp_matches(path, '(^|/)tests(/|$)') then least(1.9, 0.45 + n / {len(_NQ)} * 1.45) else 0 end, 6)::double as bonus from n""", "code_chunks")
+def chunk_proximity(spark, d):
+    """Terms of a longer question within six lines of a chunk."""
+    c = view(spark, d, "code_chunks").select("chunk_id", "path", F.replace("content", F.lit(" "), F.lit("\n")).alias("content"))
+    return c.select("chunk_id", r6(Sc.proximity(F.lit(6.0), F.col("content"), F.col("path"), NEAR_QUERY)).alias("bonus"))
 
 
 @query("select path, sum(4 * contains(lower(path), 'brand7')::int + contains(lower(content), 'retry')::int + contains(lower(content), 'fn_77')::int)::bigint as points from code_chunks group by path order by 2 desc, path limit 100", "code_chunks")

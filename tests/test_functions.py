@@ -95,3 +95,22 @@ def test_innermost_spans_match_brute_force(spark):
     want = {i: min((b - a, n) for g, a, b, n in spans if g == f and a <= at <= b)[1] for i, f, at in lines if any(g == f and a <= at <= b for g, a, b, n in spans)}
     assert {r.ref_id: r.chunk_id for r in C.innermost_chunks(x, c, "ref_id").collect()} == want
     assert C.enclosing(x, s.limit(0), "ref_id").count() == 0
+
+
+def test_path_roles_and_intents(spark):
+    from cairn.operators import scoring as Sc
+
+    got = lambda words, p: one(spark, Sc.has_role(F.lit(p), words))
+    assert [got(Sc.TEST, p) for p in ("src/tests/a.py", "a_test.go", "x/test1.c", "src/contest.py", "src/testify.go", "__tests__/b.ts", "bench/run.rs")] == [True, True, True, False, False, True, True]
+    assert got(Sc.EXAMPLE, "docs/examples/x.py") and not got(Sc.EXAMPLE, "resample.py") and got(Sc.ADAPTER, "lib/ffi.rs")
+    assert Sc.asks_for("where is runTests used", Sc.TEST) and Sc.asks_for("api_bridge", Sc.ADAPTER) and not Sc.asks_for("contest latest", Sc.TEST)
+    assert one(spark, Sc.call_paths(F.lit("src/c.rs"), "go", True)) == 0 and one(spark, Sc.call_paths(F.lit("src/c.rs"), "go", False)) == 0.2
+    assert one(spark, Sc.call_paths(F.lit("tests/a.rs"), "go", True)) == -0.75 and one(spark, Sc.reference_paths(F.lit("tests/a.rs"), "go tests")) == 0
+    assert one(spark, Sc.symbol_paths(F.lit("inc/a.hpp"), F.lit("function_declaration"), "go", "hybrid")) == 0.55
+    assert one(spark, Sc.import_shape(F.lit("pkg/__init__.py"), F.lit("x"), F.lit(1), "go", "hybrid")) == 0.2
+    text = "\n".join(["alpha", "", "betaGamma", "delta_eps", "zeta", "eta theta"])
+    q = "alpha beta gamma delta eps zeta"
+    assert one(spark, Sc.proximity(F.lit(6.0), F.lit(text), F.lit("a.py"), q)) == pytest.approx(1.9)
+    assert one(spark, Sc.proximity(F.lit(5.0), F.lit(text), F.lit("a.py"), q)) == 0 and one(spark, Sc.proximity(F.lit(6.0), F.lit("\n" * 9), F.lit("a.py"), q)) == 0
+    far = "\n".join(x for w in q.split() for x in [w, *["-- -"] * 3, "other"] * 1)
+    assert one(spark, Sc.proximity(F.lit(6.0), F.lit(far), F.lit("a.py"), q)) == 0
