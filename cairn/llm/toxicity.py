@@ -9,8 +9,9 @@ probabilities then locate what offends.
 
 Training takes a bounded sample of labelled documents: at most ``SAMPLE`` rows in the order of a hash of
 their ids, and of these at most ``SAMPLE_BYTES`` of text (whole texts; one that doesn't fit is passed
-over). Of near copies in the sample (``COPY`` of sixteen five-word minhashes shared with an earlier
-text, an estimated similarity of 0.8) the first is learned, so that a text found in many copies counts once. Features are
+over). Of texts in the sample that are much alike (``COPY`` of sixteen five-word minhashes shared with an
+earlier one, an estimated similarity of 0.3) the first is learned, so that neither a text found in many
+copies nor a passage that many texts are made of counts more than once. Features are
 selected by their association with the label and are kept under 64-bit keys, so a word that was not
 in the sample can't collide with one that was. The model is a few thousand numbers at most
 (``features``), and is what is sent to the executors. Scoring scans the documents where they lie.
@@ -38,7 +39,7 @@ from ._shared import text_id
 
 U = np.uint64
 SAMPLE, SAMPLE_BYTES, FEATURES, THRESHOLD = 4000, 32 << 20, 4000, 0.3
-COPY = 13
+COPY = 5  # of sixteen minhashes
 PREFIXES = (4, 5, 6, 7, 8)
 _DELIM = np.zeros(256, bool)
 _DELIM[:48] = _DELIM[58:65] = _DELIM[91:97] = _DELIM[123:128] = True
