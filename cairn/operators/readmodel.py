@@ -8,7 +8,7 @@
 * ``vocabulary`` (kind, shard, term): where substrings of terms are looked up, instead of in texts.
 * ``docs`` (evidence_id, key, scope, path, labels, created, status, content, dl, n_sig, vec): lengths,
   hashed vectors and contents, sorted by key in each file, of which a question reads lengths and what it shows.
-* ``facts`` and ``links`` (fact to evidence, with the evidence's visibility).
+* ``facts`` and ``links`` (fact to evidence, with the visibility of both, so that a question joins neither).
 
 A word of a question that holds no blank stands in a text exactly if it stands in one of its blank-free
 runs (chunks); an identifier term matches by the rules of the text functions. Both become bit masks, one bit for
@@ -18,7 +18,7 @@ and of its evidence.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -93,16 +93,22 @@ def build(ev: DataFrame, facts: DataFrame, links: DataFrame, path: str, doc: Col
     model = ReadModel(spark, path, shards)
     model._table("postings").where(F.col("kind") != WORD).select("kind", "shard", "term").distinct().write.mode("overwrite").parquet(f"{path}/vocabulary")
     facts.write.mode("overwrite").parquet(f"{path}/facts")
-    seen = ev.select("evidence_id", F.coalesce("parent_id", "evidence_id").alias("key"), "source_scope", "created", "status")
-    links.join(seen, "evidence_id").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/links")
+    seen = ev.select("evidence_id", F.coalesce("parent_id", "evidence_id").alias("key"), "source_scope", F.col("created").alias("e_created"), F.col("status").alias("e_status"))
+    links.join(seen, "evidence_id").join(facts.drop("text"), "fact_id").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/links")
     # the last part: without it the model doesn't count
     spark.createDataFrame([(shards,)], "shards int").coalesce(1).write.mode("overwrite").parquet(f"{path}/made")
     return model
 
 
+def _named(column: str, values: set) -> Column:
+    """column in (values), as one parsed text: thousands of literals one by one would take seconds."""
+    quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v) for v in sorted(values)]
+    return F.expr(f"{column} in ({', '.join(quoted)})") if quoted else F.lit(False)
+
+
 @dataclass
 class Hits:
-    """What a question matches: documents (m) and facts (f) with their masks, both small tables in the shared folder."""
+    """What a question matches: documents (m) and facts (f) with their masks, parts of one small table in the shared folder."""
 
     query: str
     m: DataFrame  # evidence_id, key, dl, tf, direct, near, equal, own_direct, own_near, n_sig, vec
@@ -127,6 +133,7 @@ class ReadModel:
     spark: SparkSession
     path: str
     shards: int
+    _tables: dict[str, DataFrame] = field(default_factory=dict)  # plans only; the files never change
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> ReadModel | None:
@@ -139,13 +146,21 @@ class ReadModel:
             return None
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.path}/{name}")
+        return self._tables[name]
 
     def docs(self, version: int, scope: str | None = None) -> DataFrame:
         return self._table("docs").where(R.retrievable(version, scope))
 
     def links(self, version: int, scope: str | None = None) -> DataFrame:
-        return self._table("links").where(R.retrievable(version, scope))
+        """Links to visible evidence, whatever the fact's state."""
+        ok = (F.col("e_created") <= version) & F.col("e_status").isin("accepted", "proposed")
+        return self._table("links").where(ok & (F.col("source_scope") == scope) if scope else ok)
+
+    def accepted_links(self, version: int, scope: str | None = None) -> DataFrame:
+        """Links of visible, accepted facts to visible evidence."""
+        return self.links(version, scope).where(R.visible_at(version) & (F.col("status") == "accepted"))
 
     def facts(self, version: int, accepted: bool = True) -> DataFrame:
         f = self._table("facts").where(R.visible_at(version))
@@ -173,16 +188,16 @@ class ReadModel:
         if len(rows) <= MOST_TERMS:
             matched = F.broadcast(self.spark.createDataFrame(rows, matched.schema))
             for c in ("kind", "shard", "term"):
-                postings = postings.where(F.col(c).isin(sorted({r[c] for r in rows})))
+                postings = postings.where(_named(c, {r[c] for r in rows}))
         x = postings.join(matched, ["kind", "shard", "term"])
         some = lambda c, *kinds: F.bit_or(F.when(F.col("kind").isin(*kinds), F.col(c)).otherwise(F.lit(0).cast("long")))
         tf = F.array(*[F.sum(F.when(F.col("token") == i, F.col("tf")).otherwise(0)).cast("double") for i in range(len(R.fts_tokens(query)))]).cast("array<double>")
         g = x.groupBy(F.col("kind").isin(FACT_CHUNK, FACT_TERM).alias("fact"), "id").agg(F.bit_or("direct").alias("direct"), F.bit_or("near").alias("near"), F.bit_or("equal").alias("equal"), some("direct", CHUNK).alias("own_direct"), some("near", TERM).alias("own_near"), tf.alias("tf"))
-        g = cut(g, "hits")
         docs = self.docs(version, scope)
-        m = g.where("not fact").drop("fact").withColumnRenamed("id", "evidence_id").join(docs.select("evidence_id", "key", F.col("dl").cast("double").alias("dl"), "n_sig", "vec"), "evidence_id")
+        shown = docs.select(F.col("evidence_id").alias("id"), "key", F.col("dl").cast("double").alias("dl"), "n_sig", "vec")
+        g = cut(g.join(shown, "id", "left").where("fact or key is not null"), "hits")
         stats = docs.agg(F.count("*").cast("double").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
-        return Hits(query, cut(m, "matches"), g.where("fact").select(F.col("id").alias("fact_id"), "direct", "near"), stats)
+        return Hits(query, g.where("not fact").drop("fact").withColumnRenamed("id", "evidence_id"), g.where("fact").select(F.col("id").alias("fact_id"), "direct", "near"), stats)
 
     def bm25(self, h: Hits) -> DataFrame:
         """(evidence_id, key, score): Okapi over the visible documents."""
@@ -206,30 +221,29 @@ class ReadModel:
         x = h.m.select("evidence_id", "key", o.alias("o"), F.greatest(F.lit(0.0), F.aggregate(F.zip_with("vec", own, lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)).alias("c"))
         return x.where("o > 0 and c > 1e-12").select("evidence_id", "key", (F.col("c") + 0.05 * F.least(F.lit(1.0), F.col("o") / max(1, len(q)))).alias("score"))
 
-    def _supported(self, h: Hits, version: int, scope: str | None, facts: DataFrame, all_: bool) -> DataFrame:
-        """(fact_id, key, score) of facts with visible evidence: the words of their own texts and of their evidence."""
-        links = self.links(version, scope)
-        through = links.select("fact_id", "evidence_id").join(h.m.select("evidence_id", F.col("own_direct").alias("direct"), F.col("own_near").alias("near")), "evidence_id").select("fact_id", "direct", "near")
-        masks = h.f.union(through).groupBy("fact_id").agg(F.bit_or("direct").alias("direct"), F.bit_or("near").alias("near"))
-        x = facts.select("fact_id").join(masks, "fact_id", "left" if all_ else "inner")
-        x = x.join(links.select("fact_id", "pos", "key"), "fact_id").groupBy("fact_id").agg(F.min_by("key", "pos").alias("key"), F.first("direct").alias("direct"), F.first("near").alias("near"))
-        zero = F.lit(0).cast("long")
-        return x.select("fact_id", "key", overlap(F.coalesce("direct", zero), F.coalesce("near", zero)).alias("score"))
+    def supported(self, h: Hits, version: int, scope: str | None = None) -> DataFrame:
+        """(fact_id, key, score, timely): facts with visible evidence that match by words, of their own texts or of their
+        evidence's, or are events of the asked time. The key is that of the first evidence."""
+        timely = F.coalesce((F.col("kind") == "event") & R.temporal_filter(h.query), F.lit(False)) if R.wants_time(h.query) else F.lit(False)
+        links = self.accepted_links(version, scope).select("fact_id", "evidence_id", "pos", "key", timely.alias("timely"))
+        x = links.join(h.m.select("evidence_id", F.col("own_direct").alias("d1"), F.col("own_near").alias("n1")), "evidence_id", "left").join(h.f.select("fact_id", F.col("direct").alias("d2"), F.col("near").alias("n2")), "fact_id", "left")
+        x = x.groupBy("fact_id").agg(F.min_by("key", "pos").alias("key"), *[F.bit_or(F.coalesce(c, F.lit(0).cast("long"))).alias(c) for c in ("d1", "d2", "n1", "n2")], F.max("timely").alias("timely"))
+        x = x.select("fact_id", "key", overlap(F.col("d1").bitwiseOR(F.col("d2")), F.col("n1").bitwiseOR(F.col("n2"))).alias("score"), "timely")
+        return x.where("score > 0 or timely")
 
     def graph_path(self, h: Hits, version: int, scope: str | None = None) -> DataFrame:
-        return self._supported(h, version, scope, self.facts(version), False).where("score > 0")
+        return self.supported(h, version, scope).where("score > 0")
 
     def temporal(self, h: Hits, version: int, scope: str | None = None) -> DataFrame:
         """Events of the asked time, whether or not their words match."""
-        events = self.facts(version).where("kind = 'event'").where(R.temporal_filter(h.query))
-        return self._supported(h, version, scope, events, True).withColumn("score", F.col("score") + 1)
+        return self.supported(h, version, scope).where("timely").withColumn("score", F.col("score") + 1)
 
     def community(self, query: str, version: int, scope: str | None = None) -> DataFrame:
         """(key, score, content, labels): one summary for each scope, of its first labels and its accepted facts."""
-        docs, links = self.docs(version, scope), self.links(version, scope)
+        docs = self.docs(version, scope)
         labels = docs.select("source_scope", F.explode("labels").alias("label")).distinct().groupBy("source_scope").agg(F.slice(F.array_sort(F.collect_list("label")), 1, 12).alias("labels"))
         kinds = ("relation", "claim", "event")
-        n = links.select("fact_id", "source_scope").join(self.facts(version).select("fact_id", "kind"), "fact_id").distinct().groupBy("source_scope").agg(*[F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(k) for k in kinds])
+        n = self.accepted_links(version, scope).select("fact_id", "source_scope", "kind").distinct().groupBy("source_scope").agg(*[F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(k) for k in kinds])
         x = docs.select("source_scope").distinct().join(labels, "source_scope", "left").join(n, "source_scope", "left").na.fill(0).withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
         told = [F.lit("community summary for "), F.col("source_scope"), F.lit(": entities "), F.array_join("labels", ", ")]
         for k in kinds:

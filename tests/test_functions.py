@@ -114,3 +114,22 @@ def test_path_roles_and_intents(spark):
     assert one(spark, Sc.proximity(F.lit(5.0), F.lit(text), F.lit("a.py"), q)) == 0 and one(spark, Sc.proximity(F.lit(6.0), F.lit("\n" * 9), F.lit("a.py"), q)) == 0
     far = "\n".join(x for w in q.split() for x in [w, *["-- -"] * 3, "other"] * 1)
     assert one(spark, Sc.proximity(F.lit(6.0), F.lit(far), F.lit("a.py"), q)) == 0
+
+
+def test_scratch_tables_are_removed_on_any_file_system(spark, tmp_path):
+    """A path that isn't known to be mounted goes through the cluster's file system."""
+    import os
+
+    from cairn.sources import scratch as S
+
+    df = S.cut(spark.range(10).toDF("a"), "some")
+    folder = S.local_path(df._scratch)
+    assert df.count() == 10 and os.listdir(folder) and df._scratch in S._made
+    S.drop(df)
+    assert not os.path.exists(folder) and df._scratch not in S._made
+    other = tmp_path / "x"
+    spark.range(3).write.parquet(f"file://{other}")
+    S.remove(f"File:{other}")
+    assert not other.exists()
+    with pytest.raises(ValueError):
+        S.local_path("s3a://bucket/x")
