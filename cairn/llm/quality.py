@@ -8,8 +8,9 @@ out would keep) are bitwise aggregates of the ledger, never a second pass over t
 Only built-in functions are used, without a shuffle: repeated windows are found inside each row, by
 sorting (hash << 31 | position) longs and then comparing the words of equal hashes.
 
-Edge cases: null or empty text has no words and fails few_words; extra columns are ignored; a null
-id is judged like any other.
+Edge cases: null or empty text has no words and fails few_words; extra columns of any name are ignored;
+a null id and repeated rows are judged like any other; very long texts are measured whole, in their own
+row; an empty table gives no rows, and ablations of nothing are zeros.
 """
 
 from __future__ import annotations
@@ -88,11 +89,14 @@ def apply_policy(entries: DataFrame, version: str = "v1") -> DataFrame:
 def ablations(entries: DataFrame, version: str = "v1") -> DataFrame:
     """(rule, failed, only_this, kept_without): documents that fail a rule, that only it rejects, and that stay if it goes."""
     mask = POLICIES[version]
+    spark = entries.sparkSession
     counts = entries.groupBy(F.col("rule_bits").bitwiseAND(F.lit(mask)).alias("b")).agg(F.count("*").alias("c"))
-    out = [F.struct(F.lit(name).alias("rule"), F.lit(BITS[name]).cast("long").alias("bit")) for name, _ in RULES if BITS[name] & mask]
-    each = counts.withColumn("r", F.explode(F.array(*out))).select("b", "c", "r.*")
+    named = F.array(*[F.struct(F.lit(name).alias("rule"), F.lit(BITS[name]).cast("long").alias("bit")) for name, _ in RULES if BITS[name] & mask])
+    # a row for each rule and set of bits, however many documents there are
+    each = spark.range(1).select(F.inline(named)).join(counts, F.lit(True), "left")
     has = F.col("b").bitwiseAND(F.col("bit")) != 0
-    return each.groupBy("rule").agg(F.sum(F.when(has, F.col("c")).otherwise(0)).alias("failed"), F.sum(F.when(F.col("b") == F.col("bit"), F.col("c")).otherwise(0)).alias("only_this"), F.sum(F.when((F.col("b") == 0) | (F.col("b") == F.col("bit")), F.col("c")).otherwise(0)).alias("kept_without"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("c"))), F.lit(0).cast("long"))
+    return each.groupBy("rule").agg(total(has).alias("failed"), total(F.col("b") == F.col("bit")).alias("only_this"), total((F.col("b") == 0) | (F.col("b") == F.col("bit"))).alias("kept_without"))
 
 
 ORACLE = r"""
@@ -117,3 +121,8 @@ with w as (
 )
 select *, (rule_bits & 3) <> 0 as base_failed, rule_bits = 0 as kept from b
 """
+
+ABLATIONS = f"""
+with l as ({ORACLE}), r(rule, bit) as (values {", ".join(f"('{name}', {1 << i}::bigint)" for i, (name, _) in enumerate(RULES))})
+select rule, count(*) filter (rule_bits & bit <> 0)::bigint as failed, count(*) filter (rule_bits = bit)::bigint as only_this, count(*) filter (rule_bits in (0, bit))::bigint as kept_without from r cross join l group by rule
+"""

@@ -54,6 +54,11 @@ def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.ledger(_read(spark, sf_dir, "documents")))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the ledger: what each rule rejects, what only it rejects, and what stays without it."""
+    return quality.ablations(quality.ledger(_read(spark, sf_dir, "documents")))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_ledger,
         op10_benchmark_decontamination,
         pipeline,
+        quality_ablations,
     )
 }
 #: Trained scores (op1) and tokenizer ids (op5, pipeline) are beyond SQL; they are held against brute force in tests.
@@ -89,5 +95,6 @@ ORACLES: dict[str, str] = {
     "op7_chat_format": chat.ORACLE,
     "op8_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op9_quality_ledger": quality.ORACLE,
+    "quality_ablations": quality.ABLATIONS,
     "op10_benchmark_decontamination": oracles.CONTAINED,
 }

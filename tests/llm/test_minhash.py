@@ -124,20 +124,3 @@ def test_a_hot_bucket_of_a_template(spark):
     assert len({c for _, c, _ in want.values()}) > 40
     assert result(df, shingle=3, rows=1, most=8) == want
     assert result(df, shingle=3, rows=1) == want
-
-
-def test_scratch_tables_are_removed_on_any_file_system(spark, tmp_path):
-    """A path without a mounted prefix goes through the cluster's file system."""
-    import os
-
-    from cairn.llm import _shared
-
-    df = _shared.cut(spark.range(10).toDF("a"), "some")
-    folder = _shared.local_path(df._scratch)
-    assert df.count() == 10 and os.listdir(folder) and df._scratch in _shared._made
-    _shared.drop(df)
-    assert not os.path.exists(folder) and df._scratch not in _shared._made
-    other = tmp_path / "x"
-    spark.range(3).write.parquet(f"file://{other}")
-    _shared.remove(f"FILE:{other}".replace("FILE:", "File:"))
-    assert not other.exists()

@@ -49,3 +49,24 @@ def test_collisions_of_the_short_hash_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(Q.F, "hash", lambda *c: F.lit(1))
     df = spark.createDataFrame([(1, "a b c d e f a b c")], "doc_id long, text string")
     assert Q.ledger(df).first().n_repeat_words == 6
+
+
+def test_registered_ablations_equal_their_sql(spark, sf, empty):
+    import duckdb
+
+    from cairn.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    df = queries.quality_ablations(spark, sf)
+    want = con.sql(f"select rule, failed, only_this, kept_without from ({Q.ABLATIONS})").fetchall()
+    assert sorted(map(tuple, df.select("rule", "failed", "only_this", "kept_without").collect())) == sorted(want) and any(x[1] for x in want)
+    assert {tuple(r)[1:] for r in Q.ablations(Q.ledger(empty)).collect()} == {(0, 0, 0)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_texts(spark):
+    t = "word " * 200_000 + "\n" + "a b c " * 1000
+    r = Q.ledger(spark.createDataFrame([(1, t), (1, t)], "doc_id long, text string")).collect()
+    assert [(x.n_words, x.n_repeat_words) for x in r] == [(203_000, 203_000)] * 2
