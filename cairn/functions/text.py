@@ -200,21 +200,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.greatest(F.lit(0.0), dot)).otherwise(0.0)
 
 
+def query_tokens(query: str) -> list[str]:
+    """The words of a query in lower case, and the identifiers in those that aren't paths."""
+    return list(dict.fromkeys(x for w in query.lower().split() for x in [w, *([] if "/" in w else [p for p in re.findall(r"[a-z0-9_]+", w) if len(p) >= 2])]))
+
+
+def token_points(query: str, value: Column) -> Column:
+    """Each token's points in one field, an array: 4 equal, 2 an identifier term, 0.5 contained. Its terms are computed once."""
+    point = lambda v, t: F.when(v["low"] == t, 4.0).when(F.array_contains(v["terms"], t), 2.0).when(v["low"].contains(t), 0.5).otherwise(0.0)
+    made = F.struct(F.lower(F.coalesce(value, F.lit(""))).alias("low"), terms(value, 1).alias("terms"))
+    return let(made, lambda v: F.array(*[point(v, t) for t in query_tokens(query)]).cast("array<double>"))
+
+
+def sum_points(fields: list[Column]) -> Column:
+    """The best field of each token, summed."""
+    best = fields[0]
+    for x in fields[1:]:
+        best = F.zip_with(best, x, lambda a, b: F.greatest(a, b))
+    return F.aggregate(best, F.lit(0.0), lambda a, x: a + x)
+
+
 def score_query(query: str, fields: list[Column]) -> Column:
     """For each token its best field: 4 equal, 2 an identifier term, 0.5 contained; summed."""
-    tokens = list(dict.fromkeys(x for w in query.lower().split() for x in [w, *([] if "/" in w else [p for p in re.findall(r"[a-z0-9_]+", w) if len(p) >= 2])]))
-    def of_field(f: Column) -> Column:
-        """Each token's points in one field; its terms are computed once."""
-        point = lambda v, t: F.when(v["low"] == t, 4.0).when(F.array_contains(v["terms"], t), 2.0).when(v["low"].contains(t), 0.5).otherwise(0.0)
-        return let(F.struct(F.lower(F.coalesce(f, F.lit(""))).alias("low"), terms(f, 1).alias("terms")), lambda v: F.array(*[point(v, t) for t in tokens]))
-
-    def summed(v: Column) -> Column:
-        best = v[0]
-        for i in range(1, len(fields)):
-            best = F.zip_with(best, v[i], lambda x, y: F.greatest(x, y))
-        return F.aggregate(best, F.lit(0.0), lambda a, x: a + x)
-
-    return let(F.array(*map(of_field, fields)), summed) if tokens else F.lit(0.0)
+    if not query_tokens(query):
+        return F.lit(0.0)
+    return let(F.array(*[token_points(query, f) for f in fields]), lambda v: sum_points([v[i] for i in range(len(fields))]))
 
 
 def exact_path(query: str, path: Column) -> Column:

@@ -132,7 +132,10 @@ def search_symbols(symbols: DataFrame, f: Filters, limit: int, query_kind: str =
 
 def search_references(refs: DataFrame, text: str, limit: int) -> DataFrame:
     """References whose name or path the text fits, 1.5 above the text's own score, and by what their paths are for."""
-    x = refs.withColumn("b", T.score_query(text, [F.col("name"), F.col("path")])).where("b > 0")
+    # a name stands at many places and a path has many names: each is scored once
+    points = lambda c: refs.select(c).distinct().select(F.col(c).alias(f"the_{c}"), T.token_points(text, F.col(c)).alias(f"of_{c}"))
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"the_{c}"))
+    x = refs.join(points("name"), same("name")).join(points("path"), same("path")).withColumn("b", T.sum_points([F.col("of_name"), F.col("of_path")])).where("b > 0")
     return hits(x.select("ref_id", "path", "line", (F.col("b") + 1.5 + Sc.reference_paths(F.col("path"), text)).alias("score")), "ref_id", limit)
 
 

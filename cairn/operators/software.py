@@ -22,18 +22,18 @@ def effective_models(projects: DataFrame, properties: DataFrame, managed: DataFr
 
     projects (project, parent), properties (project, name, value), managed and dependencies (project,
     artifact, version, null where inherited). The nearest ancestor that says anything wins; a version of
-    the form ${name} is looked up in the nearest property. Ancestors come from repeated joins on parents, each
-    round only over lines that still go on, until none does; a line that comes back to its project ends there."""
-    lines = projects.select("project", F.col("project").alias("from"), F.col("parent").alias("next"), F.lit(0).alias("d"))
-    frontier, every = lines, lines
-    up = projects.select(F.col("project").alias("p"), F.col("parent").alias("pp"))
-    i = 0
-    while not frontier.isEmpty():
-        i += 1
-        # a cycle of parents would go on for ever: no project is an ancestor twice
-        step = frontier.join(up, F.col("next") == F.col("p")).select("project", F.col("p").alias("from"), F.col("pp").alias("next"), F.lit(i).alias("d"))
-        frontier = cut(step.join(every.select("project", "from"), ["project", "from"], "left_anti").select(*every.columns), "ancestors")
-        every = every.union(frontier)
+    the form ${name} is looked up in the nearest property. Ancestors come from joins whose reach doubles each
+    round, so chains of any length take few; in a cycle of parents each project is an ancestor once."""
+    every = projects.select("project", F.col("project").alias("from"), F.lit(0).alias("d"))
+    jump = projects.where("parent is not null").select("project", F.col("parent").alias("to"))
+    step, known = 1, every.count()
+    while not jump.isEmpty():
+        beyond = jump.join(every.select(F.col("project").alias("to"), "from", (F.col("d") + step).alias("d")), "to").select("project", "from", "d")
+        every = cut(every.union(beyond).groupBy("project", "from").agg(F.min("d").alias("d")), "ancestors")
+        jump = cut(jump.join(jump.select(F.col("project").alias("to"), F.col("to").alias("next")), "to").select("project", F.col("next").alias("to")), "ancestors")
+        step, before, known = step * 2, known, every.count()
+        if known == before:
+            break
     nearest = lambda rows, *keys: every.join(rows.withColumnRenamed("project", "from"), "from").groupBy("project", *keys).agg(F.min_by("value", "d").alias("value"))
     props = nearest(properties.select("project", "name", "value"), "name")
     by_artifact = nearest(managed.select("project", "artifact", F.col("version").alias("value")).where("value is not null"), "artifact")

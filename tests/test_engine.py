@@ -172,6 +172,15 @@ def test_effective_models(spark):
     assert got == {("leaf", "a"): "2", ("leaf", "b"): "3", ("mid", "b"): "3", ("leaf", "c"): None}
 
 
+def test_effective_models_of_long_chains_and_cycles(spark):
+    p = spark.createDataFrame([("p0", None), *((f"p{i}", f"p{i - 1}") for i in range(1, 70)), ("a", "b"), ("b", "a"), ("self", "self")], "project string, parent string")
+    props = spark.createDataFrame([("p0", "v", "1"), ("a", "v", "7")], "project string, name string, value string")
+    man = spark.createDataFrame([("p0", "x", "${v}"), ("b", "x", "${v}")], "project string, artifact string, version string")
+    dep = spark.createDataFrame([("p69", "x", None), ("a", "x", None), ("self", "x", "3")], "project string, artifact string, version string")
+    got = {(r.project, r.artifact): r.version for r in Sw.effective_models(p, props, man, dep).collect()}
+    assert got == {("p69", "x"): "1", ("a", "x"): "7", ("b", "x"): "7", ("self", "x"): "3"}
+
+
 def test_knowledge_map_and_usages(spark):
     t = spark.createDataFrame([("Billing", ["s2", "s1"])], "topic string, source_order array<string>")
     s = spark.createDataFrame([("s1", "a"), ("s2", "b")], "source_id string, uri string")
