@@ -1,6 +1,6 @@
 """Text functions as Column expressions: identifier terms, signatures, overlaps, grams, hashed vectors.
 
-All but ``hashed_cosines`` stays inside the JVM. A ``let`` binds a costly value once for an expression that names it often.
+All but ``hash_counts``, which read models use when they are built, stays inside the JVM. A ``let`` binds a costly value once for an expression that names it often.
 """
 
 import re
@@ -165,19 +165,6 @@ def hashed_vectors(signatures: pd.Series):
     return hash_counts(data, np.cumsum([0, *map(len, terms)]), sizes)
 
 
-def hashed_cosines(query: list[str]):
-    """For ``mapInPandas`` over (id, o, sig): (id, o, cosine of the signature's hashed vector and the query's, not under 0)."""
-    import numpy as np
-
-    own = np.array(driver_vector(query))
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"evidence_id": b["evidence_id"], "o": b["o"], "c": np.maximum(hashed_vectors(b["sig"]) @ own, 0.0)})
-
-    return run
-
-
 def driver_hash(term: str) -> int:
     h = 5
     for b in term.encode():

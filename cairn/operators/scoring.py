@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as T
 
-TEST = ("test", "tests", "testing", "bench", "benchmark", "benchmarks")
-EXAMPLE = ("demo", "demos", "example", "examples", "quickstart", "quickstarts", "sample", "samples", "tutorial", "tutorials")
-ADAPTER = ("adapter", "adapters", "api", "binding", "bindings", "bridge", "ffi", "interop", "jni", "wrapper", "wrappers")
+TEST = ("testing", "bench", *(w + s for w in ("benchmark", "test") for s in ("", "s")))
+EXAMPLE = tuple(w + s for w in ("sample", "example", "tutorial", "quickstart", "demo") for s in ("", "s"))
+ADAPTER = ("ffi", "jni", "api", "interop", "bridge", *(w + s for w in ("wrapper", "binding", "adapter") for s in ("", "s")))
 SURFACES = ("__init__.py", "mod.rs", "lib.rs", "index.js", "index.jsx", "index.ts", "index.tsx")
 HEADERS = r"\.(h|hh|hpp|hxx|inc)$"
 NEAR_LINES, NEAR_MOST, NEAR_BASE, NEAR_TERMS = 6, 80, 6.0, 5
