@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
 from ..sources.scratch import cut, drop, local_path, remove, scratch, shared_dir
 
-__all__ = ["components", "cut", "drop", "local_path", "quoted", "remove", "scratch", "shared_dir", "text_id"]
+__all__ = ["components", "cut", "drop", "local_path", "remove", "scratch", "shared_dir", "text_id"]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -78,7 +78,3 @@ def text_id(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that an operator reads, under its own names; clashing extra columns never meet them."""
     ship(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-
-def quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
