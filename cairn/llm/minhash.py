@@ -8,13 +8,13 @@ are the same as one element after the other would give.
 
 Every decision is exact: bands only propose, and a link counts once the words of both texts confirm it.
 Texts of the same words are one class (by a cryptographic digest). In each bucket of a band all members
-are checked against its least member first; then components are formed, and pairs of a bucket whose
-components still differ are checked as well. In a bucket of up to ``most`` members those are all pairs
-that the register sketches don't tell apart (a pair at 0.8 is lost there with a chance of 1e-9). Larger
-buckets never make all pairs: their members go through an exact prefix join instead. Sets in which
-shingles stand in the order of their frequency can only reach the similarity if they share one of their
-first n - ceil(similarity * n) + 1 shingles, so what many texts have in common (a template, a notice)
-proposes nothing. The frequencies are a hashed table of bounded size; any table gives a valid order.
+are checked against its least member first; then components are formed. Members of buckets that are still
+in several components, of whatever size, never make all pairs: they go through an exact prefix join. Sets
+in which shingles stand in the order of their frequency can only reach the similarity if they share one of
+their first n - ceil(similarity * n) + 1 shingles, and if enough shingles follow the first that they share;
+so what many texts have in common (a template, a notice) proposes nothing, and neither do the copies of a
+large cluster that are in one component. What is left of a pair that the register sketches don't tell
+apart (one at 0.8 is lost there with a chance of 1e-9) is confirmed on the words.
 
 Edge cases: null or wordless text has no shingles, stays alone and is kept; fewer words than a
 shingle give one shingle; a row with a null id is returned alone, with a null component, kept; rows
@@ -24,21 +24,20 @@ extra columns of any name are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._shared import components, cut, text_id
+from ._shared import components, cut, drop, text_id
 
 BANDS, ROWS = 28, 5  # a pair at similarity 0.8 misses every band with probability 1.5e-5
 SKETCH = 64  # registers kept, a byte each: such a pair agrees in under half of them with probability 1e-9
-MOST = 512  # members of a bucket up to which its pairs are looked at one by one
-TABLE = 20  # bits of the frequency table
+MOST = 4096  # members of a prefix shingle that one task pairs; more are split among tasks
+PAIRS = 1 << 18  # pairs that are compared at once
 U = np.uint64
 _STEP = U(0x9E3779B97F4A7C15)
 
@@ -217,66 +216,91 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, fold: bool, percent: in
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "side").mapInArrow(partial(_confirm, k=k, fold=fold, percent=percent), "a long, b long").distinct()
 
 
-def _counts(batches, k: int, fold: bool):
-    for rb, buf, offsets in K.slices(batches, "text"):
-        (values, _), _ = _sets(rb, buf, offsets, k, fold)
-        at, n = np.unique(values >> U(64 - TABLE), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n)], ["at", "n"])
-
-
-def _prefixes(batches, k: int, fold: bool, percent: int, table):
-    """The shingles one of which a text shares with whatever is similar to it: the first in the order of frequency."""
-    often = table.value
+def _tokens(batches, k: int, fold: bool):
+    """A row for each shingle of each text (row, doc_id, text)."""
     for rb, buf, offsets in K.slices(batches, "text"):
         (values, bounds), _ = _sets(rb, buf, offsets, k, fold)
-        ids, toks = [], []
-        for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-            own = values[a:b]
-            n = b - a
-            first = own[np.lexsort((own, often[(own >> U(64 - TABLE)).astype(np.int64)]))][: n - -(-percent * n // 100) + 1]
-            toks.append(first)
-            ids += [rb.column(0)[d].as_py()] * len(first)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(ids, pa.int64())], ["key", "doc_id"])
-
-
-def _prefix_members(hot: DataFrame, docs: DataFrame, k: int, fold: bool, percent: int) -> DataFrame:
-    """(key, doc_id): the prefix shingles of the documents (doc_id) in hot buckets."""
-    texts = docs.join(hot.hint("merge"), "doc_id", "left_semi")
-    table = np.zeros(1 << TABLE, np.int64)
-    for r in texts.mapInArrow(partial(_counts, k=k, fold=fold), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():  # at most 2**TABLE rows
-        table[r.at] = r.n
-    return texts.mapInArrow(partial(_prefixes, k=k, fold=fold, percent=percent, table=docs.sparkSession.sparkContext.broadcast(table)), "key long, doc_id long")
-
-
-def _within(members: DataFrame, percent: int, most: int, split_hot: bool) -> DataFrame:
-    """(a, b): pairs of a key's members (key, doc_id, n, comp, sketch) in different components that sizes and sketches allow.
-
-    Keys with more than ``most`` members take part only with ``split_hot``, as a grid of blocks of ``most``."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    m = members.join(sizes.select("key", F.ceil(F.col("c") / most).cast("int").alias("blocks")), "key")
-    if not split_hot:
-        m = m.where("blocks = 1")
-    block, every = F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x, y = m.select("*", block.alias("p"), every.alias("q")).alias("x"), m.select("*", every.alias("p"), block.alias("q")).alias("y")
-    alike = F.size(F.filter(F.zip_with("x.sketch", "y.sketch", lambda p, q: p == q), lambda p: p))
-    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "p", "q")]
-    fit = [F.col("x.comp") < F.col("y.comp"), 100 * F.col("x.n") >= percent * F.col("y.n"), 100 * F.col("y.n") >= percent * F.col("x.n"), 160 * alike >= percent * F.size("x.sketch")]
-    for c in on[1:] + fit:
-        on[0] = on[0] & c
-    return x.join(y, on[0]).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-
-
-def _left_apart(members: DataFrame, comps: DataFrame, reps: DataFrame, docs: DataFrame, k: int, fold: bool, percent: int, most: int) -> Iterator[DataFrame]:
-    """Candidate pairs of buckets whose members aren't all in one component: from small buckets, and from hot ones."""
+        n = np.diff(bounds)
+        own = np.repeat(np.arange(len(n)), n)
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(rb.column(i).take(pa.array(own)) for i in range(2)), pa.array(n[own])], ["key", "row", "doc_id", "n"])
+
+
+def _prefixes(texts: DataFrame, k: int, fold: bool, percent: int) -> DataFrame:
+    """(key, doc_id, n, rest): the shingles one of which a text shares with whatever is similar to it.
+
+    Shingles of a single text are shared with none, the others stand in the order of their frequency; rest
+    is how many there are from this one on, so no more than these are shared if it is the first that is."""
+    tokens = texts.select("row", "doc_id", "text").mapInArrow(partial(_tokens, k=k, fold=fold), "key long, row long, doc_id long, n long").repartition("key")
+    often = tokens.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    last = Window.partitionBy("row").orderBy(F.desc("c"), F.desc("key"))
+    return tokens.join(often.hint("merge"), "key").withColumn("rest", F.row_number().over(last).cast("long")).where(100 * F.col("rest") >= percent * F.col("n")).select("key", "doc_id", "n", "rest")
+
+
+def _apart(batches, percent: int):
+    """Pairs (a, b) in different components, of the rows of each cell (key, p, q, block, comp, doc_id, n, rest, sketch), sorted by the first three and comp."""
+    left = None
+    for rb in batches:
+        rows = pa.Table.from_batches([rb])
+        rows = pa.concat_tables([left, rows]) if left is not None else rows
+        cell = np.stack([rows.column(i).to_numpy() for i in range(3)])
+        new = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1
+        done = int(new[-1]) if len(new) else 0
+        left = rows.slice(done)
+        yield from _cells(rows.slice(0, done), np.concatenate([[0], new]), percent)
+    if left is not None and left.num_rows:
+        yield from _cells(left, np.array([0, left.num_rows]), percent)
+
+
+def _cells(rows: pa.Table, bounds: np.ndarray, percent: int):
+    if not rows.num_rows:
+        return
+    p, q, block, comp, ids, n, rest = (rows.column(i).to_numpy() for i in range(1, 8))
+    sketch = rows.column(8).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+    found = []
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        one, two = (np.arange(lo, hi),) * 2 if p[lo] == q[lo] else (lo + np.flatnonzero(block[lo:hi] == x[lo]) for x in (p, q))
+        if not len(one):  # a cell of two blocks, of which one is empty
+            continue
+        ends = [0, *(np.flatnonzero(np.diff(comp[one])) + 1).tolist(), len(one)]
+        for s, e in zip(ends[:-1], ends[1:]):  # a component against the others; its own pairs are never made
+            y = two[e:] if p[lo] == q[lo] else two[comp[two] != comp[one[s]]]
+            step = max(1, PAIRS // max(1, len(y)))
+            for at in range(s, e if len(y) else s, step):
+                x = one[at : min(e, at + step)]
+                i, j = np.nonzero((100 + percent) * np.minimum(rest[x][:, None], rest[y][None]) >= percent * (n[x][:, None] + n[y][None]))
+                for c in range(0, len(i), PAIRS):
+                    u, v = x[i[c : c + PAIRS]], y[j[c : c + PAIRS]]
+                    ok = 160 * (sketch[u] == sketch[v]).sum(1) >= percent * sketch.shape[1]
+                    found.append(np.stack([np.minimum(ids[u[ok]], ids[v[ok]]), np.maximum(ids[u[ok]], ids[v[ok]])]))
+        if sum(f.shape[1] for f in found[-64:]) > PAIRS or len(found) > 4096:
+            yield _batch(found)
+            found = []
+    if found:
+        yield _batch(found)
+
+
+def _batch(found: list[np.ndarray]) -> pa.RecordBatch:
+    """Pairs, each once."""
+    pairs = np.unique(np.concatenate(found, 1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+
+def _left_apart(members: DataFrame, comps: DataFrame, reps: DataFrame, texts: DataFrame, k: int, fold: bool, percent: int, most: int) -> DataFrame | None:
+    """Candidate pairs of the members of buckets that aren't all in one component, by an exact prefix join; None if there are no such buckets.
+
+    A shingle of more than ``most`` members is a grid of blocks of ``most``."""
     named = comps.withColumnRenamed("node", "doc_id")
     of = members.join(named, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    sizes = of.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c")
-    left = cut(of.join(sizes, "key"), "apart")
-    extra = reps.select("doc_id", "n", "sketch")
-    yield _within(left.where(F.col("c") <= most).select("key", "doc_id", "comp").join(extra, "doc_id"), percent, most, False)
-    hot = cut(left.where(F.col("c") > most).select("doc_id", "comp").distinct(), "hot")
-    if not hot.isEmpty():
-        yield _within(_prefix_members(hot.select("doc_id"), docs, k, fold, percent).join(hot.join(extra, "doc_id"), "doc_id"), percent, most, True)
+    mixed = of.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    left = cut(of.join(mixed, "key").select("doc_id", "comp").distinct(), "apart")
+    if left.isEmpty():
+        return None
+    firsts = cut(_prefixes(texts.join(left.hint("merge"), "doc_id", "left_semi"), k, fold, percent).join(left.hint("merge"), "doc_id"), "prefixes")
+    sizes = firsts.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    m = firsts.join(sizes.select("key", F.ceil(F.col("c") / most).cast("int").alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
+    m = m.join(reps.select("doc_id", "sketch").hint("merge"), "doc_id").select("key", "p", "q", "block", "comp", "doc_id", "n", "rest", "sketch")
+    return m.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "comp").mapInArrow(partial(_apart, percent=percent), "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, fold_case: bool = True, bands: int = BANDS, rows: int = ROWS, most: int = MOST) -> DataFrame:
@@ -293,16 +317,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # only what shares a bucket goes on
     members = cut(rows_.join(buckets, "key").distinct(), "members")
     stars = members.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    edges = cut(_verified(cut(stars, "stars"), docs, shingle, fold_case, percent), "edges")
+    # of the texts only those that share a bucket go on; rows with equal ids are told apart by their number
+    near = cut(docs.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").withColumn("row", F.monotonically_increasing_id()), "near")
+    edges = cut(_verified(cut(stars, "stars"), near, shingle, fold_case, percent), "edges")
     comps = components(edges)
-    rest = None
-    for pairs in _left_apart(members.where("doc_id <> a"), comps, reps, docs, shingle, fold_case, percent, most):
-        rest = pairs if rest is None else rest.union(pairs)
-    rest = cut(rest.distinct(), "rest")
-    if not rest.isEmpty():
-        more = cut(_verified(rest, docs, shingle, fold_case, percent), "edges")
+    rest = _left_apart(members.where("doc_id <> a"), comps, reps, near, shingle, fold_case, percent, most)
+    if rest is not None and not (rest := cut(rest, "rest")).isEmpty():
+        more = cut(_verified(rest, near, shingle, fold_case, percent), "edges")
         if not more.isEmpty():
             comps = components(edges.union(more))
+    drop(near)
     named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n", "digest").join(named, "digest", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("component_id"))

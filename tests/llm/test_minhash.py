@@ -124,3 +124,26 @@ def test_a_hot_bucket_of_a_template(spark):
     assert len({c for _, c, _ in want.values()}) > 40
     assert result(df, shingle=3, rows=1, most=8) == want
     assert result(df, shingle=3, rows=1) == want
+
+
+def test_texts_of_one_template_are_not_paired(spark, monkeypatch):
+    """Pairs that a template makes half alike aren't looked at one by one, in a bucket of any size."""
+    looked = []
+    verified = minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, *rest: looked.append(pairs.count()) or verified(pairs, *rest))
+    template = " ".join(f"t{i}" for i in range(40))
+    rows = [(i, template + " " + " ".join(f"d{i // 2 if i % 10 == 1 else i}x{j}" for j in range(12))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df, shingle=1, rows=1) == brute(rows, 1)
+    assert sum(looked[1:]) < 10 * len(rows)  # all pairs would be 19,900; first come those with the hubs
+
+
+def test_a_shingle_of_many_members_is_a_grid(spark):
+    """Links across the blocks of a shingle, and none lost between them."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i * 7 % 60, " ".join(words[i * 5 : i * 5 + 100])) for i in range(60) if i % 20 != 9 and i % 20 != 10]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 1)
+    assert 1 < len({c for _, c, _ in want.values()}) < 10
+    assert result(df, shingle=1, rows=1, most=2) == want
+    assert result(df, shingle=1, rows=1) == want
