@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from ..sources.adapter import by_keys
 from . import scoring as Sc
 
 CALLABLE = ["function", "method", "macro", "constructor"]
@@ -105,8 +106,10 @@ def innermost(lines: DataFrame, spans: DataFrame, key: str, best: Column, pick=F
         if top:
             break
         size, level = size * RADIX, level + 1
-    few = spans.where("line_start <= line_end").select("file_id", F.inline(F.concat(*blocks)), best.alias("best")).groupBy("file_id", "level", "block").agg(pick("best").alias("best"))
-    x = lines.select(key, "file_id", F.inline(F.array(*at))).join(few, ["file_id", "level", "block"])
+    # dealt out first: blocks of one span are never equal, so a task would only sort them all to find few alike
+    each = spans.where("line_start <= line_end").select("file_id", F.inline(F.concat(*blocks)), best.alias("best")).repartition("file_id", "level", "block")
+    few = each.groupBy("file_id", "level", "block").agg(pick("best").alias("best"))
+    x = lines.select(key, "file_id", F.inline(F.array(*at))).join(by_keys(few), ["file_id", "level", "block"])
     return x.groupBy(key).agg(pick("best").alias("best"))
 
 

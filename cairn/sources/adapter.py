@@ -48,6 +48,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
 
 
+def by_keys(df: DataFrame) -> DataFrame:
+    """A side of a join that meets the other by its keys, and is never collected to be sent to all tasks.
+
+    Spark guesses a projection's size by its parquet bytes, of which the rows that are made of them may be a hundred
+    times, and a join that it plans as a broadcast stays one whatever its side turns out to be. So it is for sides that
+    grow with the tables, not for what is small by construction."""
+    return df.hint("merge")
+
+
 _tables: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -78,7 +87,9 @@ def view(spark: SparkSession, sf_dir: str, name: str, views: dict[str, str] | No
         return table(spark, sf_dir, name)
     sql = views[name]
     needed = {t for t in [*_TABLES, *views] if t != name and re.search(rf"\b(from|join) {t}\b", sql)}
-    return spark.sql(re.sub(r"\b(from|join) (" + "|".join(sorted(needed, key=len, reverse=True)) + r")\b", r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}")), **{t: view(spark, sf_dir, t, views, uses) for t in needed})
+    large = {t for t in needed & views.keys() if re.search(rf"(?<!cross )\bjoin {t}\b", sql)}
+    parts = {t: view(spark, sf_dir, t, views, uses) for t in needed}
+    return spark.sql(re.sub(r"\b(from|join) (" + "|".join(sorted(needed, key=len, reverse=True)) + r")\b", r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}")), **{t: by_keys(df) if t in large else df for t, df in parts.items()})
 
 
 def with_views(sql: str, *names: str, views: dict[str, str] | None = None) -> str:
