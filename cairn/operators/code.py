@@ -234,7 +234,10 @@ def running_bytes(rows: DataFrame, size: Column, order: list[Column], budget: in
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(import_id, to_file, state, confidence): a module that is one file's key in its scope is that file; several are ambiguous."""
     keys = files.select("scope", F.col("file_id").alias("to_file"), F.explode(P.module_keys(F.col("path"))).alias("module"))
-    found = imports.select("scope", "import_id", "module").join(keys, ["scope", "module"]).groupBy("import_id").agg(F.count_distinct("to_file").alias("c"), F.min("to_file").alias("f"))
+    # a module's files are counted before imports meet them: a common module's imports times its files would be no bound
+    counts = keys.distinct().groupBy("scope", "module").agg(F.count("*").alias("n"), F.min("to_file").alias("f"))
+    one = (F.max("n") == 1) & (F.min("f") == F.max("f"))
+    found = imports.select("scope", "import_id", "module").join(by_keys(counts), ["scope", "module"]).groupBy("import_id").agg(F.when(one, 1).otherwise(2).alias("c"), F.min("f").alias("f"))
     x = imports.select("import_id").join(found, "import_id", "left")
     state = F.when(F.col("c") == 1, "resolved").when(F.col("c") > 1, "ambiguous").otherwise("unresolved")
     points = F.when(F.col("c") == 1, 10000).when(F.col("c") > 1, 5000).otherwise(0)
