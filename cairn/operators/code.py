@@ -248,7 +248,7 @@ def resolve_through_imports(refs: DataFrame, imports: DataFrame, files: DataFram
     """(ref_id, target): references to a name that one file imported by the reference's own file defines once."""
     to = resolve_imports(imports, files).where("state = 'resolved'").join(imports.select("import_id", "file_id"), "import_id").select("file_id", "to_file").distinct()
     once = symbols.groupBy(F.col("file_id").alias("to_file"), "name").agg(F.count("*").alias("c"), F.min("symbol_id").alias("target")).where("c = 1").drop("c")
-    hits = refs.select("ref_id", "file_id", "name").join(to, "file_id").join(once, ["to_file", "name"])
+    hits = refs.select("ref_id", "file_id", "name").join(to, "file_id").join(by_keys(once), ["to_file", "name"])
     return hits.groupBy("ref_id").agg(F.count_distinct("target").alias("c"), F.min("target").alias("target")).where("c = 1").drop("c")
 
 

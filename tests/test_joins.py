@@ -9,6 +9,6 @@ def broadcasts(df) -> int:
     return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
 
 
-@pytest.mark.parametrize("name", ["enclosing_caller", "import_resolution"])
+@pytest.mark.parametrize("name", ["enclosing_caller", "import_resolution", "imported_reference_resolution"])
 def test_no_view_is_sent_to_the_driver(spark, sf, name):
     assert broadcasts(entry.queries()[name](spark, sf)) == 0
