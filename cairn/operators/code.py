@@ -206,7 +206,7 @@ def cross_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     of_file = keys.groupBy("module", "f").agg(F.min("scope").alias("lo"), F.max("scope").alias("hi"))
     counts = of_file.groupBy("module", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("only")).agg(F.count("*").alias("n"), F.min("f").alias("f"))
     open_ = imports.where((F.col("resolution") == "unresolved") & ~P.is_relative_module(F.col("module"))).select("scope", "import_id", "module")
-    found = open_.select("scope", "module").distinct().join(counts, "module").where("only is null or only <> scope").groupBy("scope", "module").agg(F.sum("n").alias("c"), F.min("f").alias("to_file"))
+    found = open_.select("scope", "module").distinct().join(by_keys(counts), "module").where("only is null or only <> scope").groupBy("scope", "module").agg(F.sum("n").alias("c"), F.min("f").alias("to_file"))
     x = open_.join(found, ["scope", "module"], "left")
     state = F.when(F.col("c") == 1, "resolved").when(F.col("c") > 1, "ambiguous").otherwise("unresolved")
     points = F.when(F.col("c") == 1, 10000).when(F.col("c") > 1, 5000).otherwise(0)
