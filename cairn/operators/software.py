@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import cut
+from ..sources.adapter import by_keys
+from ..sources.scratch import cut, drop
 
 
 def topics(files: DataFrame) -> DataFrame:
@@ -22,25 +23,34 @@ def effective_models(projects: DataFrame, properties: DataFrame, managed: DataFr
 
     projects (project, parent), properties (project, name, value), managed and dependencies (project,
     artifact, version, null where inherited). The nearest ancestor that says anything wins; a version of
-    the form ${name} is looked up in the nearest property. Ancestors come from joins whose reach doubles each
-    round, so chains of any length take few; in a cycle of parents each project is an ancestor once."""
-    every = projects.select("project", F.col("project").alias("from"), F.lit(0).alias("d"))
-    jump = projects.where("parent is not null").select("project", F.col("parent").alias("to"))
-    step, known = 1, every.count()
+    the form ${name} is looked up in the nearest property. What is said is handed down by joins whose reach doubles
+    each round, a row for each project and key, so chains of any length take few rounds and no ancestor is listed; in
+    a cycle of parents each project is an ancestor once."""
+    null = lambda kind: F.lit(None).cast(kind)
+    artifact = dependencies.select("artifact").distinct()
+    rows = lambda df, what, key, value: df.select(F.lit(what).alias("what"), F.col("project"), F.col(key).alias("key"), F.col(value).cast("string").alias("value"))
+    listed = by_keys(projects.select("project").distinct())
+    said = rows(dependencies, "own", "artifact", "version").union(rows(managed.join(by_keys(artifact), "artifact", "left_semi"), "managed", "artifact", "version").where("value is not null")).union(rows(properties, "property", "name", "value")).join(listed, "project", "left_semi")
+    # d: how far up the nearest project that says a value is; a dependency without a version is known, at no distance
+    near = lambda x: x.groupBy("what", "project", "key").agg(F.min_by("value", "d").alias("value"), F.min("d").alias("d"))
+    known = cut(near(said.withColumn("d", F.when((F.col("what") == "property") | F.col("value").isNotNull(), F.lit(0).cast("long")).otherwise(null("long")))), "said")
+    jump = cut(projects.where("parent is not null").select("project", F.col("parent").alias("to")).distinct(), "parents")
+    size = lambda df: df.agg(F.count("*"), F.count("d")).first()
+    step, n = 1, size(known)
     while not jump.isEmpty():
-        beyond = jump.join(every.select(F.col("project").alias("to"), "from", (F.col("d") + step).alias("d")), "to").select("project", "from", "d")
-        every = cut(every.union(beyond).groupBy("project", "from").agg(F.min("d").alias("d")), "ancestors")
-        jump = cut(jump.join(jump.select(F.col("project").alias("to"), F.col("to").alias("next")), "to").select("project", F.col("next").alias("to")), "ancestors")
-        step, before, known = step * 2, known, every.count()
-        if known == before:
+        beyond = known.withColumnRenamed("project", "to").join(by_keys(jump), "to").select("what", "project", "key", "value", (F.col("d") + step).alias("d"))
+        old, known = known, cut(near(known.union(beyond)), "said")
+        before, n = n, size(known)
+        drop(old)
+        if n == before:  # a value that is yet to come from further up would first have come to a project in between
             break
-    nearest = lambda rows, *keys: every.join(rows.withColumnRenamed("project", "from"), "from").groupBy("project", *keys).agg(F.min_by("value", "d").alias("value"))
-    props = nearest(properties.select("project", "name", "value"), "name")
-    by_artifact = nearest(managed.select("project", "artifact", F.col("version").alias("value")).where("value is not null"), "artifact")
-    mine = every.join(dependencies.withColumnRenamed("project", "from"), "from").groupBy("project", "artifact").agg(F.min_by("version", F.when(F.col("version").isNotNull(), F.col("d"))).alias("own"))
-    x = mine.join(by_artifact, ["project", "artifact"], "left").select("project", "artifact", F.coalesce("own", "value").alias("raw"))
+        old, jump = jump, cut(jump.join(by_keys(jump.select(F.col("project").alias("to"), F.col("to").alias("next"))), "to").select("project", F.col("next").alias("to")).distinct(), "parents")
+        drop(old)
+        step *= 2
+    of = lambda what, key, value: known.where(F.col("what") == what).select("project", F.col("key").alias(key), F.col("value").alias(value))
+    x = of("own", "artifact", "own").join(by_keys(of("managed", "artifact", "value")), ["project", "artifact"], "left").select("project", "artifact", F.coalesce("own", "value").alias("raw"))
     x = x.withColumn("name", F.nullif(F.regexp_extract(F.coalesce("raw", F.lit("")), r"^\$\{(.+)\}$", 1), F.lit("")))
-    return x.join(props, ["project", "name"], "left").select("project", "artifact", F.when(F.col("name").isNotNull(), F.col("value")).otherwise(F.col("raw")).alias("version"))
+    return x.join(by_keys(of("property", "name", "value")), ["project", "name"], "left").select("project", "artifact", F.when(F.col("name").isNotNull(), F.col("value")).otherwise(F.col("raw")).alias("version"))
 
 
 _TARGETS = [

@@ -12,3 +12,27 @@ def broadcasts(df) -> int:
 @pytest.mark.parametrize("name", ["enclosing_caller", "import_resolution", "imported_reference_resolution", "cross_repo_edges"])
 def test_no_view_is_sent_to_the_driver(spark, sf, name):
     assert broadcasts(entry.queries()[name](spark, sf)) == 0
+
+
+def test_versions_are_handed_down_without_listing_ancestors(spark, monkeypatch):
+    """A chain of 300 projects: no table between has a row for each project and ancestor."""
+    from pyspark.sql import functions as F
+
+    from cairn.operators import software as Sw
+
+    most, cut = [0], Sw.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        most[0] = max(most[0], out.count())
+        return out
+
+    monkeypatch.setattr(Sw, "cut", counted)
+    n = 300
+    k = spark.range(n).select(F.col("id").cast("string").alias("project"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent"))
+    props = spark.createDataFrame([("0", "v", "7"), ("200", "v", "8")], "project string, name string, value string")
+    man = spark.createDataFrame([("0", "lib", "${v}"), ("0", "other", "1")], "project string, artifact string, version string")
+    dep = spark.createDataFrame([("2", "lib", None), ("250", "lib", "3"), ("nowhere", "lib", "4")], "project string, artifact string, version string")
+    got = {r.project: r.version for r in Sw.effective_models(k, props, man, dep).collect()}
+    assert got == {str(i): "7" if i < 200 else "8" if i < 250 else "3" for i in range(2, n)}
+    assert most[0] <= 4 * n
