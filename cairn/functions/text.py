@@ -1,6 +1,6 @@
 """Text functions as Column expressions: identifier terms, signatures, overlaps, grams, hashed vectors.
 
-All but ``hash_counts``, which read models use when they are built, stays inside the JVM. A ``let`` binds a costly value once for an expression that names it often.
+All but ``token_terms``, ``term_slots`` and ``slot_vectors``, which read models use when they are built, stays inside the JVM. A ``let`` binds a costly value once for an expression that names it often.
 """
 
 import re
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
 MAX_TERMS = 16
+_ODD = re.compile("_|[0-9]|.[A-Z]")
+_BOUNDARIES = [re.compile(p) for p in (r"([A-Z]+)([A-Z][^A-Z0-9 ])", r"([^A-Z0-9 ])([A-Z])", r"([^0-9 ])([0-9])", r"([0-9])([^0-9 ])")]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -44,16 +46,21 @@ def terms(text: Column, min_len: int = 2) -> Column:
     return F.array_sort(F.array_distinct(F.filter(every, lambda t: F.length(t) >= min_len)))
 
 
+def token_terms(token: str, min_len: int = 2) -> set[str]:
+    """``terms`` of one word, in Python."""
+    out = {token.lower()}
+    if _ODD.search(token):
+        s = token.replace("_", " ")
+        for pattern in _BOUNDARIES:
+            s = pattern.sub(r"\1 \2", s)
+        p = s.lower().split()
+        out |= {*p, *(["".join(x[0] for x in p)] if len(p) > 1 else [])}
+    return {t for t in out if len(t) >= min_len}
+
+
 def driver_terms(text: str, min_len: int = 2) -> list[str]:
     """``terms`` of a query string, on the driver."""
-    out: set[str] = set()
-    for t in re.findall(r"\w+", text):
-        s = t.replace("_", " ")
-        for pattern in (r"([A-Z]+)([A-Z][^A-Z0-9 ])", r"([^A-Z0-9 ])([A-Z])", r"([^0-9 ])([0-9])", r"([0-9])([^0-9 ])"):
-            s = re.sub(pattern, r"\1 \2", s)
-        p = s.lower().split()
-        out |= {t.lower(), *p, *(["".join(x[0] for x in p)] if len(p) > 1 else [])}
-    return sorted(t for t in out if len(t) >= min_len)
+    return sorted(set().union(*(token_terms(t, min_len) for t in re.findall(r"\w+", text))))
 
 
 def candidate_terms(query: list[str]) -> list[str]:
@@ -139,17 +146,25 @@ def hashed_vector(signature: Column, dimension: int = 16) -> Column:
     return let(let(slots, raw), lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x))))
 
 
-def hash_counts(data, offsets, sizes):
-    """``hashed_vector`` of dimension 16 for rows of so many terms each: all terms step through their bytes together."""
+def term_slots(terms: list[bytes]):
+    """``low_hash`` of each term: all step through their bytes together."""
     import numpy as np
 
-    start, n = offsets[:-1], np.diff(offsets)
+    n = np.fromiter(map(len, terms), np.int64, len(terms))
+    start, data = np.cumsum(n) - n, np.frombuffer(b"".join(terms) or b"\0", np.uint8)
     h = np.full(len(n), 5, np.uint8)
+    own = np.argsort(-n, kind="stable")  # the longest first: those that go on are a prefix
     for i in range(int(n.max(initial=0))):
-        own = np.flatnonzero(n > i)
+        own = own[: int(np.searchsorted(-n[own], -i))]
         h[own] = ((h[own] ^ data[start[own] + i]) & 15) * 3 & 15
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    v = np.bincount(row * 16 + h, minlength=16 * len(sizes)).reshape(-1, 16).astype(float)
+    return h
+
+
+def slot_vectors(slots, row, rows: int):
+    """``hashed_vector`` of dimension 16 for rows, from the slot of each of their terms."""
+    import numpy as np
+
+    v = np.bincount(row * 16 + slots, minlength=16 * rows).reshape(-1, 16).astype(float)
     v[:, 1::2] *= -1
     norm = np.sqrt((v * v).sum(1, keepdims=True))
     return np.where(norm > 0, v / np.where(norm > 0, norm, 1), v)
@@ -160,9 +175,7 @@ def hashed_vectors(signatures: pd.Series):
     import numpy as np
 
     sizes = np.array([0 if s is None else len(s) for s in signatures])
-    terms = [t.encode() for s in signatures if s is not None for t in s]
-    data = np.frombuffer(b"".join(terms) or b"\0", np.uint8)
-    return hash_counts(data, np.cumsum([0, *map(len, terms)]), sizes)
+    return slot_vectors(term_slots([t.encode() for s in signatures if s is not None for t in s]), np.repeat(np.arange(len(sizes)), sizes), len(sizes))
 
 
 def driver_hash(term: str) -> int:

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import readmodel as RM
 from ..operators import retrieval as R
 from ..sources import store
-from ..sources.adapter import view, with_views
+from ..sources.adapter import by_keys, view, with_views
 from ..sources.scratch import scratch
 from . import sqltext as S
 
@@ -49,7 +49,7 @@ def r6(c):
 
 def fact_texts(spark: SparkSession, d: str) -> DataFrame:
     """(fact_id, kind, text, occurred_at, visibility) of all facts: subject, predicate and object as one text."""
-    ent = lambda key, label: view(spark, d, "entities").select(F.col("entity_id").alias(key), F.col("label").alias(label))
+    ent = lambda key, label: by_keys(view(spark, d, "entities").select(F.col("entity_id").alias(key), F.col("label").alias(label)))
     seen = ["created", "valid_from", "valid_until", "status"]
     shape = lambda df, kind, parts, at: df.select("fact_id", F.lit(kind).alias("kind"), F.concat_ws(" ", *parts).alias("text"), at.alias("occurred_at"), *seen)
     rel = view(spark, d, "relations").join(ent("src_id", "a"), "src_id").join(ent("dst_id", "b"), "dst_id")
@@ -360,7 +360,7 @@ def graph_only_fusion(spark, d):
 def relation_paths_by_mask(spark, d):
     """Facts scored by the words of their own texts and of their evidence, from masks of small hits."""
     m = read_model(spark, d)
-    x = m.graph_path(m.hits(HYBRID_QUERY, V), V).join(m.facts(V).where("kind = 'relation'").select("fact_id"), "fact_id", "left_semi")
+    x = m.graph_path(m.hits(HYBRID_QUERY, V), V).join(m.facts(V).where("kind = 'relation'").select("f", "fact_id"), "f")
     return x.select("key", "fact_id", r6("score").alias("score"))
 
 

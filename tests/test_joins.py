@@ -36,3 +36,30 @@ def test_versions_are_handed_down_without_listing_ancestors(spark, monkeypatch):
     got = {r.project: r.version for r in Sw.effective_models(k, props, man, dep).collect()}
     assert got == {str(i): "7" if i < 200 else "8" if i < 250 else "3" for i in range(2, n)}
     assert most[0] <= 4 * n
+
+
+def test_the_read_model_shuffles_no_postings(spark, tmp_path):
+    """Texts are indexed by the tasks that read them, whatever the question's number of terms; copies of an id stay apart."""
+    from pyspark.sql import functions as F
+
+    from cairn.operators import readmodel as RM
+
+    ev = spark.range(300).select(F.concat(F.lit("e"), (F.col("id") % 299).cast("string")).alias("evidence_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("s").alias("source_scope"), F.lit("a/b").alias("source_path"), F.array(F.lit("Label")).alias("labels"), F.concat(F.lit("fooBar word word w"), F.col("id").cast("string")).alias("content"), F.lit(1).cast("long").alias("created"), F.lit("accepted").alias("status"))
+    facts = spark.createDataFrame([("f", "relation", "fooBar knows W7", None, 1, 1, None, "accepted")], "fact_id string, kind string, text string, occurred_at string, created long, valid_from long, valid_until long, status string")
+    links = spark.createDataFrame([("f", 0, "e5")], "fact_id string, pos int, evidence_id string")
+    tracker, seen = spark.sparkContext.statusTracker(), []
+    spark.sparkContext.setJobGroup("readmodel", "")
+    m = RM.build(ev, facts, links, f"file://{tmp_path}/m")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    index = spark.read.parquet(f"file://{tmp_path}/m/index")
+    assert tracker is not None and "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    assert index.where(F.col("kind") != RM.DOC).count() < 300 * 12  # a row for each term of a slice, not for each of its documents
+    assert index.where("kind = 0 and term = 'word'").select(F.inline(F.arrays_zip("ids", "tfs"))).where("tfs = 2").count() == 300
+    for terms, sent in ((5000, 200_000), (1, 200_000), (1, 1)):
+        RM.MOST_TERMS, RM.MOST_SENT, old = terms, sent, (RM.MOST_TERMS, RM.MOST_SENT)
+        try:
+            h = m.hits("foobar w7", 1)
+            seen.append((h.m.count(), h.f.collect(), m.bm25(h).agg(F.round(F.sum("score"), 6)).first()[0], m.graph_path(h, 1).select("key", "score").collect()))
+        finally:
+            RM.MOST_TERMS, RM.MOST_SENT = old
+    assert seen[0][0] == 300 and seen[0][3][0].key == "e5" and seen[0] == seen[1] == seen[2]
