@@ -74,21 +74,73 @@ def ranked(hits: DataFrame, source: str, id_col: str = "evidence_id") -> DataFra
     return hits.select(F.col(id_col).alias("key"), F.lit(source).alias("source"), F.row_number().over(Window.orderBy(F.desc("score"), F.asc(id_col))).alias("rank"), F.col("score"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 200) -> DataFrame:
+BLOCK = 16_384  # vectors of a block of a product
+
+
+def _best(k: int):
+    """Of a block of vectors (vec_id, v) and one of queries (q, v), each query's nearest: twice k, as rounding is Spark's."""
+    import numpy as np
+    import pyarrow as pa
+
+    def unit(t: pa.Table, size: int):
+        """Vectors of one length as unit rows, NaN where there is none."""
+        v = t.column("v").combine_chunks()
+        fits = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(v), -1)) == size
+        x = np.full((len(v), size), np.nan)
+        x[fits] = np.asarray(v.filter(pa.array(fits)).flatten(), dtype=float).reshape(-1, size)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return x, np.sqrt((x * x).sum(1))
+
+    def of(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, qs = left.column("vec_id").combine_chunks(), right.column("q").combine_chunks()
+        out_q, out_v, out_s = [], [], []
+        lengths = pa.compute.fill_null(pa.compute.list_value_length(right.column("v").combine_chunks()), -1)
+        order = np.empty(len(ids), np.int64)
+        order[np.asarray(pa.compute.sort_indices(ids))] = np.arange(len(ids))  # of equal scores the least id
+        named = ids.dictionary_encode()
+        name, own = np.asarray(named.indices), np.asarray(pa.compute.fill_null(pa.compute.index_in(qs, named.dictionary), -1))
+        for size in np.unique(np.asarray(lengths)) if len(ids) else ():
+            rows = np.flatnonzero(np.asarray(lengths) == size)
+            (v, vn), (q, qn) = unit(left, max(size, 0)), unit(right, max(size, 0))
+            for at in range(0, len(rows), 200):
+                part = rows[at : at + 200]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = (q[part] @ v.T) / (qn[part][:, None] * vn)
+                rounded = np.floor(np.where(np.isnan(s), -9.0, s) * 1e9 + 0.5)
+                for i, j in enumerate(part):
+                    r = rounded[i]
+                    if own[j] >= 0:
+                        r[name == own[j]] = -np.inf
+                    most = min(2 * k, len(r))
+                    near = np.flatnonzero(r >= np.partition(r, len(r) - most)[len(r) - most])
+                    near = near[np.lexsort((order[near], -r[near]))][:most]
+                    near = near[r[near] > -np.inf]
+                    out_q.append(np.full(len(near), j))
+                    out_v.append(near)
+                    out_s.append(s[i, near])
+        at = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64))
+        found = np.concatenate([np.zeros(0), *out_s])
+        return pa.table({"q": qs.take(at(out_q)), "vec_id": ids.take(at(out_v)), "s": pa.array(found, mask=np.isnan(found))})
+
+    return of
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(q, vec_id, rank, s): the k vectors of (vec_id, v) nearest by cosine to each query of the same shape, itself apart.
 
-    Queries are packed into rows of ``block`` vectors, a product of blocks and vectors being what a search
-    against everything is; each task keeps k of its rows for each query before anything is shuffled."""
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    v = vectors.select("vec_id", "v", norm.alias("n"))
-    of = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // block)))).alias("b"), F.struct(F.col("vec_id").alias("q"), F.col("v").alias("qv"), norm.alias("qn")).alias("one"))
-    blocks = of.groupBy("b").agg(F.collect_list("one").alias("block"))
-    dot = F.aggregate(F.zip_with("qv", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    s = v.crossJoin(blocks).select("vec_id", "v", "n", F.inline("block")).where("vec_id <> q")
-    s = s.select("q", "vec_id", (dot / (F.col("qn") * F.col("n"))).alias("s")).withColumn("part", F.spark_partition_id())
-    best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("s", 9)), "vec_id"))
-    few = s.withColumn("r", best("q", "part")).where(F.col("r") <= k)
-    return few.withColumn("rank", best("q")).where(F.col("rank") <= k).select("q", "vec_id", "rank", "s")
+    Vectors and queries are dealt out in blocks, each block of the ones meets each of the others in one task, which
+    multiplies them as matrices and keeps a query's best. A search against everything is that many products; memory is
+    that of two blocks, and of what is shuffled, each block goes as often as the other side has blocks."""
+    n, m = vectors.count(), queries.count()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    of_v, of_q = max(1, -(-n // block), min(cores, -(-n // 512))), max(1, -(-m // block))
+    dealt = lambda df, own, c, most, other, others: df.withColumn(own, F.pmod(F.xxhash64(c), F.lit(most)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).groupBy("a", "b")
+    left = dealt(vectors.where("vec_id is not null").select("vec_id", F.col("v").cast("array<double>").alias("v")), "a", "vec_id", of_v, "b", of_q)
+    right = dealt(queries.select(F.col("vec_id").alias("q"), F.col("v").cast("array<double>").alias("v")), "b", "q", of_q, "a", of_v)
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    few = left.cogroup(right).applyInArrow(_best(k), f"q {kind}, vec_id {kind}, s double")
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("s", 9)), "vec_id"))
+    return few.withColumn("rank", best).where(F.col("rank") <= k).select("q", "vec_id", "rank", "s")
 
 
 def wants_time(query: str) -> bool:

@@ -63,3 +63,28 @@ def test_the_read_model_shuffles_no_postings(spark, tmp_path):
         finally:
             RM.MOST_TERMS, RM.MOST_SENT = old
     assert seen[0][0] == 300 and seen[0][3][0].key == "e5" and seen[0] == seen[1] == seen[2]
+
+
+def test_nearest_in_blocks_equals_every_pair(spark):
+    """Ties, copies of an id, zero and missing vectors, and several blocks on both sides; no row for each pair."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from cairn.operators import retrieval as R
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(120)] + [(7, [1.0, 1.0, 1.0, 1.0]), (200, None), (201, [0.0] * 4)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    q = v.where("vec_id % 10 = 7")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+    few = R.nearest(v, q.where("vec_id <> 7"), 5, 16)
+    assert "BroadcastNestedLoop" not in few._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in few.collect():
+        got.setdefault(r.q, []).append((r["rank"], r.vec_id))
+    for i, a in rows:
+        if i % 10 == 7 and i != 7 and any(a):
+            every = sorted((-round(cos(a, b), 9), j) for j, b in rows if j != i and b is not None and any(b))[:5]
+            assert [j for _, j in sorted(got[i])] == [j for _, j in every]
+    assert 7 not in {j for x in [R.nearest(v, q.where("vec_id = 7").limit(1), 122, 16)] for j in [r.vec_id for r in x.collect()]}
+    assert F is not None
