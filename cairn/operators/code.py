@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as T
 from ..sources.adapter import by_keys
+from ..sources.scratch import cut
 from . import scoring as Sc
 
 CALLABLE = ["function", "method", "macro", "constructor"]
@@ -69,9 +70,10 @@ def resolve_references(refs: DataFrame, symbols: DataFrame) -> DataFrame:
 
     Definitions are reduced to one row a name (and a name and path) before they meet the references."""
     one = lambda *k: symbols.groupBy("scope", *k).agg(F.count("*").alias("c"), F.min("symbol_id").alias("target"))
-    by_name = one("name").select("scope", "name", F.col("c").alias("cn"), F.col("target").alias("tn"))
+    # cut, so that the join knows its size: few names are sent to the references, which then are dealt out for paths alone
+    by_name = cut(one("name").select("scope", "name", F.col("c").alias("cn"), F.col("target").alias("tn")), "names")
     by_path = one("name", "path").where("c = 1").select("scope", "name", "path", F.col("target").alias("tp"))
-    x = refs.join(by_name, ["scope", "name"], "left").join(by_path, ["scope", "name", "path"], "left")
+    x = refs.select("scope", "ref_id", "name", "path").join(by_name, ["scope", "name"], "left").join(by_keys(by_path), ["scope", "name", "path"], "left")
     target = F.coalesce(F.when(F.col("cn") == 1, F.col("tn")), F.col("tp"))
     state = F.when(target.isNotNull(), "resolved").when(F.col("cn").isNotNull(), "ambiguous").otherwise("unresolved")
     points = F.when(target.isNotNull(), 8000).when(F.col("cn").isNotNull(), 5000).otherwise(2500)

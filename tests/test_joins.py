@@ -88,3 +88,10 @@ def test_nearest_in_blocks_equals_every_pair(spark):
             assert [j for _, j in sorted(got[i])] == [j for _, j in every]
     assert 7 not in {j for x in [R.nearest(v, q.where("vec_id = 7").limit(1), 122, 16)] for j in [r.vec_id for r in x.collect()]}
     assert F is not None
+
+
+@pytest.mark.parametrize("name", ["reference_resolution"])
+def test_references_are_dealt_out_for_paths_alone(spark, sf, name):
+    """Few names are sent to the references; files and definitions by path are met by keys."""
+    df = entry.queries()[name](spark, sf)
+    assert broadcasts(df) == 1 and df._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 2
