@@ -90,7 +90,7 @@ def test_nearest_in_blocks_equals_every_pair(spark):
     assert F is not None
 
 
-@pytest.mark.parametrize("name", ["reference_resolution"])
+@pytest.mark.parametrize("name", ["reference_resolution", "call_target_resolution"])
 def test_references_are_dealt_out_for_paths_alone(spark, sf, name):
     """Few names are sent to the references; files and definitions by path are met by keys."""
     df = entry.queries()[name](spark, sf)
