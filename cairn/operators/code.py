@@ -281,8 +281,9 @@ def bridge_bonus(hits: DataFrame, edges: DataFrame, each: float = 0.35, cap: flo
     """(hit, bonus): resolved edges from a hit's file to a file that the result holds too, by confidence, capped."""
     files = hits.select("file_id").distinct()
     inside = edges.where("state = 'resolved'").join(files.withColumnRenamed("file_id", "to_file"), "to_file", "left_semi")
-    x = hits.select("hit", "file_id").join(inside.select(F.col("from_file").alias("file_id"), "import_id", "confidence"), "file_id")
-    return x.groupBy("hit").agg(F.least(F.lit(cap), F.sum(F.col("confidence") / 10000 * each)).alias("bonus"))
+    # a file's edges are summed before its hits meet them
+    of_file = inside.groupBy(F.col("from_file").alias("file_id")).agg(F.sum(F.col("confidence") / 10000 * each).alias("sum"))
+    return hits.select("hit", "file_id").join(of_file, "file_id").groupBy("hit").agg(F.least(F.lit(cap), F.sum("sum")).alias("bonus"))
 
 
 def focused_excerpt(content: Column, name: Column) -> Column:

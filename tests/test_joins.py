@@ -90,6 +90,39 @@ def test_nearest_in_blocks_equals_every_pair(spark):
     assert F is not None
 
 
+def test_edges_of_a_file_are_reduced_before_its_hits(spark):
+    """A file of 300 imports and edges: its hits meet a sum and its first edges, not each other."""
+    from pyspark.sql import functions as F
+
+    from cairn.operators import code as C
+
+    n = 300
+    i = spark.range(n).select(F.concat(F.lit("i"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("import_id"), F.lit("x").alias("file_id"), F.lit("resolved").alias("state"), F.lit("x").alias("to_file"), F.when(F.col("id") < 5, 5000).otherwise(10000).alias("confidence"))
+    edges = i.select("import_id", F.col("file_id").alias("from_file"), "to_file", "state", "confidence")
+    e = C.overlay_evidence(i.select(F.col("import_id").alias("id"), "file_id"), edges)
+    got = {}
+    for r in e.collect():
+        got.setdefault(r.hit, []).append((r.via, r.import_id))
+    assert len(got) == n and sorted(got["i000"]) == [(0, "i000"), (1, "i005"), (1, "i006")] and sorted(got["i005"]) == [(0, "i005"), (1, "i006"), (1, "i007")]
+    b = C.bridge_bonus(i.select(F.col("import_id").alias("hit"), "file_id"), edges)
+    assert {r.bonus for r in b.collect()} == {0.7} and b.count() == n
+    small = C.bridge_bonus(i.select(F.col("import_id").alias("hit"), "file_id"), edges.where("import_id = 'i000'"))
+    assert {round(r.bonus, 9) for r in small.collect()} == {0.175}
+
+    def most_rows(df) -> int:
+        """The most rows that a join of the executed plan put out."""
+        def walk(p):
+            kids = p.children()
+            own = [p.metrics().apply("numOutputRows").value()] if "Join" in p.nodeName() and p.metrics().contains("numOutputRows") else []
+            inner = [p.executedPlan()] if p.nodeName().startswith("AdaptiveSparkPlan") else [p.plan()] if "QueryStage" in p.nodeName() else []
+            return own + [x for k in [*[kids.apply(j) for j in range(kids.size())], *inner] for x in walk(k)]
+
+        df.collect()
+        return max(walk(df._jdf.queryExecution().executedPlan()))
+
+    assert most_rows(e) <= 4 * n and most_rows(b) <= n
+
+
 @pytest.mark.parametrize("name", ["reference_resolution", "call_target_resolution"])
 def test_references_are_dealt_out_for_paths_alone(spark, sf, name):
     """Few names are sent to the references; files and definitions by path are met by keys."""
