@@ -265,7 +265,10 @@ def workspace_imports(imports: DataFrame, members: DataFrame) -> DataFrame:
 def overlay_evidence(hits: DataFrame, edges: DataFrame, cap: int = 3) -> DataFrame:
     """(hit, import_id, via): cross edges of a hit, by its own import first, then by its file, at most ``cap`` each."""
     own = hits.select(F.col("id").alias("hit"), "file_id").join(edges, F.col("hit") == F.col("import_id")).select("hit", "import_id", F.lit(0).alias("via"), "confidence")
-    file = hits.select(F.col("id").alias("hit"), "file_id").join(edges.withColumnRenamed("from_file", "file_id"), "file_id").where("import_id <> hit").select("hit", "import_id", F.lit(1), "confidence")
+    # of a file's edges only those can count that are among its first, the hit's own apart: not all meet all hits of the file
+    first = F.dense_rank().over(Window.partitionBy("from_file").orderBy(F.desc("confidence"), "import_id"))
+    few = edges.select("import_id", "from_file", "confidence").withColumn("r", first).where(F.col("r") <= cap + 1).drop("r")
+    file = hits.select(F.col("id").alias("hit"), "file_id").join(few.withColumnRenamed("from_file", "file_id"), "file_id").where("import_id <> hit").select("hit", "import_id", F.lit(1), "confidence")
     w = Window.partitionBy("hit").orderBy("via", F.desc("confidence"), "import_id")
     return own.union(file).withColumn("r", F.row_number().over(w)).where(F.col("r") <= cap).select("hit", "import_id", "via")
 
