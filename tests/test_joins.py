@@ -9,7 +9,7 @@ def broadcasts(df) -> int:
     return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
 
 
-@pytest.mark.parametrize("name", ["enclosing_caller", "import_resolution", "imported_reference_resolution", "cross_repo_edges"])
+@pytest.mark.parametrize("name", ["enclosing_caller", "import_resolution", "imported_reference_resolution", "cross_repo_edges", "overlay_counts"])
 def test_no_view_is_sent_to_the_driver(spark, sf, name):
     assert broadcasts(entry.queries()[name](spark, sf)) == 0
 
